@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.llm import decontam, mixing, sharding
-from eventspark.llm.common import table
+from eventspark.llm import decontam, langid, mixing, sharding
+from eventspark.llm.common import held_out, table
 
 
 def op2_shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +20,13 @@ def op8_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit_languages(docs, ~held_out("doc_id"))
+    out = langid.identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13).drop("hit_at")
 
@@ -28,6 +35,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_shard_balance": op2_shard_balance,
         "op8_mix_weights": op8_mix_weights,
+        "op9_language_id": op9_language_id,
         "op10_decontaminate": op10_decontaminate,
     }
 
