@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.llm import decontam, langid, mixing, sharding, toxicity
+from eventspark.llm import decontam, html_extract, langid, mixing, sharding, toxicity
 from eventspark.llm.common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op2_shard_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op3_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
         "op2_shard_balance": op2_shard_balance,
+        "op3_extract_html": op3_extract_html,
         "op8_mix_weights": op8_mix_weights,
         "op9_language_id": op9_language_id,
         "op10_decontaminate": op10_decontaminate,
