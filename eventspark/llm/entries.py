@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.llm import decontam, html_extract, langid, mixing, sharding, toxicity
+from eventspark.llm import decontam, html_extract, langid, mixing, ngram_join, sharding, toxicity
 from eventspark.llm.common import held_out, table
 
 
@@ -27,6 +27,10 @@ def op3_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join_components(table(spark, sf_dir, "documents"), k=5, num=4, den=5)
+
+
 def op8_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -47,6 +51,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_shard_balance": op2_shard_balance,
         "op3_extract_html": op3_extract_html,
+        "op5_ngram_join": op5_ngram_join,
         "op8_mix_weights": op8_mix_weights,
         "op9_language_id": op9_language_id,
         "op10_decontaminate": op10_decontaminate,
