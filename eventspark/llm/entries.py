@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.llm import decontam, html_extract, langid, mixing, ngram_join, sharding, toxicity
+from eventspark.llm import decontam, html_extract, langid, mixing, ngram_join, sharding, topk, toxicity
 from eventspark.llm.common import held_out, table
 
 
@@ -31,6 +31,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), k=5, num=4, den=5)
 
 
+def op7_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64)
+
+
 def op8_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_shard_balance": op2_shard_balance,
         "op3_extract_html": op3_extract_html,
         "op5_ngram_join": op5_ngram_join,
+        "op7_exact_topk": op7_exact_topk,
         "op8_mix_weights": op8_mix_weights,
         "op9_language_id": op9_language_id,
         "op10_decontaminate": op10_decontaminate,
