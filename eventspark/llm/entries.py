@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.llm import decontam, html_extract, langid, mixing, ngram_join, sharding, topk, toxicity
+from eventspark.llm import decontam, html_extract, langid, license_scan, line_dedup, mixing, ngram_join, sharding, topk, toxicity
 from eventspark.llm.common import held_out, table
 
 
@@ -27,6 +27,17 @@ def op3_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    gone = F.size("gone").cast("long")
+    return out.select("doc_id", "n_lines", gone.alias("n_gone"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("gone_lines"), F.length("kept_text").cast("long").alias("kept_chars"), F.md5(F.col("kept_text").cast("binary")).alias("kept_md5"))
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return license_scan.licenses_of(docs, license_scan.default_templates(spark)).select("doc_id", "n_licenses", "licenses")
+
+
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join_components(table(spark, sf_dir, "documents"), k=5, num=4, den=5)
 
@@ -55,6 +66,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": op1_toxicity,
         "op2_shard_balance": op2_shard_balance,
         "op3_extract_html": op3_extract_html,
+        "op4_line_dedup": op4_line_dedup,
+        "op6_license_scan": op6_license_scan,
         "op5_ngram_join": op5_ngram_join,
         "op7_exact_topk": op7_exact_topk,
         "op8_mix_weights": op8_mix_weights,
