@@ -7,7 +7,10 @@ import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from eventspark.functions.numbering import numbered
+
+__all__ = ["WORD_GAP", "held_out", "materialize", "numbered", "purge_scratch", "scratch_root", "table", "words_of"]
 
 #: White space that separates words for word counts and shingles: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -54,23 +57,3 @@ def held_out(doc_id: str | Column = "doc_id") -> Column:
 def words_of(text: Column, gap: str = WORD_GAP) -> Column:
     """The words between gaps; null text has none."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), gap), "")
-
-
-def numbered(df: DataFrame, keys: list[str], ids: list[str], out: str, seed: int, bits: int = 12) -> DataFrame:
-    """Adds ``out``: 0, 1, 2 ... without gaps within ``keys``, in the order of a seeded hash of ``ids``.
-
-    No task ever holds all rows of a key: rows are ranked within (key, leading ``bits`` of the hash), and the
-    start of each such chunk comes from the chunk counts. Null keys form a group of their own.
-    """
-    h, chunk, start, rank = (f"__{x}_{out}" for x in ("h", "chunk", "start", "rank"))
-    df = df.withColumn(h, F.xxhash64(F.lit(seed), *ids)).withColumn(chunk, F.shiftrightunsigned(F.col(h), 64 - bits))
-    counts = df.groupBy(*keys, chunk).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col(chunk).alias("__c"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias(start))
-    within = Window.partitionBy(*keys, chunk).orderBy(h, *ids)
-    ranked = df.withColumn(rank, F.row_number().over(within) - 1)
-    on = F.col(chunk) == F.col("__c")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    joined = ranked.join(starts, on, "left")
-    return joined.withColumn(out, (F.col(start) + F.col(rank)).cast("long")).drop(h, chunk, start, rank, "__c", *[f"__k{i}" for i in range(len(keys))])

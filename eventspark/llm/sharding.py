@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -90,7 +88,6 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     Null text: size 1, crc32 null, one group of its own; empty text: size 1, crc32 0. Repeated rows each get a
     slot. An empty table gives an empty result. Extra columns are ignored.
     """
-    spark = docs.sparkSession
     base = docs.select(
         F.col(id_col).alias(id_col),
         (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long").alias("size"),
