@@ -323,7 +323,7 @@ def vocab_modifiers(spark, d):
     return _plain(codes.fit_vocabulary_indices(codes.aggregate_code_metadata(_modified(spark, d), ["code/n_occurrences"], code_modifiers=["unit"]), code_modifiers=["unit"]).drop("code/n_occurrences"))
 
 
-_NORM = ", round(CAST((numeric_value - mean) / std AS DOUBLE), 2) AS numeric_value"
+_NORM = ", round(CAST(CAST((numeric_value - mean) / std AS FLOAT) AS DOUBLE), 2) + 0.0 AS numeric_value"
 
 
 @_query(f"WITH {_M}, {_META}, {_MS}, v AS (SELECT *, row_number() OVER (ORDER BY code) AS i FROM t) SELECT subject_id, time, i AS code{_NORM} FROM m JOIN v USING (code)")
@@ -424,7 +424,7 @@ t1 AS (SELECT code, CAST(vs AS DOUBLE) / vn AS mean, pow(vq / vn - pow(vs / vn,
 o AS (SELECT subject_id, time, x.code, CASE WHEN abs(numeric_value - mean) <= 2 * std THEN numeric_value END AS numeric_value FROM x LEFT JOIN t1 ON x.code = t1.code),
 s2 AS (SELECT code, count(numeric_value) AS vn, coalesce(sum(numeric_value), 0.0) AS vs, coalesce(sum(numeric_value * numeric_value), 0.0) AS vq FROM o WHERE subject_id % 10 < 8 GROUP BY code),
 t2 AS (SELECT code, CAST(vs AS DOUBLE) / vn AS mean, pow(vq / vn - pow(vs / vn, 2), 0.5) AS std, row_number() OVER (ORDER BY code NULLS FIRST) AS i FROM s2)
-SELECT i AS code, count(*) AS n, count(numeric_value) AS n_values, round(min((numeric_value - mean) / std), 2) AS z_min, round(max((numeric_value - mean) / std), 2) AS z_max FROM o JOIN t2 ON o.code = t2.code GROUP BY i"""
+SELECT i AS code, count(*) AS n, count(numeric_value) AS n_values, round(min(CAST(CAST((numeric_value - mean) / std AS FLOAT) AS DOUBLE)), 2) AS z_min, round(max(CAST(CAST((numeric_value - mean) / std AS FLOAT) AS DOUBLE)), 2) AS z_max FROM o JOIN t2 ON o.code = t2.code GROUP BY i"""
 )
 def flagship_pipeline(spark, d):
     rows = flagship(spark, d)
