@@ -35,16 +35,23 @@ def water_fill(totals: dict[str | None, int], weights: tuple[int, ...] = (3, 1,
 
 def fit_budget(sizes: list[int], counts: list[int], budget: int, dense: int = 50_000) -> list[int]:
     """How many documents of each size to take, at most ``counts``, so that the words come to ``budget`` or the
-    nearest reachable sum below it.
+    nearest sum below it that the steps reach.
 
     First the same share of every size (rounded down), then the largest sizes until at most ``dense`` words are
     left, then an exact bounded-knapsack dynamic programme (bit sets, counts split into powers of two) over the
-    documents that remain.
+    documents that remain. If that misses a budget of at most ``dense`` words, the programme runs over all documents
+    instead, and its sum is the best there is.
     """
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget >= total:
         return list(counts)
-    take = [c * budget // total if s > 0 else 0 for s, c in zip(sizes, counts, strict=True)]
+    take = _fit(sizes, counts, budget, dense, [c * budget // total if s > 0 else 0 for s, c in zip(sizes, counts, strict=True)])
+    if budget <= dense and sum(s * t for s, t in zip(sizes, take, strict=True)) < budget:
+        take = _fit(sizes, counts, budget, dense, [0] * len(sizes))
+    return take
+
+
+def _fit(sizes: list[int], counts: list[int], budget: int, dense: int, take: list[int]) -> list[int]:
     left = budget - sum(s * t for s, t in zip(sizes, take, strict=True))
     by_size = sorted((i for i, s in enumerate(sizes) if s > 0), key=lambda i: -sizes[i])
     for i in by_size:

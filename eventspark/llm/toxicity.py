@@ -191,10 +191,10 @@ def _step(model: GruModel, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tu
     """Loss, gradients of the network's parameters, and of its inputs x (steps, n, d). mask: (steps, n)."""
     p, (steps, n, _) = model.p, x.shape
     h = p["uf"].shape[0]
-    states = np.zeros((steps, n, 2 * h), dtype=np.float32)
+    states = np.zeros((steps, n, 2 * h), dtype=x.dtype)
     kept: dict[int, list] = {0: [], 1: []}
     for way, (w, u, b) in enumerate((("wf", "uf", "bf"), ("wb", "ub", "bb"))):
-        s = np.zeros((n, h), dtype=np.float32)
+        s = np.zeros((n, h), dtype=x.dtype)
         g_all = x @ p[w] + p[b]
         for t in range(steps) if way == 0 else range(steps - 1, -1, -1):
             g, r, m = g_all[t], s @ p[u], mask[t][:, None]
@@ -210,7 +210,7 @@ def _step(model: GruModel, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tu
     pooled = np.einsum("tn,tnh->nh", a, states)
     prob = _sig(pooled @ p["wo"] + p["bo"])
     loss = float(-np.mean(y * np.log(prob + 1e-7) + (1 - y) * np.log(1 - prob + 1e-7)))
-    d = ((prob - y) / n).astype(np.float32)
+    d = ((prob - y) / n).astype(x.dtype)
     grad = {"wo": pooled.T @ d, "bo": d.sum()}
     dpool = d[:, None] * p["wo"]
     ds = a[:, :, None] * dpool
@@ -222,9 +222,9 @@ def _step(model: GruModel, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tu
     ds = ds + dk @ p["wa"].T
     dx = np.zeros_like(x)
     for way, (w, u, b) in enumerate((("wf", "uf", "bf"), ("wb", "ub", "bb"))):
-        dg = np.zeros((steps, n, 3 * h), dtype=np.float32)
+        dg = np.zeros((steps, n, 3 * h), dtype=x.dtype)
         du = np.zeros_like(p[u])
-        back = np.zeros((n, h), dtype=np.float32)
+        back = np.zeros((n, h), dtype=x.dtype)
         for t, s, zr, c, r in reversed(kept[way]):
             m = mask[t][:, None]
             back = back + ds[t, :, way * h : (way + 1) * h]

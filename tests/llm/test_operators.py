@@ -1,0 +1,463 @@
+"""The training-data operators against brute force, exact round trips and held-out accuracy, and on odd inputs."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from eventspark.llm import decontam, html_extract, langid, license_scan, line_dedup, mixing, ngram_join, sharding, topk, toxicity
+from eventspark.llm.common import table
+from eventspark.llm.components import connected_components
+
+SF = "/root/testdata/sf0.001"
+LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, shard int, score string, rank int, start int"
+LONG = "lorem ipsum dolor " * 30_000
+
+
+def docs_of(spark, texts, source="s"):
+    """Documents with columns whose names clash with those that operators add."""
+    rows = [(i, t, "en", source if not callable(source) else source(i), None, 9, "x", 1, 2) for i, t in texts]
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "one two three"), (5, "one two three"), (5, "one two three"), (None, "one two three"), (7, LONG), (8, "Ünï ßtraße 漢字 🎉 !!!")]
+
+
+# -- sharding --------------------------------------------------------------------------------------------------
+
+
+def test_differencing_balances_and_places_everything():
+    rng = random.Random(1)
+    sizes = [rng.randint(1, 5000) for _ in range(500)]
+    place = sharding.difference([[s] for s in sizes], 8)
+    sums = Counter()
+    for s, p in zip(sizes, place, strict=True):
+        sums[p[0]] += s
+        assert sorted(p) == list(range(8))
+    assert max(sums.values()) - min(sums.values()) <= 8
+    assert sharding.difference([], 8) == []
+
+
+@pytest.mark.parametrize("buckets, off", [({}, 1.001), ({"bucket_groups": 20, "fan_in": 3}, 1.15)])
+def test_shards_by_bytes(spark, buckets, off):
+    docs = table(spark, SF, "documents")
+    got = sharding.shard_by_bytes(docs, 8, **buckets).collect()
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert len(got) == len(text)
+    by_shard, of_text = defaultdict(list), {}
+    for r in got:
+        t = text[r["doc_id"]]
+        assert r["size"] == len(t.encode()) + 1
+        assert r["text_crc32"] == zlib.crc32(t.encode())
+        assert of_text.setdefault(t, r["shard"]) == r["shard"]
+        by_shard[r["shard"]].append(r)
+    sums = [sum(r["size"] for r in v) for v in by_shard.values()]
+    assert len(sums) == 8
+    assert max(sums) <= sum(sums) / 8 * off
+    for v in by_shard.values():
+        assert sorted(r["slot"] for r in v) == list(range(len(v)))
+    odd = sharding.shard_by_bytes(docs_of(spark, ODD), 3).collect()
+    assert len(odd) == len(ODD)
+    assert {r["doc_id"]: (r["size"], r["text_crc32"]) for r in odd if r["doc_id"] in (1, 2)} == {1: (1, None), 2: (1, 0)}
+    assert sharding.shard_by_bytes(docs_of(spark, ODD).where("false")).collect() == []
+
+
+def test_written_shards_round_trip(spark, tmp_path):
+    docs = table(spark, SF, "documents")
+    placed = sharding.shard_by_bytes(docs, 4)
+    sharding.write_shards(placed, docs, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r["doc_id"], r["text"]) for r in back.collect()) == sorted((r["doc_id"], r["text"]) for r in docs.collect())
+
+
+# -- mixing ----------------------------------------------------------------------------------------------------
+
+
+def test_water_filling():
+    got = mixing.water_fill({"a": 10, "b": 100, None: 5, "c": 100})
+    assert got["a"] == 20
+    assert got[None] <= 10
+    assert sum(got.values()) == Fraction(3, 2) * 215
+    assert mixing.water_fill({}) == {}
+    assert mixing.water_fill({"a": 0}) == {"a": 0}
+
+
+def test_budget_fitting_reaches_every_reachable_budget():
+    rng = random.Random(2)
+    for _ in range(150):
+        sizes = rng.sample(range(1, 30), rng.randint(1, 5))
+        counts = [rng.randint(1, 4) for _ in sizes]
+        reach = {sum(s * k for s, k in zip(sizes, ks, strict=True)) for ks in itertools.product(*[range(c + 1) for c in counts])}
+        budget = rng.randint(0, sum(s * c for s, c in zip(sizes, counts, strict=True)))
+        take = mixing.fit_budget(sizes, counts, budget)
+        got = sum(s * k for s, k in zip(sizes, take, strict=True))
+        assert all(0 <= k <= c for k, c in zip(take, counts, strict=True))
+        assert got == max(x for x in reach if x <= budget)
+
+
+def test_mix(spark):
+    docs = table(spark, SF, "documents")
+    a, b = (sorted(map(tuple, mixing.mix_sources(docs).drop("source").collect())) for _ in range(2))
+    assert a == b
+    info = {r["doc_id"]: (r["source"], len(re.findall(r"[^\x20\x09-\x0D]+", r["text"]))) for r in docs.collect()}
+    totals, taken, target = Counter(), Counter(), {}
+    for s, n in info.values():
+        totals[s] += n
+    for doc, size, source_size, goal, took in a:
+        s, n = info[doc]
+        assert (size, source_size) == (n, totals[s])
+        assert took in (0, n, 2 * n)
+        taken[s] += took
+        target[s] = goal
+    assert target == {s: float(t) for s, t in mixing.water_fill(dict(totals)).items()}
+    for s in totals:
+        assert abs(taken[s] - target[s]) <= 0.02 * target[s] + 5
+    odd = mixing.mix_sources(docs_of(spark, ODD, lambda i: None if i == 7 else "s")).collect()
+    assert len(odd) == len(ODD)
+    assert all(r["taken"] == 0 for r in odd if r["size"] == 0)
+    assert mixing.mix_sources(docs_of(spark, ODD).where("false")).collect() == []
+
+
+# -- decontamination -------------------------------------------------------------------------------------------
+
+
+def brute_hits(docs, bench, n=13):
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOWER))
+    grams = defaultdict(set)
+    for i, t in bench:
+        w = words(t)
+        if w and i is not None:
+            for a in range(max(1, len(w) - n + 1)):
+                grams[tuple(w[a : a + n])].add(str(i))
+    lens, out = {len(g) for g in grams}, []
+    for i, t in docs:
+        w, hit, items = words(t), set(), set()
+        for m in lens:
+            for a in range(len(w) - m + 1):
+                if found := grams.get(tuple(w[a : a + m])):
+                    items |= found
+                    hit |= set(range(a, a + m))
+        out.append((i, len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("rows", [20_000, 3])
+def test_decontamination(spark, rows):
+    docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
+    texts, items = [(r["doc_id"], r["text"]) for r in docs.collect()], [(r["item_id"], r["text"]) for r in bench.collect()]
+    plant = [(9001, "x " + items[0][1].upper() + " y"), (9002, "short item here"), (9003, "Short, item; É a b c d e f g"), *[x for x in ODD if x[0] != 5], (9004, items[1][1] + " " + items[2][1])]
+    extra = [(900, "SHORT item"), (901, None), (902, "!!"), (None, items[3][1]), (903, "漢字 🎉")]
+    all_docs = docs.select("doc_id", "text").union(spark.createDataFrame(plant, "doc_id long, text string")).withColumn("at", F.lit(1)).withColumn("len", F.lit(1))
+    all_items = bench.select("item_id", "text").union(spark.createDataFrame(extra, "item_id long, text string"))
+    got = decontam.decontaminate(all_docs, all_items, broadcast_rows=rows).drop("hit_at").collect()
+    assert sorted(map(tuple, got), key=str) == brute_hits(texts + plant, items + extra)
+    assert sum(r["contaminated"] for r in got) >= 3
+
+
+def test_decontamination_without_benchmark(spark):
+    docs = docs_of(spark, ODD)
+    got = decontam.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).collect()
+    assert len(got) == len(ODD)
+    assert not any(r["contaminated"] or r["n_hit"] for r in got)
+
+
+# -- n-gram join -----------------------------------------------------------------------------------------------
+
+
+def brute_components(texts):
+    sets = {}
+    for i, t in texts:
+        w = re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER))
+        sets[i] = {tuple(w[a : a + 5]) for a in range(max(1, len(w) - 4))} if w else set()
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sets, 2):
+        x, y = sets[a], sets[b]
+        if x and y and 100 * len(x & y) >= 80 * len(x | y):
+            lo, hi = sorted((find(a), find(b)))
+            parent[hi] = lo
+    return {i: (len(sets[i]), find(i)) for i in sets}
+
+
+def near_copies(seed=3, groups=12):
+    """Chains and stars of edited copies around the threshold, of 1 to 200 words, some sharing a common passage."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 4)))
+    passage = [word() for _ in range(40)]
+    out = []
+    for g in range(groups):
+        base = [word() for _ in range(rng.choice((1, 3, 5, 7, 9, 12, 20, 40, 90, 200)))]
+        if g % 2:
+            base = base[: len(base) // 2] + passage + base[len(base) // 2 :]
+        last = base
+        for k in range(8):
+            own = list(last if k % 2 else base)
+            for _ in range(rng.choice((0, 1, 1, 2, 3))):
+                own[rng.randrange(len(own))] = word()
+            if rng.random() < 0.3:
+                own += [word()]
+            last = own
+            out.append(" ".join(w.upper() if rng.random() < 0.2 else w for w in own))
+    rng.shuffle(out)
+    return [(1000 - i, t) for i, t in enumerate(out)]
+
+
+@pytest.mark.parametrize("hub_rounds", [1, 2])
+def test_join_finds_all_components(spark, hub_rounds):
+    texts = near_copies(seed=hub_rounds) + [(1, None), (2, ""), (3, " \n\t "), (7, LONG), (8, LONG + " x")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs_of(spark, texts).repartition(5), hub_rounds=hub_rounds).collect()}
+    assert got == brute_components(texts)
+
+
+def test_join_on_the_table_and_odd_rows(spark):
+    docs = table(spark, SF, "documents")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs).collect()}
+    assert got == brute_components([(r["doc_id"], r["text"]) for r in docs.collect()])
+    odd = ngram_join.join_components(docs_of(spark, ODD)).collect()
+    assert len(odd) == len(ODD)
+    assert {r["doc_id"]: r["component_id"] for r in odd} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 4, None: None, 7: 7, 8: 8}
+    assert ngram_join.join_components(docs_of(spark, ODD).where("false")).collect() == []
+
+
+def test_signatures_of_similar_sets_meet():
+    rng = np.random.default_rng(5)
+    scheme = ngram_join.PartEnum()
+    for n in [*range(1, 60), 90, 150, 400, 1000]:
+        for _ in range(20):
+            u = np.unique(rng.integers(0, 2**63, 2 * n + 2).astype(np.uint64))
+            rng.shuffle(u)
+            apart = int(0.2 * n)  # of a union of n
+            cut = rng.integers(0, apart + 1)
+            a, b = np.sort(u[: n - cut]), np.sort(np.concatenate((u[: n - apart], u[n - cut : n])))
+            both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            if len(a) and len(b) and 5 * both >= 4 * either:
+                assert np.intersect1d(scheme.signatures(a), scheme.signatures(b)).size, (n, cut)
+
+
+def test_components(spark):
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(220)] + [(1000 + i, 1001 + i) for i in range(60)] + [(None, 3), (5, 5)]
+    got = {r["node"]: r["comp"] for r in connected_components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        if a is not None and a != b:
+            lo, hi = sorted((find(a), find(b)))
+            root[hi] = lo
+    assert got == {x: find(x) for x in root}
+
+
+# -- line runs and licenses ------------------------------------------------------------------------------------
+
+
+def brute_lines(docs, least=50):
+    lines = {(i, t): [(k, x, len(x.split())) for k, x in enumerate(t.split("\n")) if x.split()] for i, t in docs if t is not None}
+    gone, first = defaultdict(set), {}
+    for i in sorted(lines):
+        own = lines[i]
+        for p in range(len(own)):
+            words = 0
+            for e in range(p, len(own)):
+                words += own[e][2]
+                if words >= least:
+                    key = tuple(x[1] for x in own[p : e + 1])
+                    if first.setdefault(key, (i, p)) < (i, p):
+                        gone[i].update(x[0] for x in own[p : e + 1])
+    return gone
+
+
+def test_line_runs(spark):
+    rng = random.Random(6)
+    pool = [" ".join(f"w{k}{j}" for j in range(rng.choice((1, 4, 9, 20, 30, 60)))) for k in range(14)]
+    texts = [(i, "\n".join(rng.choice(pool) if rng.random() < 0.8 else f"own {i} {rng.random()}" for _ in range(rng.randint(1, 14)))) for i in range(40)]
+    texts += [(101, texts[3][1]), (102, "\n\n" + pool[3] + "\n\n" + pool[4] + "\n"), (103, None), (104, ""), (105, "\n".join(["a"] * 200)), (None, texts[3][1])]
+    got = line_dedup.dedup_lines(docs_of(spark, texts)).collect()
+    want = brute_lines([(-(1 << 63) if i is None else i, t) for i, t in texts])
+    assert len(got) == len(texts)
+    for r in got:
+        key = (-(1 << 63) if r["doc_id"] is None else r["doc_id"], r["text"])
+        assert r["gone"] == sorted(want.get(key, ())), r["doc_id"]
+        if r["text"] is not None:
+            parts = r["text"].split("\n")
+            assert r["n_lines"] == len(parts)
+            assert r["kept_text"] == "\n".join(x for k, x in enumerate(parts) if k not in want.get(key, ()))
+    assert line_dedup.dedup_lines(docs_of(spark, texts).where("false")).collect() == []
+
+
+def test_licenses(spark):
+    rng = random.Random(7)
+    noise = lambda n: " ".join("".join(rng.choice("xyzuvw") for _ in range(5)) for _ in range(n))
+    names = sorted(license_scan.TEMPLATES)
+    texts, want = [], {}
+    for i in range(60):
+        chosen = rng.sample(names, rng.randint(0, 2))
+        body = noise(rng.randint(0, 300))
+        for c in chosen:
+            body += " " + license_scan.TEMPLATES[c].upper() + " " + noise(rng.randint(0, 200))
+        texts.append((i, body))
+        want[i] = set(chosen) | ({"Apache-2.0"} if "Apache-2.0-header" in chosen else set())
+    broken = license_scan.TEMPLATES["MIT-text"].split()
+    broken[10] = broken[40] = "changed"
+    texts += [(100, noise(50) + " " + " ".join(broken)), (101, None), (102, ""), (103, "licensed under the"), (104, " ".join(broken[:20]))]
+    want |= {100: {"MIT-text"}, 101: set(), 102: set(), 103: set(), 104: set()}
+    for rows in (20_000, 2):
+        got = license_scan.licenses_of(docs_of(spark, texts), license_scan.default_templates(spark), anchor_rows=rows).collect()
+        for r in got:
+            found = set(filter(None, r["licenses"].split(",")))
+            words = re.findall(r"[a-z0-9]+", (dict(texts)[r["doc_id"]] or "").lower())
+            have = {" ".join(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+            held = {n for n, t in license_scan.TEMPLATES.items() if (s := {" ".join(x) for w in [re.findall(r"[a-z0-9]+", t.lower())] for x in zip(*[w[j:] for j in range(5)], strict=False)}) and len(s & have) >= 0.8 * len(s)}
+            assert want[r["doc_id"]] <= found <= held, r["doc_id"]
+    assert license_scan.licenses_of(docs_of(spark, texts).where("false"), license_scan.default_templates(spark)).collect() == []
+    assert len(license_scan.licenses_of(docs_of(spark, texts), spark.createDataFrame([(None, "a b"), ("x", None)], "template string, text string")).collect()) == len(texts)
+
+
+# -- top-k -----------------------------------------------------------------------------------------------------
+
+
+def test_topk(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.normal(size=12) * rng.choice((0.1, 1, 3))]) for i in range(300)]
+    rows += [(300 + i, rows[5][1]) for i in range(30)]  # ties
+    odd = [(401, None), (402, [1.0, None] + [0.0] * 10), (403, [float("nan")] * 12), (404, [float("inf")] * 12), (405, [1.0] * 3), (None, rows[0][1])]
+    df = spark.createDataFrame([(i, v, 1, 2, 3) for i, v in rows + odd], "vec_id long, embedding array<double>, rank int, score int, floor int")
+    got = topk.search(df, F.col("vec_id") % 20 == 0, k=7, bucket_rows=16, query_rows=5).collect()
+    v = {i: np.floor(64 * np.array(x)).astype(int) for i, x in rows}
+    want = []
+    for q in (i for i in v if i % 20 == 0):
+        best = sorted(((-int(v[q] @ v[c]), c) for c in v if c != q))[:7]
+        want += [(q, n + 1, c, -s) for n, (s, c) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert topk.search(df.where("false"), F.col("vec_id") % 20 == 0).collect() == []
+    assert len(topk.search(df.where("vec_id < 3"), F.col("vec_id") == 0, k=20).collect()) == 2
+
+
+# -- html ------------------------------------------------------------------------------------------------------
+
+
+PAGES = {
+    "<html><head><title>T</title><style>p{}</style></head><body><nav><a href=x>Menu</a></nav><article><h1>Head &amp; more</h1><p><b>One  two.<br><p>Three,\n four.</article><footer>Foot</footer>": "Head & more\n\nOne two.\n\nThree, four.",
+    '<body><div class="ad">Buy this now, please.</div><main><p>Text one.</p><aside>Side.</aside><ul><li>A b</li><li>C d</ul><form><p>Your name</p></form><script>var t="</p>";</script></main>': "Text one.\n\nA b\n\nC d",
+    '<body><div id="content"><h2>Title</h2><p>A first paragraph, of some length.</p></div><div id="comments"><p>A reader says, rather loudly, that it is so.</p></div></body>': "Title\n\nA first paragraph, of some length.",
+    "<p>&lt;b&gt; &eacute;&#x41;&nbsp;z</p>": "<b> éA z",
+    "": "",
+    "plain text only": "plain text only",
+    "<article></article>": "",
+    "<article><p>Left <a href=y>linked</a> right.</p><div class='cookie-notice'>We use cookies.</div><div class=comments><p>no</p></div></article>": "Left linked right.",
+}
+
+
+def test_html(spark):
+    for page, text in PAGES.items():
+        assert html_extract.main_text(page) == text
+    df = spark.createDataFrame([(i, h, "old") for i, h in enumerate([*PAGES, None, "<div>" * 3000 + "deep"])], "page_id long, html string, text string")
+    got = {r["page_id"]: r for r in html_extract.extract(df).collect()}
+    assert [got[i]["text"] for i in range(len(PAGES))] == list(PAGES.values())
+    assert got[len(PAGES)]["text"] == "" and got[len(PAGES)]["n_chars"] == 0
+    assert got[3]["n_chars"] == len(got[3]["text"])
+
+
+def test_html_on_the_table(spark):
+    import html as h
+
+    for r in html_extract.extract(table(spark, SF, "pages")).collect():
+        article = re.search(r"<article>(.*)</article>", r["html"], re.S)[1]
+        blocks = [" ".join(h.unescape(re.sub(r"<[^>]*>", "", x.replace("<br>", " "))).split()) for x in re.split(r"</?(?:p|h1)>", article)]
+        assert r["text"] == "\n\n".join(x for x in blocks if x)
+
+
+# -- language ID and toxicity ----------------------------------------------------------------------------------
+
+
+def fold(i):
+    return zlib.crc32(str(i).encode()) % 5
+
+
+def test_language_id(spark):
+    from eventspark.llm.common import held_out
+
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = langid.fit_languages(docs, ~held_out("doc_id"))
+    assert set(model.members) == {"germanic", "romance"}
+    got = [r for r in langid.identify(docs, model).collect() if not fold(r["doc_id"])]
+    assert np.mean([r["lang"] == r["lang_pred"] for r in got]) >= 0.97
+    assert all(0 <= r["score"] <= 1 for r in got)
+    odd = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs_of(spark, [*ODD, (9, "123 !!"), (10, "𝒜𝒷")]), model).collect()}
+    assert [odd[i][0] for i in (1, 2, 3, 9)] == ["und"] * 4
+    assert odd[10][0] != "und"
+    none = langid.fit_languages(docs_of(spark, [(1, None)]).withColumn("lang", F.lit(None).cast("string")), F.lit(True))
+    assert {r["lang_pred"] for r in langid.identify(docs_of(spark, ODD), none).collect()} == {"und"}
+    assert langid.train(["abc", "xyz"], ["en", "en"]).predict("abc")[0] == "en"
+
+
+def test_network_gradients():
+    rng = np.random.default_rng(9)
+    m = toxicity.train(["good fine nice"] * 4 + ["bad awful vile"] * 4, [0] * 4 + [1] * 4, hidden=3, d_word=2, d_char=2, epochs=1, least_steps=1)
+    m.p = {k: np.asarray(v, dtype=np.float64) for k, v in m.p.items()}
+    x = rng.normal(size=(4, 3, 4))
+    mask, y = np.array([[1, 1, 1], [1, 1, 1], [1, 1, 0], [1, 0, 0]], dtype=float), np.array([1.0, 0.0, 1.0])
+    _, grad, dx = toxicity._step(m, x, mask, y)
+    for name in ("wf", "uf", "bf", "ub", "wa", "va", "wo"):
+        at = np.unravel_index(1, m.p[name].shape)
+        keep = m.p[name][at]
+        m.p[name][at] = keep + 1e-5
+        hi = toxicity._step(m, x, mask, y)[0]
+        m.p[name][at] = keep - 1e-5
+        lo = toxicity._step(m, x, mask, y)[0]
+        m.p[name][at] = keep
+        assert grad[name][at] == pytest.approx((hi - lo) / 2e-5, abs=2e-5), name
+    x[2, 1, 1] += 1e-5
+    hi = toxicity._step(m, x, mask, y)[0]
+    x[2, 1, 1] -= 2e-5
+    assert dx[2, 1, 1] == pytest.approx((hi - toxicity._step(m, x, mask, y)[0]) / 2e-5, abs=2e-5)
+
+
+def test_windows_cover_every_token():
+    start, size, doc = toxicity.window_index([0, 1, 32, 33, 100], 32, 16)
+    assert set(doc) == {1, 2, 3, 4}
+    covered = {i for s, n in zip(start, size, strict=True) for i in range(s, s + n)}
+    assert covered == set(range(166))
+    assert size.max() == 32
+
+
+def test_toxicity(spark):
+    rng = random.Random(10)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
+    rows = []
+    for i in range(600):
+        own = [rng.choice(words) for _ in range(rng.randint(5, 120))]
+        bad = i % 4 == 0
+        if bad:
+            own[rng.randrange(len(own))] = rng.choice(("slurone", "slurtwo"))
+        rows.append((i, " ".join(own), int(bad)))
+    docs = docs_of(spark, [(i, t) for i, t, _ in rows])
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    from eventspark.llm.common import held_out
+
+    model = toxicity.fit_toxicity(docs, labels, lambda i: ~held_out(i))
+    got = {r["doc_id"]: r for r in toxicity.score_toxicity(docs, model).collect()}
+    held = [(y, got[i]["predicted"], got[i]["score"]) for i, _, y in rows if not fold(i)]
+    assert np.mean([y == p for y, p, _ in held]) >= 0.95
+    assert all(0 <= s <= 1 and p == (s >= 0.5) for _, p, s in held)
+    odd = toxicity.score_toxicity(docs_of(spark, ODD), model).collect()
+    assert len(odd) == len(ODD)
+    assert all(r["predicted"] == 0 for r in odd if r["doc_id"] in (1, 2, 3))
+    assert toxicity.train([], []).score(["a", None]).shape == (2,)
