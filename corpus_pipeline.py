@@ -31,7 +31,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     nothing and stay; rows without an id cannot be told apart by id and stay."""
     comps = ngram_join.join_components(docs, k=5, num=4, den=5)
     gone = comps.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id", "text"]).select(*COLUMNS)
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    repeated = docs.groupBy("doc_id").count().where("count > 1")
+    return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
