@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from pathlib import Path
 from typing import Any
@@ -141,14 +142,15 @@ class Pipeline:
             df, meta = self.apply_step(step, df, meta, splits)
         return df, meta
 
-    def run(self, spark: SparkSession, input_dir: str, output_dir: str, overwrite: bool = False, keep_intermediates: bool = False) -> None:
+    def run(self, spark: SparkSession, input_dir: str, output_dir: str, overwrite: bool = False, keep_intermediates: bool = False, read: Callable[[SparkSession, str], DataFrame] | None = None, write: Callable[[DataFrame, str], None] | None = None) -> None:
         """Read ``data``, ``metadata/codes.parquet`` and ``metadata/subject_splits.parquet``, write ``data`` and
         ``metadata/codes``. Each fit is written once and read again, so its scan isn't repeated by every later use;
-        finished parts (with a commit marker) are taken up by a rerun."""
+        finished parts (with a commit marker) are taken up by a rerun. ``read`` and ``write`` replace the Parquet
+        source and sink of the rows."""
         root = output_dir.rstrip("/")
         if tables.is_complete(spark, f"{root}/data") and not overwrite:
             return
-        df = tables.read_events(spark, f"{input_dir}/data", keep_order=True)
+        df = read(spark, f"{input_dir}/data") if read else tables.read_events(spark, f"{input_dir}/data", keep_order=True)
         meta = self._optional(spark, f"{input_dir}/metadata/codes.parquet")
         splits = self._optional(spark, f"{input_dir}/metadata/subject_splits.parquet")
         for i, step in enumerate(self.steps):
@@ -167,7 +169,9 @@ class Pipeline:
         mode = "overwrite"
         if meta is not None:
             meta.write.mode(mode).parquet(f"{root}/metadata/codes")
-        if {"split", "shard"} <= set(df.columns):
+        if write:
+            write(df, f"{root}/data")
+        elif {"split", "shard"} <= set(df.columns):
             shards = df.select("subject_id", "split", "shard").distinct()
             tables.write_events(df.drop("split", "shard"), f"{root}/data", shards, mode)
         else:

@@ -36,16 +36,29 @@ class Stage:
         params = inspect.signature(self.fn).parameters
         own = {k: v for k, v in given.items() if k in params}
         if self.whole:
-            return self.fn(**own, **{self.whole: cfg})
+            return _applied(self.fn(**own, **{self.whole: cfg}), given)
         if "do_drop_numeric_value" in cfg:
             cfg.setdefault("drop_numeric_value", cfg.pop("do_drop_numeric_value"))
         if unknown := [k for k in cfg if k not in params]:
             raise ValueError(f"Stage '{self.name}' has no setting {unknown}. Known: {[k for k in params if k not in BOUND]}")
-        return self.fn(**own, **cfg)
+        return _applied(self.fn(**own, **cfg), given)
+
+
+def _applied(got: Any, given: dict[str, Any]) -> DataFrame:
+    """A stage may return its result, or a function of the rows (None: the rows as they are)."""
+    if got is None:
+        return given["df"]
+    return got(given["df"]) if callable(got) and not hasattr(got, "columns") else got
+
+
+def identity(df: DataFrame) -> DataFrame:
+    """The rows as they are."""
+    return df
 
 
 class Registry(dict[str, Stage]):
-    def add(self, fn: Callable[..., DataFrame], name: str | None = None, kind: str | None = None, defaults: dict[str, Any] | None = None, whole: str | None = None, is_metadata: bool | None = None) -> Stage:
+    def add(self, fn: Callable[..., Any] | None, name: str | None = None, kind: str | None = None, defaults: dict[str, Any] | None = None, whole: str | None = None, is_metadata: bool | None = None) -> Stage:
+        fn = fn or identity
         name = name or fn.__name__
         if kind is None:
             kind = "main" if fn.__name__ == "main" else "map"

@@ -76,6 +76,27 @@ def test_registry():
         r["mine"].bind({"m": 5}, {"df": "d"})
 
 
+def test_functors_and_identity():
+    r = builtin()
+    r.add(lambda n: (lambda df: (df, n)), name="functor")
+    r.add(lambda n=None: None, name="nothing")
+    r.add(None, name="as_is")
+    assert r["functor"].bind({"n": 3}, {"df": "rows"}) == ("rows", 3)
+    assert r["nothing"].bind({}, {"df": "rows"}) == r["as_is"].bind({}, {"df": "rows"}) == "rows"
+
+
+def test_one_stage_from_the_command_line(spark, tmp_path):
+    events(spark, False).write.parquet(str(tmp_path / "in/data/0"))
+    assert main(["stage", "drop_regex", "regex=^T", f"input_dir={tmp_path}/in", f"output_dir={tmp_path}/out"]) == 0
+    assert spark.read.parquet(str(tmp_path / "out/data")).where("code = 'TEMP'").count() == 0
+
+
+def test_own_source_and_sink(spark, tmp_path):
+    got = []
+    Pipeline(parse_stages([{"drop_regex": {"regex": "^T"}}])).run(spark, "x", str(tmp_path), read=lambda s, p: events(s, False), write=lambda df, p: got.append(df.count()))
+    assert got == [49]
+
+
 def test_match_revise_on_fit_is_refused(spark):
     p = Pipeline(parse_stages([{"aggregate_code_metadata": {"_match_revise": [{"_matcher": {}}]}}]))
     with pytest.raises(ValueError, match="map stages only"):
