@@ -96,7 +96,8 @@ def with_file_bins(settings: dict[str, Any]) -> dict[str, Any]:
 @dataclass
 class Pipeline:
     """Composes stages. Rows flow through ``map`` stages; ``fit`` stages see the train split only (if there are
-    splits) and merge into the code metadata, which later stages get. Nothing runs until a result is used."""
+    splits) and merge into the code metadata, which later stages get and which is kept once computed. Nothing runs
+    until a result is used. ``persist_before_fit`` also keeps the rows that a fit and the stages after it read."""
 
     steps: list[Step]
     registry: Registry = field(default_factory=builtin)
@@ -119,6 +120,8 @@ class Pipeline:
         if step.base == "bin_numeric_values":
             settings = with_file_bins(settings)
         blocks, mode = settings.pop("_match_revise", None), settings.pop("_match_revise_mode", "match_and_revise")
+        if self.persist_before_fit and stage.kind == "fit":
+            df = df.persist()
         rows = tables.of_split(df, splits) if train_only and splits is not None and stage.kind == "fit" else df
         if blocks is not None:
             if stage.kind != "map":
@@ -128,9 +131,9 @@ class Pipeline:
             return match_revise(df, blocks, lambda d, s: self._call(stage, with_file_bins(s), d, meta, splits), settings, mode), meta
         got = self._call(stage, settings, rows, meta, splits)
         if stage.kind == "fit":
-            return df, merge_metadata(got, meta, self.code_modifiers) if meta is not None else got
-        if stage.kind == "meta":
-            return df, got
+            got = merge_metadata(got, meta, self.code_modifiers) if meta is not None else got
+        if stage.is_metadata:  # a row per code, used by several later stages: kept, so its scan runs once
+            return df, got.persist()
         return got, meta
 
     def _call(self, stage: Stage, settings: dict[str, Any], df: DataFrame, meta: DataFrame | None, splits: DataFrame | None) -> DataFrame:
