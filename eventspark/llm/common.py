@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventspark.functions.numbering import numbered
 
-__all__ = ["WORD_GAP", "held_out", "materialize", "numbered", "purge_scratch", "scratch_root", "table", "words_of"]
+__all__ = ["WORD_GAP", "discard", "held_out", "materialize", "numbered", "purge_scratch", "scratch_root", "table", "words_of"]
 
 #: White space that separates words for word counts and shingles: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -39,13 +39,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` made and that no frame still in use reads."""
+    for df in tables:
+        _delete(df.sparkSession, df.__dict__.pop("scratch_path"))
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def purge_scratch(spark: SparkSession) -> None:
     """Delete every table that ``materialize`` wrote in this application. Frames built on them end with it."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, scratch_root(spark))
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventspark.llm.common import materialize
+from eventspark.llm.common import discard, materialize
 
 
 def _mark(edges: DataFrame) -> tuple[int, int]:
@@ -30,7 +30,8 @@ def connected_components(links: DataFrame, a: str = "u", b: str = "v") -> DataFr
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u")
         new = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        edges = materialize(new, "cc")
+        old, edges = edges, materialize(new, "cc")
+        discard(old)
         last, mark = mark, _mark(edges)
         if mark == last:
             break

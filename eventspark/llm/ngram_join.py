@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventspark.llm.common import materialize
+from eventspark.llm.common import discard, materialize
 from eventspark.llm.components import connected_components
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -83,19 +83,20 @@ class PartEnum:
         if not n:
             return s
         band = int(np.searchsorted(self.low, n, side="right")) - 1
-        out = [self._instance(s, band)]
+        mixed = mix(s)
+        out = [self._instance(s, mixed, band)]
         if n * self.den >= self.num * self.low[band + 1]:
-            out.append(self._instance(s, band + 1))
+            out.append(self._instance(s, mixed, band + 1))
         return np.concatenate(out)
 
-    def _instance(self, s: np.ndarray, t: int) -> np.ndarray:
+    def _instance(self, s: np.ndarray, mixed: np.ndarray, t: int) -> np.ndarray:
         n, top = len(s), self.low[t + 1] - 1
         k = self.most_apart(2 * top)
         if k <= 2:
             parts = k + 4
             own = ((s >> np.uint64(33)) * np.uint64(parts)) >> _U31
             sums = np.zeros(parts, dtype=np.uint64)
-            np.add.at(sums, own.astype(np.int64), mix(s))
+            np.add.at(sums, own.astype(np.int64), mixed)
             tags = [(i, sums[list(c)].sum(dtype=np.uint64)) for i, c in enumerate(combinations(range(parts), parts - k))]
             return mix(np.array([v for _, v in tags], dtype=np.uint64) ^ self._tag(t, 9, np.array([i for i, _ in tags])))
         k_own = self.most_apart(n + min(top, n * self.den // self.num))
@@ -104,7 +105,7 @@ class PartEnum:
             x = s if not level else np.sort(mix(s ^ np.uint64(level * 0x5851F42D4C957F2D & (1 << 64) - 1)))
             own = ((x >> np.uint64(33)) * np.uint64(k + 1)) >> _U31
             at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-            sums = np.add.reduceat(mix(x), at)
+            sums = np.add.reduceat(mix(x) if level else mixed, at)
             out.append(mix(sums ^ self._tag(t, level, own[at].astype(np.int64))))
             if len(at) > k_own:
                 return np.concatenate(out) if level else out[0]
@@ -121,24 +122,42 @@ def _words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-_SIGNED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())])
-_SHARED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64())])
+_SIGNED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
+_ROWS = "sig long, doc long, n long, sketch array<long>"
+_PLACES = 1024
+
+
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parity of the set's features by 1,024 places, in 16 integers: two sets differ by at least as many features
+    as places."""
+    odd = np.bincount((s & np.uint64(_PLACES - 1)).astype(np.int64), minlength=_PLACES) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _batch(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+    """Signature rows. Their sketch is empty, not null: Spark writes a null list to Arrow in time that grows with its
+    place in the batch."""
+    none = pa.ListArray.from_arrays(pa.array(np.zeros(len(doc) + 1, dtype=np.int32)), pa.array([], pa.int64()))
+    return pa.record_batch([pa.array(sig.astype(np.int64, copy=False)), pa.array(doc), pa.array(np.full(len(doc), -1, dtype=np.int64)), none], schema=_SIGNED)
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
 def _sign(k: int, num: int, den: int, most_seen: int = 100_000):
-    """(id, text) -> a row per signature of each set (n = -1), and a row per document with its node and set size
-    (sig = node). A text whose words the task has met before gets the earlier document's node, no signatures."""
+    """(id, text) -> a row per signature of each set (n = -1), and a row per document with its node, set size and
+    sketch (sig = node). A text whose words the task has met before gets the earlier document's node, and neither
+    signatures nor a sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, scheme, seen = _Words(), PartEnum(num, den), {}
         for batch in batches:
-            sig, doc, size = [], [], []
-            held = 0
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            sig, doc, held = [], [], 0
+            nodes, sizes, sketches = [], [], []
+            ids = batch.column(0).to_pylist()
+            for i, text in zip(ids, batch.column(1).to_pylist(), strict=True):
                 words = _words_of(text) if text else []
                 key = xxhash.xxh3_128_digest(b" ".join(words))
                 node, n = seen.get(key, (None, None)) if words and i is not None else (None, None)
+                made: np.ndarray | list = []
                 if node is None:
                     s = shingle_set(words, k, memo)
                     node, n = i, len(s)
@@ -146,34 +165,60 @@ def _sign(k: int, num: int, den: int, most_seen: int = 100_000):
                         x = scheme.signatures(s)
                         sig.append(x.view(np.int64))
                         doc.append(np.full(len(x), i, dtype=np.int64))
-                        size.append(np.full(len(x), -1, dtype=np.int64))
                         held += len(x)
+                        made = sketch(s)
                         if len(seen) >= most_seen:
                             seen.clear()
                         seen[key] = (i, n)
-                yield_row = pa.record_batch([pa.array([node], pa.int64()), pa.array([i], pa.int64()), pa.array([n], pa.int64())], schema=_SIGNED) if i is None else None
-                if yield_row is not None:
-                    yield yield_row
-                else:
-                    sig.append(np.array([node], dtype=np.int64))
-                    doc.append(np.array([i], dtype=np.int64))
-                    size.append(np.array([n], dtype=np.int64))
+                nodes.append(node)
+                sizes.append(n)
+                sketches.append(made)
                 if held > 500_000:
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (sig, doc, size)], schema=_SIGNED)
-                    sig, doc, size, held = [], [], [], 0
+                    yield _batch(np.concatenate(sig), np.concatenate(doc))
+                    sig, doc, held = [], [], 0
             if sig:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in (sig, doc, size)], schema=_SIGNED)
+                yield _batch(np.concatenate(sig), np.concatenate(doc))
+            yield pa.record_batch([pa.array(nodes, pa.int64()), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sketches, pa.list_(pa.int64()))], schema=_SIGNED)
 
     return run
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by signature and document: those whose signature two documents or more have, once each, and
-    all document rows. Streams; at most one batch and one row are held."""
-    last: tuple[int, int, bool] | None = None  # signature, document, already given out
-
-    def out(sig, doc):
-        return pa.record_batch([pa.array(sig, pa.int64()), pa.array(doc, pa.int64()), pa.array(np.full(len(sig), -1, dtype=np.int64))], schema=_SHARED)
+def _shared(batches: Iterator[pa.RecordBatch], most_run: int = 4096, most_seen: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by signature and document: for each signature of two documents or more a bucket with its
+    documents (n = -1), and all document rows. Signatures with the same documents make one bucket, named after
+    them, which a task gives out once. A signature with more than ``most_run`` documents streams through as a bucket
+    of its own, so no group is held."""
+    seen: set[int] = set()
+    held_sig, held_doc = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    big: int | None = None  # the signature that streams through
+
+    def rows(bucket: np.ndarray, doc: np.ndarray) -> pa.RecordBatch:
+        return _batch(bucket, doc)
+
+    def name(sig: int) -> int:
+        return int(mix(np.array([sig], dtype=np.int64).view(np.uint64)).view(np.int64)[0])
+
+    def whole(sig: np.ndarray, doc: np.ndarray) -> pa.RecordBatch | None:
+        """The new buckets among complete runs."""
+        at = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+        size = np.diff(np.append(at, len(sig)))
+        keep = np.repeat(size > 1, size)
+        if not keep.any():
+            return None
+        doc, size = doc[keep], size[size > 1]
+        at = np.cumsum(size) - size
+        bucket = mix(np.add.reduceat(mix(doc.view(np.uint64)), at) + size.astype(np.uint64))
+        _, index = np.unique(bucket, return_index=True)
+        new = np.array([i for i, v in zip(index.tolist(), bucket[index].tolist(), strict=True) if v not in seen], dtype=np.int64)
+        if not len(new):
+            return None
+        if len(seen) + len(new) > most_seen:
+            seen.clear()
+        seen.update(bucket[new].tolist())
+        pick = np.zeros(len(size), dtype=bool)
+        pick[new] = True
+        pick = np.repeat(pick, size)
+        return rows(np.repeat(bucket, size)[pick].view(np.int64), doc[pick])
 
     for batch in batches:
         n = batch.column(2).to_numpy(zero_copy_only=False)
@@ -183,20 +228,28 @@ def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             batch = batch.filter(pa.array(~is_doc))
         if not batch.num_rows:
             continue
-        sig, doc = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if last is not None:
-            sig, doc = np.concatenate(([last[0]], sig)), np.concatenate(([last[1]], doc))
+        sig, doc = np.concatenate((held_sig, batch.column(0).to_numpy())), np.concatenate((held_doc, batch.column(1).to_numpy()))
         new = np.concatenate(([True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])))
         sig, doc = sig[new], doc[new]
-        same = sig[1:] == sig[:-1]
-        keep = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        given = last is not None and last[2]
-        if given:
-            keep[0] = False
-        end = (int(sig[-1]), int(doc[-1]), bool(keep[-1]) or (len(sig) == 1 and given))
-        if keep.any():
-            yield out(sig[keep], doc[keep])
-        last = end
+        if big is not None:
+            end = int(np.searchsorted(sig, big, side="right"))
+            if end:
+                yield rows(np.full(end, name(big)), doc[:end])
+                sig, doc = sig[end:], doc[end:]
+            if not len(sig):
+                held_sig, held_doc = sig, doc
+                continue
+            big = None
+        last = int(np.searchsorted(sig, sig[-1], side="left"))
+        if last and (got := whole(sig[:last], doc[:last])):
+            yield got
+        held_sig, held_doc = sig[last:], doc[last:]
+        if len(held_sig) > most_run:
+            big = int(held_sig[0])
+            yield rows(np.full(len(held_sig), name(big)), held_doc)
+            held_sig, held_doc = held_sig[:0], held_doc[:0]
+    if len(held_sig) and (got := whole(held_sig, held_doc)):
+        yield got
 
 
 def _verify(k: int, num: int, den: int):
@@ -226,28 +279,50 @@ def _verify(k: int, num: int, den: int):
     return run
 
 
-_SKETCH = pa.schema([("doc", pa.int64()), ("size", pa.int64()), ("sketch", pa.binary())])
+def _might_hold(bits: np.ndarray):
+    """Rows whose id may be in the set behind a bitmap (no id of the set is lost)."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = bits.value
+        size = np.uint64(len(own) * 8)
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            at = mix(batch.column(0).to_numpy().view(np.uint64)) % size
+            yield batch.filter(pa.array((own[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)))
 
-def _sketches(k: int, words: int = 16):
-    """Parity of the set's features by 1,024 places: two sets differ by at least as many features as places."""
+    return run
+
+
+def _mark(size: int):
+    """Places of ids in a bitmap of ``size`` bits, each once for a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Words()
+        own = np.zeros(size, dtype=bool)
         for batch in batches:
-            size, made = [], []
-            for text in batch.column(1).to_pylist():
-                s = shingle_set(_words_of(text), k, memo)
-                odd = np.bincount((s & np.uint64(64 * words - 1)).astype(np.int64), minlength=64 * words) & 1
-                size.append(len(s))
-                made.append(np.packbits(odd.astype(np.uint8)).tobytes())
-            yield pa.record_batch([batch.column(0), pa.array(size, pa.int64()), pa.array(made, pa.binary())], schema=_SKETCH)
+            own[(mix(batch.column(0).to_numpy().view(np.uint64)) % np.uint64(size)).astype(np.int64)] = True
+        yield pa.record_batch([pa.array(np.flatnonzero(own))], names=["at"])
 
     return run
 
 
+def _texts_of(base: DataFrame, ids: DataFrame, most_bits: int = 1 << 25) -> DataFrame:
+    """(doc, text) of the ids. Before the join a bitmap of at most ``most_bits`` bits (4 MB) thins the texts, so that
+    those of other documents are not shuffled; for too many ids it is left out."""
+    spark = base.sparkSession
+    texts = base.where("id is not null and text is not null")
+    n = ids.count()
+    size = 1 << max(12, (16 * n).bit_length())
+    if size <= most_bits:
+        at = ids.mapInArrow(_mark(size), "at long").distinct().toArrow().column("at").to_numpy()
+        bits = np.zeros(size, dtype=np.uint8)
+        bits[at] = 1
+        shared = spark.sparkContext.broadcast(np.packbits(bits, bitorder="little"))
+        texts = texts.mapInArrow(_might_hold(shared), "id long, text string")
+    return texts.join(ids.select(F.col("doc").alias("id")), "id", "left_semi").select(F.col("id").alias("doc"), "text")
+
+
 def _pairs(num: int, den: int, block: int = 256):
-    """Of rows (sig, doc, comp, size, sketch) sorted by signature: pairs of different components that size and
+    """Of rows (sig, doc, comp, n, sketch) sorted by bucket: pairs of different components that size and
     sketch allow to be similar."""
 
     def of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +330,7 @@ def _pairs(num: int, den: int, block: int = 256):
             return
         rows.sort(key=lambda r: (r[3], r[1]))
         doc, comp, size = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
-        bits = np.frombuffer(b"".join(r[4] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
+        bits = np.array([r[4] for r in rows], dtype=np.int64).view(np.uint64)
         for lo in range(0, len(rows), block):
             hi = min(lo + block, len(rows))
             last = int(np.searchsorted(size, size[hi - 1] * den // num, side="right"))
@@ -285,65 +360,69 @@ def _pairs(num: int, den: int, block: int = 256):
     return run
 
 
-def _checked(stars: DataFrame, texts: DataFrame, k: int, num: int, den: int, most: int = 2000) -> DataFrame:
-    """The links among (hub, doc) pairs. A hub with many documents is dealt over several tasks."""
-    stars = stars.where("hub <> doc").distinct()
+def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The (hub, doc) pairs that sizes and sketches allow to be similar."""
+    for side in ("hub", "doc"):
+        pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
+    apart = F.aggregate(F.zip_with("s_hub", "s_doc", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    total = F.col("n_hub") + F.col("n_doc")
+    sized = F.least("n_hub", "n_doc") * den >= F.greatest("n_hub", "n_doc") * num
+    return pairs.where(sized & (apart * (num + den) <= total * (den - num))).select("hub", "doc")
+
+
+def _checked(stars: DataFrame, base: DataFrame, k: int, num: int, den: int, most: int = 2000) -> DataFrame:
+    """The links among distinct (hub, doc) pairs. A hub with many documents is dealt over several tasks."""
+    stars = materialize(stars, "join-stars")
+    ids = stars.select("doc").union(stars.select(F.col("hub").alias("doc"))).distinct()
+    texts = _texts_of(base, ids)
     spread = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("s"))
     leaves = stars.join(spread, "hub").select("hub", F.pmod(F.xxhash64("doc"), F.col("s")).cast("int").alias("salt"), "doc")
     hubs = spread.select("hub", F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("salt"), F.col("hub").alias("doc"))
     rows = leaves.unionByName(hubs).join(texts, "doc").select("hub", "salt", "doc", "text")
     rows = rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", (F.col("doc") != F.col("hub")).cast("int"), "doc")
-    return rows.mapInArrow(_verify(k, num, den), "u long, v long").distinct()
+    links = materialize(rows.mapInArrow(_verify(k, num, den), "u long, v long").distinct(), "join-links")
+    discard(stars)
+    return links
 
 
-def join_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
+def join_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``: the smallest id reachable by links.
 
     Two documents link when the Jaccard similarity of their sets of distinct k-word shingles is ``num/den`` or
     more; A-Z is lower-cased. A text of fewer than k words is one shingle; null, empty and word-less texts have an
     empty set and link with nothing, as do rows without an id. Repeated rows count as the same node.
 
-    1. PartEnum signatures of every text (texts that a task meets again only point to the first).
-    2. One shuffle by signature; what two documents share goes on.
-    3. In each shared signature, the document with the most shared signatures is the hub, and all others are
-       compared exactly with it. Components of the found links follow. Twice.
-    4. Documents of one signature but still different components are compared all with all, in blocks: by size
-       and by a lower bound on their difference from sketches, then exactly.
+    1. PartEnum signatures and a sketch of every text (texts that a task meets again only point to the first).
+    2. One shuffle by signature. Signatures that two documents or more have become buckets; those with the same
+       documents are one bucket.
+    3. In each bucket, the document of the most buckets is the hub. Others are compared with it: by size and by a
+       lower bound on the difference from the sketches, then exactly. Components of the found links follow.
+    4. Documents of one bucket but still different components are compared all with all in the same way, in blocks.
 
     Pairs inside a component are never expanded, and every pair of different components that shares a signature is
     decided exactly, so the components are those of all links.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    signed = base.mapInArrow(_sign(k, num, den), "sig long, doc long, n long")
-    signed = signed.repartition("sig").sortWithinPartitions("sig", "doc")
-    found = materialize(signed.mapInArrow(_shared, "sig long, doc long, n long"), "join-shared")
+    signed = base.mapInArrow(_sign(k, num, den), _ROWS).repartition("sig").sortWithinPartitions("sig", "doc")
+    found = materialize(signed.mapInArrow(_shared, _ROWS), "join-shared")
     members = found.where("n <> -1").select(F.col("sig").alias("node"), F.col("doc").alias("id"), "n")
-    shared = found.where("n = -1").select("sig", "doc")
+    sketches = found.where("n > 0 and size(sketch) > 0").select(F.col("sig").alias("node"), "n", "sketch").dropDuplicates(["node"])
+    shared = materialize(found.where("n = -1").select("sig", "doc").distinct(), "join-buckets")
 
     rank = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("w"))
-    texts = materialize(base.where("id is not null and text is not null").join(rank.select(F.col("doc").alias("id")), "id", "left_semi").select(F.col("id").alias("doc"), "text"), "join-texts")
-    open_ = shared.join(rank, "doc").select("sig", "doc", "w", F.col("doc").alias("comp"))
-    links = None
-    for _ in range(hub_rounds):
-        hubs = open_.groupBy("sig").agg(F.max(F.struct("w", -F.col("doc"))).alias("top")).select("sig", (-F.col("top.col2")).alias("hub"))
-        hubs = hubs.join(open_.select("sig", F.col("doc").alias("hub"), F.col("comp").alias("hub_comp")), ["sig", "hub"])
-        stars = open_.join(hubs, "sig").where("comp <> hub_comp").select("hub", "doc")
-        new = materialize(_checked(stars, texts, k, num, den), "join-links")
-        links = new if links is None else links.unionByName(new)
-        comps = materialize(connected_components(links), "join-comps")
-        rest = open_.join(hubs.select("sig", "hub"), "sig").where("doc <> hub").drop("hub", "comp")
-        rest = rest.join(comps, F.col("doc") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "doc")).drop("node")
-        mixed = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
-        open_ = materialize(rest.join(mixed, "sig", "left_semi").select("sig", "doc", "w", "comp"), "join-open")
-        if open_.isEmpty():
-            break
-    else:
-        needed = texts.join(open_.select("doc").distinct(), "doc", "left_semi")
-        sketches = needed.select("doc", "text").mapInArrow(_sketches(k), "doc long, size long, sketch binary").dropDuplicates(["doc"])
-        rows = open_.join(sketches, "doc").select("sig", "doc", "comp", "size", "sketch").repartition("sig").sortWithinPartitions("sig")
-        pairs = rows.mapInArrow(_pairs(num, den), "u long, v long").select(F.col("u").alias("hub"), F.col("v").alias("doc"))
-        links = links.unionByName(materialize(_checked(pairs, texts, k, num, den), "join-links"))
-        comps = materialize(connected_components(links), "join-comps")
+    hubs = shared.join(rank, "doc").groupBy("sig").agg(F.max_by("doc", "w").alias("hub"))
+    stars = shared.join(hubs, "sig").where("doc <> hub").select("hub", "doc").distinct()
+    links = _checked(_near(stars, sketches, num, den), base, k, num, den)
+    comps = materialize(connected_components(links), "join-comps")
+
+    rest = shared.join(comps, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("comp", "doc").alias("comp"))
+    mixed = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
+    rows = rest.join(mixed, "sig", "left_semi").join(sketches, F.col("doc") == F.col("node")).select("sig", "doc", "comp", "n", "sketch")
+    pairs = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(num, den), "u long, v long")
+    more = _checked(pairs.select(F.col("u").alias("hub"), F.col("v").alias("doc")).distinct(), base, k, num, den)
+    if not more.isEmpty():
+        comps = materialize(connected_components(links.unionByName(more)), "join-comps")
+    discard(shared, links, more)
 
     # The node of a document is its first copy in a task, not always the smallest id of the class.
     nodes = members.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select("id", "n", F.coalesce("comp", "node").alias("root"))

@@ -215,10 +215,10 @@ def near_copies(seed=3, groups=12):
     return [(1000 - i, t) for i, t in enumerate(out)]
 
 
-@pytest.mark.parametrize("hub_rounds", [1, 2])
-def test_join_finds_all_components(spark, hub_rounds):
-    texts = near_copies(seed=hub_rounds) + [(1, None), (2, ""), (3, " \n\t "), (7, LONG), (8, LONG + " x")]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs_of(spark, texts).repartition(5), hub_rounds=hub_rounds).collect()}
+@pytest.mark.parametrize("seed", [1, 2])
+def test_join_finds_all_components(spark, seed):
+    texts = near_copies(seed=seed) + [(1, None), (2, ""), (3, " \n\t "), (7, LONG), (8, LONG + " x")]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs_of(spark, texts).repartition(5)).collect()}
     assert got == brute_components(texts)
 
 
