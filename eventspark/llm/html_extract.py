@@ -154,15 +154,20 @@ def _likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     return n / max(len(a), len(b), 1)
 
 
-def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, within: float = 0.02) -> str:
+def _host(path: tuple[str, ...]) -> tuple[str, ...] | None:
+    """The path of the outermost article or main element that a path runs through."""
+    return next((path[: i + 1] for i, x in enumerate(path) if x in ("article", "main")), None)
+
+
+def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, within: float = 0.02, host_share: float = 0.1) -> str:
     """The article of a page; blocks in page order joined by two newlines.
 
     Text is summed per root-to-leaf tag path: characters outside links per block, and punctuation marks per
     block. Both ratios are smoothed over the paths by the share of the path that they have in common, fused by
     their geometric mean, and paths whose value reaches ``threshold`` times the page's text-weighted mean are
     content; headings beside content paths come with them. Menus, forms, hidden and furniture elements are cut
-    before. If text stands in an ``article`` or ``main`` element, only such paths can be content, and ``within``
-    times the threshold is enough for them.
+    before. Where the ``article`` or ``main`` elements of one path hold ``host_share`` of the page's text or more,
+    ``within`` times the threshold is enough for the paths below them; paths elsewhere are judged as on any page.
     """
     if not html:
         return ""
@@ -188,9 +193,11 @@ def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, wit
     text_ratio, mark_ratio = near @ sums[:, 0] / mass, near @ (sums[:, 1] + 0.5 * sums[:, 2]) / mass
     fused = np.sqrt(text_ratio * mark_ratio)
     level = float((fused * sums[:, 0]).sum() / max(sums[:, 0].sum(), 1))
-    hosts = {p for p in names if ("article" in p or "main" in p) and paths[p][0] > 0}
-    need = threshold * level * (within if hosts else 1.0)
-    good = {p for p, v in zip(names, fused, strict=True) if v >= need and paths[p][0] > 0 and (not hosts or p in hosts)}
+    held: dict[tuple[str, ...] | None, float] = {}
+    for p in names:
+        held[_host(p)] = held.get(_host(p), 0.0) + paths[p][0]
+    hosts = {h for h, own in held.items() if h and own >= host_share * sum(held.values())}
+    good = {p for p, v in zip(names, fused, strict=True) if v >= threshold * level * (within if _host(p) in hosts else 1.0) and paths[p][0] > 0}
     parents = {p[:-1] for p in good}
     good |= {p for p in names if p and p[-1] in HEADINGS and p[:-1] in parents and paths[p][0] > 0}
     return "\n\n".join(t for b, t in blocks if b.path in good)

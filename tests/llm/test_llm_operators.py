@@ -375,6 +375,13 @@ def test_html(spark):
     assert got[3]["n_chars"] == len(got[3]["text"])
 
 
+@pytest.mark.parametrize("box", ["<div class='box'><div class='text'>Weather 12</div></div>", "<article class='card'><p>Teaser one</p></article><article class='card'><p>Teaser two</p></article>"])
+def test_html_story_beside_marked_boxes(box):
+    story = [f"Paragraph {i} of the story, " + "told at some length, " * 15 + "ends." for i in range(8)]
+    page = f"<body><div class='lead-col'>{''.join(f'<p>{x}</p>' for x in story)}</div>{box}</body>"
+    assert html_extract.main_text(page) == "\n\n".join(story)
+
+
 def test_html_on_the_table(spark):
     import html as h
 
