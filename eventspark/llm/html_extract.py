@@ -45,9 +45,14 @@ def _marks(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
     return furniture, hidden, main and not furniture
 
 
+#: Elements that hold parts of a page; a table cell does if its text stands in elements of its own.
+SECTIONS = frozenset("html body div section article main center table".split())
+
+
 @dataclass
 class _Block:
     path: tuple[str, ...]
+    nodes: tuple[int, ...]  # the elements of the path by their number on the page
     heading: bool
     parts: list[str] = field(default_factory=list)
     linked: int = 0
@@ -63,7 +68,8 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, str]] = []  # tag; whether its text is dropped; its name in paths
+        self.stack: list[tuple[str, bool, str, int]] = []  # tag; whether its text is dropped; its name in paths; its number
+        self.count = 0
         self.links = 0
         self.blocks: list[_Block] = []
         self.open: _Block | None = None
@@ -105,7 +111,8 @@ class _Reader(HTMLParser):
         if tag not in INLINE:
             self._cut()
         self.links += tag == "a"
-        self.stack.append((tag, drop, "main" if main and tag not in INLINE and tag not in ("p", "html", "body") else tag))
+        self.count += 1
+        self.stack.append((tag, drop, "main" if main and tag not in INLINE and tag not in ("p", "html", "body") else tag, self.count))
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -133,8 +140,9 @@ class _Reader(HTMLParser):
         if self.open is None:
             if not data.strip():
                 return
-            path = tuple(x[2] for x in self.stack if x[0] not in INLINE)
-            self.open = _Block(path, bool(path) and path[-1] in HEADINGS)
+            around = [x for x in self.stack if x[0] not in INLINE]
+            path = tuple(x[2] for x in around)
+            self.open = _Block(path, tuple(x[3] for x in around), bool(path) and path[-1] in HEADINGS)
         self.open.parts.append(data)
         if self.links:
             self.open.linked += len(data.strip())
@@ -144,6 +152,20 @@ class _Reader(HTMLParser):
         self._cut()
 
 
+def _section(b: _Block) -> tuple[int, ...]:
+    """The elements down to the innermost part of the page that a block stands in."""
+    at = len(b.path)
+    while at and b.path[at - 1] not in SECTIONS and not (b.path[at - 1] in ("td", "th") and at < len(b.path)):
+        at -= 1
+    return b.nodes[:at]
+
+
+def _common(sections: set[tuple[int, ...]]) -> tuple[int, ...]:
+    lo, hi = min(sections), max(sections)
+    n = next((i for i, (x, y) in enumerate(zip(lo, hi, strict=False)) if x != y), min(len(lo), len(hi)))
+    return lo[:n]
+
+
 def _likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
     """Share of the longer path that two paths have in common from the root."""
     n = 0
@@ -166,8 +188,10 @@ def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, wit
     block. Both ratios are smoothed over the paths by the share of the path that they have in common, fused by
     their geometric mean, and paths whose value reaches ``threshold`` times the page's text-weighted mean are
     content; headings beside content paths come with them. Menus, forms, hidden and furniture elements are cut
-    before. Where the ``article`` or ``main`` elements of one path hold ``host_share`` of the page's text or more,
-    ``within`` times the threshold is enough for the paths below them; paths elsewhere are judged as on any page.
+    before. Everything else below the innermost element around all content comes with it (lists, tables,
+    definitions, captions), paths of nothing but links excepted. Where the ``article`` or ``main`` elements of one path hold ``host_share`` of the page's text or more,
+    ``within`` times the threshold is enough for the paths below them, and each such element is kept as a whole;
+    paths elsewhere are judged as on any page, and what comes with them ends before such an element.
     """
     if not html:
         return ""
@@ -200,7 +224,13 @@ def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, wit
     good = {p for p, v in zip(names, fused, strict=True) if v >= threshold * level * (within if _host(p) in hosts else 1.0) and paths[p][0] > 0}
     parents = {p[:-1] for p in good}
     good |= {p for p in names if p and p[-1] in HEADINGS and p[:-1] in parents and paths[p][0] > 0}
-    return "\n\n".join(t for b, t in blocks if b.path in good)
+    marked = {b.nodes[: len(_host(b.path))] for b, _ in blocks if b.path in good and _host(b.path) in hosts}
+    around = {_section(b) for b, _ in blocks if b.path in good and b.nodes[: len(_host(b.path) or ())] not in marked}
+    if around and not any(m[: len(top)] == top for top in [_common(around)] for m in marked):
+        around = {_common(around)}
+    around = {a for a in around if not any(m[: len(a)] == a for m in marked)} | marked
+    tops = {a[-1] if a else 0 for a in around}
+    return "\n\n".join(t for b, t in blocks if b.path in good or (paths[b.path][0] > 0 and not tops.isdisjoint((0, *b.nodes))))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

@@ -382,6 +382,18 @@ def test_html_story_beside_marked_boxes(box):
     assert html_extract.main_text(page) == "\n\n".join(story)
 
 
+@pytest.mark.parametrize("tag", ["div class='lead-col'", "td"])
+def test_html_keeps_lists_and_tables_of_the_story(tag):
+    story = [f"Paragraph {i} of the story, " + "told at some length, " * 18 + "ends." for i in range(20)]
+    rest = ["First of the list", "Second of the list", "Cell 1", "Cell 2", "Term", "What it means", "Seen from above"]
+    more = "<ul><li>{}</li><li>{}</li></ul><table><tr><td>{}</td><td>{}</td></tr></table><dl><dt>{}<dd>{}</dl><figure><figcaption>{}</figcaption></figure>".format(*rest)
+    page = f"<{tag}><p>{'</p><p>'.join(story)}</p>{more}</{tag.split()[0]}>"
+    if tag == "td":
+        page = f"<table><tr>{page}</tr></table>"
+    page = f"<body><div class='box'>Weather 12</div>{page}<div class='box'>About us</div></body>"
+    assert html_extract.main_text(page) == "\n\n".join(story + rest)
+
+
 def test_html_on_the_table(spark):
     import html as h
 
