@@ -20,15 +20,17 @@ _WORD = re.compile(r"[^\W_]+")
 _GRAMS = 2048  # buckets of hashed character trigrams
 
 
-def tokens(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+def tokens(text: str | None, longest: int = 32) -> list[str]:
+    """Words; of a longer one (unspaced scripts, words run together) pieces of ``longest`` characters, each half
+    over the next, so that no part of it goes unseen."""
+    hop = longest // 2
+    words = _WORD.findall(text.lower()) if text else []
+    return [x for w in words for x in ((w,) if len(w) <= longest else (w[i : i + longest] for i in range(0, len(w) - hop, hop)))]
 
 
 def trigrams(word: str) -> list[int]:
-    """Buckets of the word's character trigrams with its borders; of the first 24 characters and the last 8 if it
-    is longer (the word itself stays a word input)."""
-    w = f"<{word if len(word) <= 32 else word[:24] + word[-8:]}>"
-    c = [ord(x) for x in w]
+    """Buckets of the character trigrams of the whole word with its borders."""
+    c = [ord(x) for x in f"<{word}>"]
     return [(a * 961 + b * 31 + d) * 40503 >> 4 & _GRAMS - 1 for a, b, d in zip(c, c[1:], c[2:], strict=False)] or [0]
 
 

@@ -457,6 +457,24 @@ def test_windows_cover_every_token():
     assert size.max() == 32
 
 
+def test_toxicity_sees_the_middle_of_long_words():
+    for n in (31, 32, 33, 48, 49, 64, 65, 300):
+        word = "".join(chr(0x4E00 + i) for i in range(n))
+        got = toxicity.tokens(f"a {word} b")
+        assert max(map(len, got)) <= 32
+        assert {word[i : i + 3] for i in range(n - 2)} <= {t[i : i + 3] for t in got for i in range(len(t) - 2)}
+    rng = random.Random(11)
+    texts, labels = [], []
+    for i in range(600):
+        own = [rng.choice("abcdefgh") for _ in range(rng.randint(80, 200))]
+        at = rng.randint(30, len(own) - 30)
+        own[at:at] = "xyxzxyyz" * (i % 2)
+        texts.append("".join(own))
+        labels.append(i % 2)
+    model = toxicity.train(texts[:450], labels[:450])
+    assert np.mean((model.score(texts[450:]) >= 0.5) == labels[450:]) >= 0.75
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     words = ["".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(300)]
