@@ -56,7 +56,8 @@ def repeated_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id",
     again = lines.groupBy("h", "g").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("h", "g")
 
     upto = Window.partitionBy(*_DOC).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    placed = lines.withColumn("end", F.sum("words").over(upto)).withColumn("start", F.col("end") - F.col("words"))
+    once = lines.repartition(*_DOC).distinct()  # rows repeated with id and text count once; dealt as the windows are
+    placed = once.withColumn("end", F.sum("words").over(upto)).withColumn("start", F.col("end") - F.col("words"))
     ahead = Window.partitionBy(*_DOC).orderBy("start").rangeBetween(0, min_words - 1)
     back = Window.partitionBy(*_DOC).orderBy("end").rangeBetween(-(min_words - 1), 0)
     placed = placed.select(*_DOC, "pos", "h", "g", F.count(F.lit(1)).over(ahead).alias("m"), (F.max("end").over(ahead) - F.col("start")).alias("w"), F.count(F.lit(1)).over(back).alias("m_back"), (F.col("end") - F.min("start").over(back)).alias("w_back"))

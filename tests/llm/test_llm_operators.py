@@ -302,6 +302,17 @@ def test_line_runs(spark):
     assert line_dedup.dedup_lines(docs_of(spark, texts).where("false")).collect() == []
 
 
+def test_line_runs_of_repeated_rows(spark):
+    passage = "\n".join(" ".join(f"p{n}w{j}" for j in range(n)) for n in (25, 3, 4, 19))
+    texts = [(1, "one\n" + passage), (2, passage + "\ntwo"), (2, passage + "\ntwo"), (3, "a\nb\n" + passage)]
+    for some in (texts, [*texts, texts[0], texts[1]]):
+        want = brute_lines(some)
+        got = line_dedup.dedup_lines(docs_of(spark, some)).collect()
+        assert len(got) == len(some)
+        assert {(r["doc_id"], tuple(r["gone"])) for r in got} == {(i, tuple(sorted(want[i, t]))) for i, t in some}
+        assert want[texts[1]] == {0, 1, 2, 3}
+
+
 def test_licenses(spark):
     rng = random.Random(7)
     noise = lambda n: " ".join("".join(rng.choice("xyzuvw") for _ in range(5)) for _ in range(n))
