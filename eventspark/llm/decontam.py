@@ -17,11 +17,6 @@ def ascii_words(text: Column) -> Column:
     return F.array_remove(F.split(F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER), GAP), "")
 
 
-def _loose_words(text: Column) -> Column:
-    """As many words as ``ascii_words``, lower-cased beyond A-Z as well: cheaper, and equal words stay equal."""
-    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), GAP), "")
-
-
 def _gram(words: Column, at: Column, n: int) -> Column:
     return F.xxhash64(*[F.get(words, at + F.lit(j)) for j in range(n)])
 
@@ -65,7 +60,7 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, min_share: tup
     """
     size = 6  # words of an anchor
     stride = n - size + 1
-    grams = bench.select(F.col(item_col).alias("item"), _loose_words(F.col(bench_text)).alias("w")).where("item is not null and size(w) > 0")
+    grams = bench.select(F.col(item_col).alias("item"), ascii_words(F.col(bench_text)).alias("w")).where("item is not null and size(w) > 0")
     full = grams.where(F.size("w") >= size).select(F.lit(size).alias("len"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - size, F.lit(stride)), lambda i: _gram(F.col("w"), i, size))).alias("h"))
     less = grams.where(F.size("w") < size)
     anchors = full
@@ -78,14 +73,14 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, min_share: tup
         windows = F.broadcast(windows)
 
     base = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
-    loose = base.withColumn("lw", _loose_words(F.col("text"))).withColumn("n_words", F.size("lw").cast("long"))
+    words = base.withColumn("aw", ascii_words(F.col("text"))).withColumn("n_words", F.size("aw").cast("long"))
     if small:
         maybe = F.lit(False)
         for m in sorted({k for k, _ in anchors}):
-            maybe = maybe | _holds(F.col("lw"), m, [h for k, h in anchors if k == m])
+            maybe = maybe | _holds(F.col("aw"), m, [h for k, h in anchors if k == m])
     else:
         maybe = F.col("n_words") > 0
-    seen = loose.select(id_col, "n_words", F.xxhash64("text").alias("of"), F.when(maybe, F.col("text")).alias("text"))
+    seen = words.select(id_col, "n_words", F.xxhash64("text").alias("of"), F.when(maybe, F.col("text")).alias("text"))
     seen = materialize(seen, "decontam-seen")
     lens = [r["len"] for r in windows.select("len").distinct().collect()]
     every = F.array().cast("array<struct<at:int,len:int,gram:string>>")

@@ -162,6 +162,14 @@ def test_decontamination(spark, rows):
     assert sum(r["contaminated"] for r in got) >= 3
 
 
+@pytest.mark.parametrize("rows", [20_000, 0])
+def test_decontamination_of_capital_sigma(spark, rows):
+    bench = spark.createDataFrame([(1, "ΟΔΟΣ ΑΒ"), (2, "Η ΟΔΟΣ ΤΩΝ ΘΕΩΝ ΚΑΙ ΛΟΓΟΣ ΑΒ")], "item_id int, text string")
+    docs = docs_of(spark, [(1, "ΟΔΟΣ.ΑΒ"), (2, "ΟΔΟΣ ΑΒ"), (3, "Η ΟΔΟΣ.ΤΩΝ ΘΕΩΝ ΚΑΙ ΛΟΓΟΣ'ΑΒ"), (4, "οδος αβ")])
+    got = {r["doc_id"]: r["n_hit"] for r in decontam.decontaminate(docs, bench, n=13, broadcast_rows=rows).collect()}
+    assert got == {1: 2, 2: 2, 3: 7, 4: 0}
+
+
 def test_decontamination_without_benchmark(spark):
     docs = docs_of(spark, ODD)
     got = decontam.decontaminate(docs, spark.createDataFrame([], "item_id long, text string")).collect()
