@@ -67,7 +67,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("shard", shard),
 ]
 
-#: SQL expresses neither the trained classifier nor the fitted mix; tests compare the stages with brute force.
+#: SQL expresses neither the trained classifier nor the fitted mix; tests compare the join and
+#: the decontamination with brute force, the mix with its operator's copies and budgets.
 ORACLE_SQL: str | None = None
 
 

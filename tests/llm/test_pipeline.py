@@ -1,10 +1,13 @@
 """The pipeline's stages against what they must keep and drop."""
 
+import re
 from collections import Counter
 
 import corpus_pipeline
 from pyspark.sql import functions as F
+from test_llm_operators import brute_components, brute_hits
 
+from eventspark.llm import mixing
 from eventspark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +47,38 @@ def test_empty_corpus(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_each_stage_keeps_what_it_must(spark):
+    base = table(spark, SF, "documents")
+    item = next(r["text"] for r in table(spark, SF, "benchmark").collect() if len(r["text"].split()) >= 20)
+    long = " ".join(f"word{chr(97 + k % 26)}{k}" for k in range(60))
+    extra = [(90003, "", "en", "s", 0), (90005, item, "en", "s", 1), (90006, long, "en", "s", 1), (90007, long + " end", "en", "s", 1), (90008, "un " + long, "en", "s", 1)]
+    docs = base.union(spark.createDataFrame(extra, base.schema)).union(base.where("doc_id = 7"))
+    bench = [(r["item_id"], r["text"]) for r in table(spark, SF, "benchmark").collect()]
+    rows = lambda df: [(r["doc_id"], r["text"], r["source"]) for r in df.collect()]
+    into = rows(docs)
+    joined = corpus_pipeline.drop_near_duplicates(spark, docs, SF).cache()
+    comps = brute_components([x[:2] for x in into])
+    want = {x for x in into if comps[x[0]][1] == x[0]}
+    assert Counter(rows(joined)) == Counter(want)
+    assert {90006} == {x[0] for x in want} & {90006, 90007, 90008}
+    clean = corpus_pipeline.drop_contaminated(spark, joined, SF).cache()
+    bad = {x[0] for x in brute_hits([x[:2] for x in rows(joined)], bench) if x[5]}
+    assert Counter(rows(clean)) == Counter(x for x in want if x[0] not in bad)
+    assert 90005 in bad
+    into = rows(clean)
+    mixed = Counter(rows(corpus_pipeline.mix_to_weights(spark, clean, SF)))
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for i, t, _ in into}
+    totals, taken = Counter(), Counter()
+    for i, _, s in into:
+        totals[s] += size[i]
+    goal = mixing.water_fill(dict(totals))
+    picked = {r["doc_id"]: r["taken"] // r["size"] if r["size"] else 1 for r in mixing.mix_sources(clean).collect()}
+    assert mixed == Counter({x: picked[x[0]] for x in into if picked[x[0]]})
+    for (i, _, s), n in mixed.items():
+        taken[s] += n * size[i]
+    for s in totals:
+        assert goal[s] * 0.98 - 5 <= taken[s] <= goal[s]
+        copies = {n: [size[x[0]] for x in into if x[2] == s and size[x[0]] and mixed[x] == n] for n in range(3)}
+        assert not (copies[0] and copies[2])
