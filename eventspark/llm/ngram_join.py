@@ -124,13 +124,12 @@ def _words_of(text: str) -> list[bytes]:
 
 _SIGNED = pa.schema([("sig", pa.int64()), ("doc", pa.int64()), ("n", pa.int64()), ("sketch", pa.list_(pa.int64()))])
 _ROWS = "sig long, doc long, n long, sketch array<long>"
-_PLACES = 1024
-
-
-def sketch(s: np.ndarray) -> np.ndarray:
-    """Parity of the set's features by 1,024 places, in 16 integers: two sets differ by at least as many features
-    as places."""
-    odd = np.bincount((s & np.uint64(_PLACES - 1)).astype(np.int64), minlength=_PLACES) & 1
+def sketch(s: np.ndarray, least: int = 1024) -> np.ndarray:
+    """Parity of the set's features by places, 64 to an integer: two sets differ by at least as many features as
+    places. There are ``least`` places, or a power of two of at least the set's size, so that the sketch of a long
+    text doesn't fill up; of sketches of two widths the wider one is folded to the narrower (xor of its parts)."""
+    places = 1 << max(least - 1, len(s) - 1).bit_length()
+    odd = np.bincount((s & np.uint64(places - 1)).astype(np.int64), minlength=places) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -253,27 +252,30 @@ def _shared(batches: Iterator[pa.RecordBatch], most_run: int = 4096, most_seen:
 
 
 def _verify(k: int, num: int, den: int):
-    """Of rows (hub, salt, doc, text) sorted so that the hub's own text comes first: links of the hub."""
+    """Of rows (hub, salt, doc, text) sorted so that the hub's own texts come first: links of the hub. An id with
+    several texts is one node, and linked by any of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, at, hub = _Words(), None, None
+        memo, at, hubs = _Words(), None, []
         for batch in batches:
             u, v = [], []
             for h, salt, doc, text in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
                 own = (h, salt)
                 if own != at:
-                    at, hub = own, None
+                    at, hubs = own, []
                 s = shingle_set(_words_of(text), k, memo)
-                if hub is None:
-                    if doc == h:
-                        hub = s
+                if doc == h:
+                    if len(s) and not any(np.array_equal(s, x) for x in hubs):
+                        hubs.append(s)
                     continue
-                if not len(s) or min(len(s), len(hub)) * den < max(len(s), len(hub)) * num:
-                    continue
-                both = len(np.intersect1d(s, hub, assume_unique=True))
-                if both * den >= (len(s) + len(hub) - both) * num:
-                    u.append(h)
-                    v.append(doc)
+                for hub in hubs:
+                    if min(len(s), len(hub)) * den < max(len(s), len(hub)) * num:
+                        continue
+                    both = len(np.intersect1d(s, hub, assume_unique=True))
+                    if both * den >= (len(s) + len(hub) - both) * num:
+                        u.append(h)
+                        v.append(doc)
+                        break
             yield pa.record_batch([pa.array(u, pa.int64()), pa.array(v, pa.int64())], schema=_LINKS)
 
     return run
@@ -321,58 +323,123 @@ def _texts_of(base: DataFrame, ids: DataFrame, most_bits: int = 1 << 25) -> Data
     return texts.join(ids.select(F.col("doc").alias("id")), "id", "left_semi").select(F.col("id").alias("doc"), "text")
 
 
-def _pairs(num: int, den: int, block: int = 256):
-    """Of rows (sig, doc, comp, n, sketch) sorted by bucket: pairs of different components that size and
-    sketch allow to be similar."""
-
-    def of(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
-            return
-        rows.sort(key=lambda r: (r[3], r[1]))
-        doc, comp, size = (np.array([r[i] for r in rows], dtype=np.int64) for i in (1, 2, 3))
-        bits = np.array([r[4] for r in rows], dtype=np.int64).view(np.uint64)
-        for lo in range(0, len(rows), block):
-            hi = min(lo + block, len(rows))
-            last = int(np.searchsorted(size, size[hi - 1] * den // num, side="right"))
-            for start in range(lo, last, 8192):
-                stop = min(last, start + 8192)
-                apart = np.zeros((hi - lo, stop - start), dtype=np.int64)
-                for w in range(bits.shape[1]):
-                    apart += np.bitwise_count(bits[lo:hi, w][:, None] ^ bits[start:stop, w][None, :])
-                a, b = size[lo:hi][:, None], size[start:stop][None, :]
-                ok = (apart * (num + den) <= (a + b) * (den - num)) & (a * den >= b * num) & (comp[lo:hi][:, None] != comp[start:stop][None, :])
-                ok &= np.arange(lo, hi)[:, None] < np.arange(start, stop)[None, :]
-                i, j = np.nonzero(ok)
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of differing parity of all rows of two blocks of sketches; the wider ones are folded."""
+    w = min(a.shape[1], b.shape[1])
+    a, b = (np.bitwise_xor.reduce(x.reshape(len(x), -1, w), axis=1) for x in (a, b))
+    out = np.zeros((len(a), len(b)), dtype=np.int64)
+    for i in range(w):
+        out += np.bitwise_count(a[:, i][:, None] ^ b[:, i][None, :])
+    return out
+
+
+class _Side:
+    """Rows of a bucket by size and id, with their sketches by width."""
+
+    def __init__(self, doc: np.ndarray, comp: np.ndarray, size: np.ndarray, bits: list[np.ndarray]) -> None:
+        order = np.lexsort((doc, size))
+        self.doc, self.comp, self.size = doc[order], comp[order], size[order]
+        width = np.array([len(bits[i]) for i in order])
+        # Sizes and widths rise together: a block of one width is a slice.
+        self.cuts = [0, *(np.flatnonzero(width[1:] != width[:-1]) + 1).tolist(), len(order)]
+        self.bits = [np.stack([bits[i] for i in order[lo:hi]]).view(np.uint64) for lo, hi in zip(self.cuts, self.cuts[1:], strict=False)]
+
+    def blocks(self, rows: int, lo: int = 0, hi: int | None = None) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, end, sketches) of blocks of at most ``rows`` rows of one width within [lo, hi)."""
+        hi = len(self.doc) if hi is None else hi
+        for first, end, bits in zip(self.cuts, self.cuts[1:], self.bits, strict=False):
+            for at in range(max(first, lo), min(end, hi), rows):
+                to = min(at + rows, end, hi)
+                yield at, to, bits[at - first : to - first]
+
+
+def _pairs(num: int, den: int, block: int = 256, wide: int = 4096):
+    """Of rows (sig, lo, hi, chunk, doc, comp, n, sketch) sorted by tile (sig, lo, hi): pairs of different components
+    that size and sketch allow to be similar. A tile holds one chunk of a bucket, compared within itself, or two,
+    compared with each other."""
+
+    def meet(x: _Side, y: _Side) -> Iterator[pa.RecordBatch]:
+        for lo, hi, a in x.blocks(block):
+            start = int(np.searchsorted(y.size, -(-int(x.size[lo]) * num // den), side="left"))
+            last = int(np.searchsorted(y.size, int(x.size[hi - 1]) * den // num, side="right"))
+            for first, end, b in y.blocks(wide, max(start, lo if x is y else 0), last):
+                p, q = x.size[lo:hi][:, None], y.size[first:end][None, :]
+                ok = (x.comp[lo:hi][:, None] != y.comp[first:end][None, :]) & (np.minimum(p, q) * den >= np.maximum(p, q) * num)
+                if x is y:
+                    ok &= np.arange(lo, hi)[:, None] < np.arange(first, end)[None, :]
+                if not ok.any():
+                    continue
+                i, j = np.nonzero(ok & (_apart(a, b) * (num + den) <= (p + q) * (den - num)))
                 if len(i):
-                    x, y = doc[lo + i], doc[start + j]
-                    yield pa.record_batch([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], schema=_LINKS)
+                    u, v = x.doc[lo + i], y.doc[first + j]
+                    yield pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], schema=_LINKS)
+
+    def tile(rows: list[tuple[np.ndarray, ...]], lo: int, hi: int) -> Iterator[pa.RecordBatch]:
+        chunk, doc, comp, size = (np.concatenate([r[i] for r in rows]) for i in range(4))
+        bits = [b for r in rows for b in r[4]]
+        sides = []
+        for c in sorted({lo, hi}):
+            at = np.flatnonzero(chunk == c)
+            if not len(at):
+                return
+            sides.append(_Side(doc[at], comp[at], size[at], [bits[i] for i in at]))
+        yield from meet(sides[0], sides[-1])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, rows = None, []
+        at, held = None, []
         for batch in batches:
-            for r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if r[0] != at:
-                    yield from of(rows)
-                    at, rows = r[0], []
-                rows.append(r)
-        yield from of(rows)
+            if not batch.num_rows:
+                continue
+            sig, lo, hi, chunk, doc, comp, size = (c.to_numpy() for c in batch.columns[:7])
+            words, ends = batch.column(7).values.to_numpy(), batch.column(7).offsets.to_numpy()
+            cuts = np.flatnonzero((sig[1:] != sig[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+            for first, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(sig)], strict=True):
+                own = (int(sig[first]), int(lo[first]), int(hi[first]))
+                if own != at:
+                    if held:
+                        yield from tile(held, *at[1:])
+                    at, held = own, []
+                held.append((chunk[first:end].copy(), doc[first:end].copy(), comp[first:end].copy(), size[first:end].copy(), [words[ends[i] : ends[i + 1]].copy() for i in range(first, end)]))
+        if held:
+            yield from tile(held, *at[1:])
 
     return run
 
 
+_TILED = "sig long, lo long, hi long, chunk long, doc long, comp long, n long, sketch array<long>"
+
+
+def _tiles(rows: DataFrame, most: int) -> DataFrame:
+    """Rows (sig, doc, comp, n, sketch) dealt into tiles, so that no task holds a bucket of more than ``most`` rows:
+    such a bucket is cut into chunks, and each pair of chunks is a tile."""
+    big = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > most).select(F.col("sig").alias("b_sig"), F.ceil(F.col("c") / most).cast("long").alias("s"))
+    own = rows.join(big, F.col("sig") == F.col("b_sig"), "left").withColumn("s", F.coalesce("s", F.lit(1)))
+    own = own.withColumn("chunk", F.pmod(F.xxhash64("doc"), F.col("s")))
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("s") - 1))
+    own = own.select("*", other.alias("o")).select("sig", F.least("chunk", "o").alias("lo"), F.greatest("chunk", "o").alias("hi"), "chunk", "doc", "comp", "n", "sketch")
+    return own.repartition("sig", "lo", "hi").sortWithinPartitions("sig", "lo", "hi")
+
+
+def _folded(sketch: str, to: str):
+    """The sketch folded to the width of another one, if that is narrower."""
+    w = F.size(to)
+    part = lambda i: F.aggregate(F.sequence(F.lit(1), F.expr(f"int(size({sketch}) / size({to})) - 1")), F.get(sketch, i), lambda x, j: x.bitwiseXOR(F.get(sketch, j * w + i)))
+    return F.when(F.size(sketch) > w, F.transform(F.sequence(F.lit(0), w - 1), part)).otherwise(F.col(sketch))
+
+
 def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The (hub, doc) pairs that sizes and sketches allow to be similar."""
     for side in ("hub", "doc"):
         pairs = pairs.join(sketches.select(F.col("node").alias(side), F.col("n").alias(f"n_{side}"), F.col("sketch").alias(f"s_{side}")), side)
-    apart = F.aggregate(F.zip_with("s_hub", "s_doc", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
-    total = F.col("n_hub") + F.col("n_doc")
     sized = F.least("n_hub", "n_doc") * den >= F.greatest("n_hub", "n_doc") * num
-    return pairs.where(sized & (apart * (num + den) <= total * (den - num))).select("hub", "doc")
+    apart = F.aggregate(F.zip_with(_folded("s_hub", "s_doc"), _folded("s_doc", "s_hub"), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda a, x: a + x)
+    total = F.col("n_hub") + F.col("n_doc")
+    return pairs.where(sized).where(apart * (num + den) <= total * (den - num)).select("hub", "doc")
 
 
 def _checked(stars: DataFrame, base: DataFrame, k: int, num: int, den: int, most: int = 2000) -> DataFrame:
     """The links among distinct (hub, doc) pairs. A hub with many documents is dealt over several tasks."""
-    stars = materialize(stars, "join-stars")
+    stars = materialize(stars.distinct(), "join-stars")
     ids = stars.select("doc").union(stars.select(F.col("hub").alias("doc"))).distinct()
     texts = _texts_of(base, ids)
     spread = stars.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("s"))
@@ -385,44 +452,51 @@ def _checked(stars: DataFrame, base: DataFrame, k: int, num: int, den: int, most
     return links
 
 
-def join_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", tile_rows: int = 20_000) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id``: the smallest id reachable by links.
 
     Two documents link when the Jaccard similarity of their sets of distinct k-word shingles is ``num/den`` or
     more; A-Z is lower-cased. A text of fewer than k words is one shingle; null, empty and word-less texts have an
-    empty set and link with nothing, as do rows without an id. Repeated rows count as the same node.
+    empty set and link with nothing, as do rows without an id. Very long texts are joined whole. Rows with one id are
+    one node, repeated or with different texts: any of its texts links it. Other columns are ignored, an empty table
+    gives an empty result.
 
     1. PartEnum signatures and a sketch of every text (texts that a task meets again only point to the first).
     2. One shuffle by signature. Signatures that two documents or more have become buckets; those with the same
        documents are one bucket.
     3. In each bucket, the document of the most buckets is the hub. Others are compared with it: by size and by a
        lower bound on the difference from the sketches, then exactly. Components of the found links follow.
-    4. Documents of one bucket but still different components are compared all with all in the same way, in blocks.
+    4. Documents of one bucket but still different components are compared all with all in the same way, in blocks; a
+       bucket of more than ``tile_rows`` documents is cut into chunks, and each pair of chunks is a task's work.
 
     Pairs inside a component are never expanded, and every pair of different components that shares a signature is
-    decided exactly, so the components are those of all links.
+    decided exactly, so the components are those of all links. The sizes ``most_seen``, ``most_run`` and ``most_bits``
+    of the helpers bound memory only: beyond them a task repeats work or skips a thinning step, and loses no link.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = base.mapInArrow(_sign(k, num, den), _ROWS).repartition("sig").sortWithinPartitions("sig", "doc")
     found = materialize(signed.mapInArrow(_shared, _ROWS), "join-shared")
     members = found.where("n <> -1").select(F.col("sig").alias("node"), F.col("doc").alias("id"), "n")
-    sketches = found.where("n > 0 and size(sketch) > 0").select(F.col("sig").alias("node"), "n", "sketch").dropDuplicates(["node"])
+    sketches = found.where("n > 0 and size(sketch) > 0").groupBy(F.col("sig").alias("node"), "n", F.xxhash64("sketch").alias("same")).agg(F.first("sketch").alias("sketch")).drop("same")
     shared = materialize(found.where("n = -1").select("sig", "doc").distinct(), "join-buckets")
 
     rank = shared.groupBy("doc").agg(F.count(F.lit(1)).alias("w"))
     hubs = shared.join(rank, "doc").groupBy("sig").agg(F.max_by("doc", "w").alias("hub"))
     stars = shared.join(hubs, "sig").where("doc <> hub").select("hub", "doc").distinct()
     links = _checked(_near(stars, sketches, num, den), base, k, num, den)
+    # An id with several texts can have one node of its own and others of the texts' first copies.
+    several = members.groupBy("id").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").drop("hi")
+    links = links.unionByName(materialize(members.join(several, "id").select(F.col("node").alias("u"), F.col("lo").alias("v")), "join-ids"))
     comps = materialize(connected_components(links), "join-comps")
 
     rest = shared.join(comps, F.col("doc") == F.col("node"), "left").select("sig", "doc", F.coalesce("comp", "doc").alias("comp"))
     mixed = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("sig")
     rows = rest.join(mixed, "sig", "left_semi").join(sketches, F.col("doc") == F.col("node")).select("sig", "doc", "comp", "n", "sketch")
-    pairs = rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(_pairs(num, den), "u long, v long")
+    pairs = _tiles(rows, tile_rows).mapInArrow(_pairs(num, den), "u long, v long")
     more = _checked(pairs.select(F.col("u").alias("hub"), F.col("v").alias("doc")).distinct(), base, k, num, den)
     if not more.isEmpty():
         comps = materialize(connected_components(links.unionByName(more)), "join-comps")
-    discard(shared, links, more)
+    discard(shared, more)
 
     # The node of a document is its first copy in a task, not always the smallest id of the class.
     nodes = members.join(comps.withColumnRenamed("node", "c_node"), F.col("node") == F.col("c_node"), "left").select("id", "n", F.coalesce("comp", "node").alias("root"))

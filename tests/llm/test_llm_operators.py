@@ -226,10 +226,46 @@ def near_copies(seed=3, groups=12):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_join_finds_all_components(spark, seed):
     texts = near_copies(seed=seed) + [(1, None), (2, ""), (3, " \n\t "), (7, LONG), (8, LONG + " x")]
-    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs_of(spark, texts).repartition(5)).collect()}
+    tile_rows = 2 if seed == 1 else 20_000
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs_of(spark, texts).repartition(5), tile_rows=tile_rows).collect()}
     assert got == brute_components(texts)
 
 
+def long_texts(seed=8):
+    """Long texts with one passage in common, some of them similar pairs of sizes on both sides of a power of two."""
+    rng = random.Random(seed)
+    words = lambda n: [f"{rng.randrange(10**9):x}" for _ in range(n)]
+    passage, out = words(900), []
+    for i, n in enumerate((700, 1010, 1100, 2000, 2020, 2100, 4000, 4090, 5000)):
+        own = words(n)
+        edited = own[: int(n * 0.96)] + words(int(n * 0.05))
+        out += [(3 * i + 1, " ".join(own + passage)), (3 * i + 2, " ".join(edited + passage)), (3 * i + 3, " ".join(words(n) + passage))]
+    return out
+
+
+def test_join_of_long_texts(spark):
+    texts = long_texts()
+    found = ngram_join.join_components(docs_of(spark, texts).repartition(5), tile_rows=4).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in found} == brute_components(texts)
+
+
+def test_join_of_equal_ids_with_unequal_texts(spark):
+    a, b = "one two three four five six seven", "ein zwei drei vier fuenf sechs sieben"
+    texts = [(1, a), (1, b), (2, a), (3, b), (4, a + " and something else entirely besides it"), (4, b.upper()), (5, "so")]
+    got = {(r["doc_id"], r["component_id"]) for r in ngram_join.join_components(docs_of(spark, texts).repartition(4)).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 1), (5, 5)}
+
+
+def test_folded_sketches_bound_the_difference():
+    rng = np.random.default_rng(2)
+    for n, m in ((1000, 1100), (2000, 2100), (5000, 9000)):
+        a, b = (np.unique(rng.integers(0, 2**63, k).astype(np.uint64)) for k in (n, m))
+        b = np.unique(np.concatenate((a[: n // 2], b[n // 2 :])))
+        apart = len(np.setxor1d(a, b))
+        x, y = ngram_join.sketch(a)[None, :].view(np.uint64), ngram_join.sketch(b)[None, :].view(np.uint64)
+        assert apart * 0.2 < int(ngram_join._apart(x, y)[0, 0]) <= apart
+
+
 def test_join_on_the_table_and_odd_rows(spark):
     docs = table(spark, SF, "documents")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join_components(docs).collect()}
