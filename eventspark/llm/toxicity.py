@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 _WORD = re.compile(r"[^\W_]+")
 _GRAMS = 2048  # buckets of hashed character trigrams
@@ -244,10 +245,11 @@ def _step(model: GruModel, x: np.ndarray, mask: np.ndarray, y: np.ndarray) -> tu
     return loss, grad, dx
 
 
-def train(texts: list[str], labels: list[int], hidden: int = 8, d_word: int = 6, d_char: int = 6, width: int = 32, hop: int = 16, epochs: int = 3, batch: int = 256, least_steps: int = 120, least_docs: int = 3, seed: int = 5) -> GruModel:
+def train(texts: list[str], labels: list[int], hidden: int = 8, d_word: int = 6, d_char: int = 6, width: int = 32, hop: int = 16, epochs: int = 3, batch: int = 256, least_steps: int = 120, least_docs: int = 3, windows_per_doc: int = 2, calm_share: float = 0.5, seed: int = 5) -> GruModel:
     """Learn from labelled documents. Words in ``least_docs`` documents or more have an embedding of their own,
     whose first component starts at the word's smoothed log-odds; all parameters are then trained through time on
-    windows. A toxic document teaches with its highest windows, a clean one with its highest and with random ones."""
+    windows. Bounds of an epoch: each document teaches with its highest windows, ``windows_per_doc`` at most (of a toxic
+    one those near its highest), and clean documents with random windows besides, ``calm_share`` times as many."""
     rng = np.random.default_rng(seed)
     y = np.array(labels, dtype=np.float32)
     docs = [tokens(t) for t in texts]
@@ -299,10 +301,10 @@ def train(texts: list[str], labels: list[int], hidden: int = 8, d_word: int = 6,
             strength = model.logits(model_table(model, names), flat, start, size)
         order = np.lexsort((rng.random(len(start)), -strength, doc))
         place = np.arange(len(order)) - np.searchsorted(doc[order], doc[order])
-        top = order[place < 2]
+        top = order[place < windows_per_doc]
         top = top[(y[doc[top]] == 0) | (strength[top] >= 0.5 * np.maximum(strength[order[place == 0]], 1e-6)[np.searchsorted(doc[order[place == 0]], doc[top])]) | (np.isin(top, order[place == 0]))]
         calm = np.flatnonzero(y[doc] == 0)
-        picked = np.unique(np.concatenate((top, rng.choice(calm, min(len(calm), len(top) // 2), replace=False))))
+        picked = np.unique(np.concatenate((top, rng.choice(calm, min(len(calm), int(len(top) * calm_share)), replace=False))))
         rng.shuffle(picked)
         for lo in range(0, len(picked), batch):
             w = picked[lo : lo + batch]
@@ -359,28 +361,30 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_where, per_class: tuple[int, int] = (2500, 1500), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 3, **kw) -> GruModel:
-    """Fit on at most about ``per_class`` labelled documents (clean, toxic), those with the smallest seeded hash.
+    """Fit on at most ``per_class`` labelled documents (clean, toxic), those with the smallest seeded hash of the id.
 
-    The bound is the only sampling: texts are used whole, and every document is scored. Null labels and texts
-    teach nothing. The labels are counted first, so that only the sampled rows' texts are joined."""
+    The documented bounds of the fit are this one and, in ``train``, ``windows_per_doc`` and ``calm_share``: texts are
+    used whole, every word counts, and every document is scored. Null labels, ids and texts teach nothing. An id with
+    both labels counts as toxic; rows repeated with id and text count once, and of an id with several texts the one
+    with the smallest hash teaches. The labels are ranked first, so that only the chosen rows' texts are joined."""
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null").where(learn_where(F.col("i")))
-    counts = {int(r["y"]): int(r["n"]) for r in lab.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    h = F.pmod(F.xxhash64(F.lit(seed), F.col("i")), F.lit(1 << 30))
-    pick = F.lit(False)
-    for v, n in counts.items():
-        pick = pick | ((F.col("y") == v) & (h < int((1 << 30) * min(1.0, per_class[v > 0] / n))))
-    chosen = lab.where(pick).dropDuplicates(["i"])
+    lab = lab.groupBy("i").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
+    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), "i"), "i")
+    most = F.when(F.col("y") > 0, F.lit(per_class[1])).otherwise(F.lit(per_class[0]))
+    chosen = lab.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(per_class)).where(F.col("r") <= most).select("i", "y")
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
-    got = own.join(F.broadcast(chosen), "i").collect()
-    got.sort(key=lambda r: (str(r["i"]), r["t"]))
-    return train([r["t"] for r in got], [int(r["y"] > 0) for r in got], **kw)
+    # At most sum(per_class) rows are broadcast.
+    got = own.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).collect()
+    got.sort(key=lambda r: str(r["i"]))
+    return train([r["t"] for r in got], [int(r["y"]) for r in got], **kw)
 
 
 def score_toxicity(docs: DataFrame, model: GruModel, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score`` (0 to 1) and ``predicted`` (1 if score >= 0.5).
 
     Every window of every whole text is run through the network. Null, empty and word-less texts get the score of
-    the lowest evidence. Columns of those names are replaced; other columns and repeated rows stay."""
+    the lowest evidence. Very long texts are scored whole, in blocks of windows. Columns of those names are replaced;
+    other columns and repeated rows stay. An empty table gives an empty result."""
     shared = docs.sparkSession.sparkContext.broadcast(model.bare())
 
     @F.pandas_udf("double")
