@@ -73,34 +73,42 @@ def _aggregate(df: DataFrame, keys: list[str], specs: list[tuple[str, dict]]) ->
         if keys:
             on = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys])
             out = out.alias("l").join(q.alias("r"), on, "left").select("l.*", F.col(f"r.`{_QUANTILES}`").alias(_QUANTILES))
-        else:
-            out = out.join(q, F.lit(True), "left")
+        else:  # two single rows become one
+            both = out.unionByName(q, allowMissingColumns=True)
+            out = both.agg(*[F.first(f"`{c}`", ignorenulls=True).alias(c) for c in both.columns])
         order = [*keys, *[n for n, _ in specs]]
         out = out.select(*[F.col(f"`{c}`") for c in order])
     return out.drop("__n")
 
 
+def _chunk_of(v: Column) -> Column:
+    """A whole number that doesn't fall as ``v`` grows: 256 to an octave."""
+    size = F.abs(v.cast("double"))
+    step = F.when(size == float("inf"), F.lit(1 << 20)).otherwise(F.floor(F.log2(size) * 256) + (1 << 19))
+    return F.when(size == 0, F.lit(0)).otherwise(F.signum(v.cast("double")).cast("long") * step)
+
+
 def value_quantiles(df: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
     """Exact nearest-rank quantiles (ties up) of the present values as a struct ``values/quantiles``.
 
-    Values are counted by key and value first, so repeated values shrink before they meet, and a running count over
-    the ordered values finds each rank as a stream: no group is held in memory.
+    Values are counted by key and value first, so repeated values shrink before they meet. They are cut into chunks
+    that follow their order; the chunks' own counts tell which of them hold a wanted rank, and only there a running
+    count over the ordered values finds it. So no task orders all values of a key, or of the whole table.
     """
-    counts = df.where(_ok()).groupBy(*keys, F.col("numeric_value").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    run = counts.withColumn("__hi", F.sum("__c").over(w.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)))
-    totals = counts.groupBy(*keys).agg(F.sum("__c").alias("__n")) if keys else counts.agg(F.sum("__c").alias("__n"))
-    if keys:
-        on = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys])
-        run = run.alias("l").join(totals.alias("r"), on).select("l.*", "__n")
-    else:
-        run = run.join(totals, F.lit(True))
-    picked = []
-    for i, q in enumerate(quantiles):
-        rank = F.floor(F.lit(float(q)) * (F.col("__n") - 1) + F.lit(0.5))
-        picked.append(F.min(F.when(F.col("__hi") > rank, F.col("__v"))).alias(f"__q{i}"))
+    counts = df.where(_ok()).groupBy(*keys, _chunk_of(F.col("numeric_value")).alias("__chunk"), F.col("numeric_value").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    chunks = counts.groupBy(*keys, "__chunk").agg(F.sum("__c").alias("__of"))
+    key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # over chunks, of which there are few
+    chunks = chunks.withColumns({"__n": F.sum("__of").over(key), "__start": F.coalesce(F.sum("__of").over(key.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
+    ranks = [F.floor(F.lit(float(q)) * (F.col("__n") - 1) + F.lit(0.5)) for q in quantiles]
+    inside = [(r >= F.col("__start")) & (r < F.col("__start") + F.col("__of")) for r in ranks]
+    chunks = chunks.where(reduce(lambda a, b: a | b, inside, F.lit(False)) | (F.col("__start") == 0)).withColumns({f"__r{i}": F.when(t, r) for i, (t, r) in enumerate(zip(inside, ranks, strict=True))})
+    on = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys], F.col("l.__chunk") == F.col("r.__chunk"))
+    found = counts.alias("l").join(chunks.alias("r"), on).select("l.*", "__start", *[f"__r{i}" for i in range(len(ranks))])
+    upto = Window.partitionBy(*keys, "__chunk").orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)
+    found = found.withColumn("__hi", F.col("__start") + F.sum("__c").over(upto))
+    picked = [F.min(F.when(F.col("__hi") > F.col(f"__r{i}"), F.col("__v"))).alias(f"__q{i}") for i in range(len(ranks))]
     names = [F.col(f"__q{i}").alias(f"values/quantile/{q}") for i, q in enumerate(quantiles)]
-    out = run.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k"), *picked)
+    out = found.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k"), *picked)
     return out.where("__k > 0").select(*[F.col(f"`{k}`") for k in keys], F.struct(*names).alias(_QUANTILES))
 
 
@@ -111,17 +119,30 @@ def merge_metadata(new: DataFrame, old: DataFrame, code_modifiers: list[str] | N
     return new.join(old.select(*[F.col(f"`{c}`") for c in [*keys, *more]]), keys, "left") if more else new
 
 
-def check_unique(code_metadata: DataFrame, keys: list[str]) -> None:
-    twice = code_metadata.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy(F.desc("n")).limit(100).collect()
-    if twice:
-        raise ValueError(f"The code and modifiers must be unique. Duplicates: {[tuple(r) for r in twice]}")
+def with_all_columns(parts: DataFrame, needed: list[str]) -> DataFrame:
+    """The partial results of a user's map step, if they have every column that its reduce step reads."""
+    if gone := [c for c in needed if c not in parts.columns]:
+        raise ValueError(f"The mapped rows lack {gone}, which their reduction reads. They have {parts.columns}")
+    return parts
 
 
-def fit_vocabulary_indices(code_metadata: DataFrame, ordering_method: str = "lexicographic", code_modifiers: list[str] | None = None) -> DataFrame:
-    """Adds ``code/vocab_index``: 1, 2, ... in lexicographic order of the keys, nulls first; 0 is left for unknown."""
+def fit_vocabulary_indices(code_metadata: DataFrame, ordering_method: str = "lexicographic", code_modifiers: list[str] | None = None, prefix: int = 6) -> DataFrame:
+    """Adds ``code/vocab_index``: 1, 2, ... in lexicographic order of the keys, nulls first; 0 is left for unknown.
+
+    Codes are ranked within their first ``prefix`` characters, and the start of each such range comes from the counts of
+    the ranges, so no task holds all codes. Keys that stand twice raise an error once the indices are computed.
+    """
     if ordering_method != "lexicographic":
         raise ValueError(f"Invalid ordering method: {ordering_method}. Known: lexicographic")
-    keys = ["code", *(code_modifiers or [])]
-    check_unique(code_metadata, keys)
-    w = Window.orderBy(*[F.col(f"`{k}`").asc_nulls_first() for k in keys])
-    return code_metadata.withColumn("code/vocab_index", F.row_number().over(w))
+    keys = [F.col(f"`{k}`") for k in ("code", *(code_modifiers or []))]
+    own = code_metadata.withColumn("__p", F.substring("code", 1, prefix))
+    ranges = own.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = Window.orderBy(F.col("__p").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    w = Window.partitionBy("__p").orderBy(*[k.asc_nulls_first() for k in keys])
+    twice = F.lag(F.struct(*keys)).over(w).eqNullSafe(F.struct(*keys))
+    own = own.withColumns({"__r": F.row_number().over(w), "__twice": twice})
+    own = own.join(ranges, F.col("__p").eqNullSafe(F.col("__q")))
+    fault = F.raise_error(F.concat(F.lit("The code and modifiers must be unique; one of those that are not: "), F.to_json(F.struct(*keys))))
+    index = F.when(F.col("__twice"), fault.cast("int")).otherwise((F.col("__start") + F.col("__r")).cast("int"))
+    return own.withColumn("code/vocab_index", index).drop("__p", "__q", "__r", "__start", "__twice")

@@ -1,22 +1,36 @@
-"""Filters on subjects, measurements and codes."""
+"""Filters by subject, by code metadata and by regex."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def filter_subjects(df: DataFrame, min_events_per_subject: int | None = None, min_measurements_per_subject: int | None = None) -> DataFrame:
     """Subjects with enough events (distinct times; null time counts as one more) and enough measurements (rows with
-    a time). A threshold of null or 0 is off. One aggregation by subject, then a semi join."""
+    a time). A threshold of null or 0 is off. The input is read once: windows over the subject, which later windows
+    by subject and time share, count beside each row."""
     for name, v in (("min_events_per_subject", min_events_per_subject), ("min_measurements_per_subject", min_measurements_per_subject)):
         if v is not None and (not isinstance(v, int) or isinstance(v, bool)):
             raise TypeError(f"{name} must be an integer; got {type(v).__name__} {v}")
-    if not min_events_per_subject and not min_measurements_per_subject:
+    subject = Window.partitionBy("subject_id")
+    out, tests = df, []
+    if min_events_per_subject:
+        before = F.lag("time").over(subject.orderBy("time"))
+        new = F.col("time").isNotNull() & ~F.col("time").eqNullSafe(before)
+        out = out.withColumn("__new", new.cast("int"))
+        events = F.sum("__new").over(subject) + F.max(F.col("time").isNull().cast("int")).over(subject)
+        tests.append(("__events", events, min_events_per_subject))
+    if min_measurements_per_subject:
+        tests.append(("__rows", F.count("time").over(subject), min_measurements_per_subject))
+    if not tests:
         return df
-    per = df.groupBy("subject_id").agg(F.count("time").alias("m"), (F.count_distinct("time") + F.max(F.col("time").isNull().cast("int"))).alias("e"))
-    enough = per.where((F.col("m") >= (min_measurements_per_subject or 0)) & (F.col("e") >= (min_events_per_subject or 0)))
-    return df.join(enough.select("subject_id"), "subject_id", "left_semi")
+    out = out.withColumns({name: c for name, c, _ in tests})
+    for name, _, least in tests:
+        out = out.where(F.col(name) >= least)
+    # A null subject is none.
+    return out.where(F.col("subject_id").isNotNull()).drop("__new", "__events", "__rows")
 
 
 def filter_measurements(df: DataFrame, code_metadata: DataFrame, min_subjects_per_code: int | None = None, min_occurrences_per_code: int | None = None, code_modifiers: list[str] | None = None) -> DataFrame:

@@ -2,39 +2,45 @@
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.functions.numbering import numbered
 
-
-def split_sizes(n: int, fracs: dict[str, float]) -> dict[str, int]:
-    """Subjects of each split; an empty split gets one of the largest."""
-    if not math.isclose(sum(fracs.values()), 1):
-        raise ValueError(f"The sum of the split fractions must be equal to 1. Got {sum(fracs.values())} through {fracs}.")
-    names = list(fracs)
-    sizes = [round(fracs[k] * n) for k in names[:-1]]
-    sizes.append(n - sum(sizes))
-    if min(sizes) == 0:
-        sizes[sizes.index(max(sizes))] -= 1
-        sizes[sizes.index(min(sizes))] += 1
-    if min(sizes) <= 0:
-        raise ValueError("Unable to adjust splits to ensure all splits have at least 1 subject.")
-    return dict(zip(names, sizes, strict=True))
-
-
-def shard_subjects(subjects: DataFrame, splits: DataFrame | None = None, fracs: dict[str, float] | None = None, n_subjects_per_shard: int = 50_000, seed: int = 1) -> DataFrame:
-    """(subject_id, split, shard): given splits are kept, other subjects are dealt by ``fracs`` in a seeded hash
-    order; each split is cut into shards of at most ``n_subjects_per_shard``, sizes at most one apart."""
+#: Fractions where none are given.
+FRACTIONS = {"train": 0.8, "tuning": 0.1, "held_out": 0.1}
+
+
+def split_sizes(n: int, fracs: dict[str, float | None]) -> dict[str, int]:
+    """Subjects of each split by the largest remainder; splits with a null fraction don't take part. Every other split
+    gets a subject, taken from whichever split has most."""
+    exact = {k: Fraction(v).limit_denominator(10**9) * n for k, v in fracs.items() if v is not None}
+    if abs(sum(exact.values()) - n) > Fraction(n, 10**8):
+        raise ValueError(f"The fractions of the splits sum to {float(sum(exact.values()) / max(n, 1)):g}, not 1: {fracs}")
+    if n < len(exact):
+        raise ValueError(f"{n} subjects can't fill {len(exact)} splits")
+    sizes = {k: int(v) for k, v in exact.items()}
+    for k in sorted(exact, key=lambda k: sizes[k] - exact[k])[: n - sum(sizes.values())]:
+        sizes[k] += 1
+    for k in [k for k, v in sizes.items() if not v]:
+        sizes[max(sizes, key=sizes.__getitem__)] -= 1
+        sizes[k] = 1
+    return sizes
+
+
+def shard_subjects(subjects: DataFrame, splits: DataFrame | None = None, fracs: dict[str, float | None] | None = None, n_subjects_per_shard: int = 50_000, seed: int = 1) -> DataFrame:
+    """(subject_id, split, shard): given splits are kept, other subjects are dealt by ``fracs`` (80, 10 and 10 % if not
+    given) in a seeded hash order; each split is cut into shards of at most ``n_subjects_per_shard``, sizes at most
+    one apart."""
     ids = subjects.select("subject_id").where(F.col("subject_id").isNotNull()).distinct()
     given = splits.select("subject_id", "split").distinct() if splits is not None else ids.sparkSession.createDataFrame([], "subject_id long, split string")
     placed = given.join(ids, "subject_id", "left_semi")
     rest = ids.join(given, "subject_id", "left_anti")
     if n := rest.count():
         cut, split = 0, F.lit(None).cast("string")
-        for name, size in reversed(list(split_sizes(n, fracs or {}).items())):
+        for name, size in reversed(list(split_sizes(n, FRACTIONS if fracs is None else fracs).items())):
             split = F.when(F.col("__r") < n - cut, F.lit(name)).otherwise(split) if cut else F.lit(name)
             cut += size
         placed = placed.unionByName(numbered(rest, [], ["subject_id"], "__r", seed).select("subject_id", split.alias("split")))
@@ -47,6 +53,6 @@ def shard_subjects(subjects: DataFrame, splits: DataFrame | None = None, fracs:
     return ranked.select("subject_id", "split", shard.cast("int").alias("shard"))
 
 
-def reshard_to_split(df: DataFrame, splits: DataFrame, n_subjects_per_shard: int = 50_000, seed: int = 1) -> DataFrame:
+def reshard_to_split(df: DataFrame, splits: DataFrame | None = None, n_subjects_per_shard: int = 50_000, split_fracs: dict[str, float | None] | None = None, seed: int = 1) -> DataFrame:
     """The events with their ``split`` and ``shard``; ``sources.tables.write_events`` writes them apart."""
-    return df.join(shard_subjects(df, splits, None, n_subjects_per_shard, seed), "subject_id")
+    return df.join(shard_subjects(df, splits, split_fracs, n_subjects_per_shard, seed), "subject_id")

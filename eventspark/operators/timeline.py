@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql.window import Window, WindowSpec
 
 from eventspark.functions.units import time_unit
 from eventspark.sources.tables import ORDER
@@ -19,6 +20,22 @@ DEFAULTS: dict[str, Any] = {
 }
 
 
+def _subject() -> WindowSpec:
+    return Window.partitionBy("subject_id")
+
+
+@dataclass
+class Part:
+    """A row made of an event: when, its code and its value. ``rank`` orders the rows of one event; ``last`` rows
+    come after the event's own."""
+
+    when: Column
+    code: Column
+    value: Column | None = None
+    rank: int = 0
+    last: bool = False
+
+
 def unique_events(df: DataFrame) -> DataFrame:
     """Distinct (subject, time) with a time; with a carried order, that of the first row of each."""
     timed = df.where(F.col("time").isNotNull())
@@ -27,63 +44,88 @@ def unique_events(df: DataFrame) -> DataFrame:
     return timed.select("subject_id", "time").distinct()
 
 
-def age(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
-    """Age at each event after birth; one row for each birth row of the subject."""
-    _, seconds = time_unit(cfg.get("age_unit", "y"))
-    if cfg.get("DOB_code") is not None:
-        born = F.col("code").contains(cfg["DOB_code"])
-    elif cfg.get("DOB_regex") is not None:
-        born = F.col("code").rlike(cfg["DOB_regex"])
-    else:
-        raise ValueError("Either 'DOB_regex' or 'DOB_code' must be provided in the configuration.")
-    births = df.where(born).select("subject_id", F.col("time").alias("__dob"))
-    value = ((F.unix_micros("time") - F.unix_micros("__dob")) / F.lit(1e6 * seconds)).cast("float")
-    out = unique_events(df).join(births, "subject_id").withColumns({"code": F.lit(cfg.get("age_code", "AGE")), "numeric_value": value})
-    return out.drop("__dob").where(F.col("numeric_value") > 0)
+def _micros(a: str, b: str, seconds: float) -> Column:
+    return ((F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6 * seconds)).cast("float")
 
 
-def time_of_day(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
-    """The part of the day of each event."""
-    ends = list(cfg.get("endpoints") or [])
+def births_of(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
+    """(subject_id, __dob, __nth) of each birth row, numbered within the subject."""
+    part, pattern = cfg.get("DOB_code"), cfg.get("DOB_regex")
+    if part is None and pattern is None:
+        raise ValueError("An age needs 'DOB_code' or 'DOB_regex' to find births by")
+    born = F.col("code").rlike(pattern) if part is None else F.col("code").contains(part)
+    nth = F.row_number().over(_subject().orderBy(F.col(ORDER if ORDER in df.columns else "time")))
+    return df.where(born).select("subject_id", F.col("time").alias("__dob"), nth.alias("__nth"))
+
+
+def age_parts(cfg: dict[str, Any]) -> list[Part]:
+    value = _micros("time", "__dob", time_unit(cfg.get("age_unit", "y"))[1])
+    return [Part(value > 0, F.lit(cfg.get("age_code", "AGE")), value)]
+
+
+def _hours(ends: Any) -> list[int]:
+    """Endpoints that are whole hours of a day, each later than the one before."""
+    ends = list(ends or ())
+    wrong = [e for e in ends if type(e) is not int]
+    if wrong:
+        raise ValueError(f"Endpoints of times of day are hours as integers, which {wrong} are not")
     if not ends:
-        raise ValueError("'endpoints' must hold at least one endpoint for time of day categories.")
-    if not all(isinstance(e, int) and not isinstance(e, bool) for e in ends):
-        raise ValueError(f"All endpoints must be integer, whole-hour boundaries, but got: {ends}")
-    if not all(0 <= e <= 24 for e in ends):
-        raise ValueError(f"All endpoints must be between 0 and 24 inclusive. Got: {ends}")
-    if len(set(ends)) != len(ends):
-        raise ValueError(f"All endpoints must be unique. Got: {ends}")
-    if ends != sorted(ends):
-        raise ValueError(f"All endpoints must be in sorted order. Got: {ends}")
-    name = cfg["time_of_day_code"]
+        raise ValueError("Times of day need at least one endpoint")
+    if min(ends) < 0 or max(ends) > 24:
+        raise ValueError(f"Hours lie between 0 and 24, unlike those of {ends}")
+    if any(a >= b for a, b in zip(ends, ends[1:], strict=False)):
+        why = "sorted" if len(set(ends)) == len(ends) else "unique"
+        raise ValueError(f"Endpoints have to be {why}: {ends}")
+    return ends
+
+
+def time_of_day_parts(cfg: dict[str, Any]) -> list[Part]:
+    ends, name = _hours(cfg.get("endpoints")), cfg["time_of_day_code"]
     code = F.lit(None).cast("string")
     for lo, hi in reversed([*zip([0, *ends], ends, strict=False), (ends[-1], 24)]):
         code = F.when((F.hour("time") >= lo) & (F.hour("time") < hi), F.lit(f"{name}//[{lo:02},{hi:02})")).otherwise(code)
-    return unique_events(df).withColumn("code", code)
+    return [Part(F.lit(True), code)]
 
 
-def timeline_tokens(df: DataFrame, cfg: dict[str, Any]) -> DataFrame | None:
-    """Start and end of each subject's timeline and the time between events; None if all three are off."""
+def timeline_parts(cfg: dict[str, Any]) -> list[Part]:
     start, end = cfg.get("timeline_start_code", "TIMELINE//START"), cfg.get("timeline_end_code", "TIMELINE//END")
-    delta, seconds = cfg.get("time_delta_code", "TIMELINE//DELTA//{time_unit}"), 1
-    if delta is not None:
-        unit, seconds = time_unit(cfg["time_unit"])
-        delta = delta.format(time_unit=unit)
-    if start is None and end is None and delta is None:
-        return None
-    subject = Window.partitionBy("subject_id")
-    events = unique_events(df).withColumns({"__lo": F.min("time").over(subject), "__hi": F.max("time").over(subject)})
-    since = F.unix_micros("time") - F.lag(F.unix_micros("time")).over(subject.orderBy("time"))
-    events = events.withColumn("__since", (since / F.lit(1e6 * seconds)).cast("float"))
+    delta, out = cfg.get("time_delta_code", "TIMELINE//DELTA//{time_unit}"), []
     none = F.lit(None).cast("float")
-    made = []
     if start is not None:
-        made.append(F.when(F.col("time") == F.col("__lo"), F.struct(F.lit(0).alias("k"), F.lit(start).alias("code"), none.alias("numeric_value"))))
+        out.append(Part(F.col("__prev").isNull(), F.lit(start), none, 0))
     if delta is not None:
-        made.append(F.when(F.col("__since").isNotNull(), F.struct(F.lit(1).alias("k"), F.lit(delta).alias("code"), F.col("__since").alias("numeric_value"))))
+        unit, seconds = time_unit(cfg["time_unit"])
+        out.append(Part(F.col("__prev").isNotNull(), F.lit(delta.format(time_unit=unit)), _micros("time", "__prev", seconds), 1))
     if end is not None:
-        made.append(F.when(F.col("time") == F.col("__hi"), F.struct(F.lit(2).alias("k"), F.lit(end).alias("code"), none.alias("numeric_value"))))
-    rows = events.withColumn("__x", F.explode(F.array_compact(F.array(*made))))
+        out.append(Part(F.col("time") == F.col("__end"), F.lit(end), none, 2, last=True))
+    # A start or delta whose code is the end's is placed as the end is.
+    return [Part(p.when, p.code, p.value, p.rank, c == end) for p, c in zip(out, [x for x in (start, delta, end) if x is not None], strict=True)]
+
+
+def _neighbours(events: DataFrame) -> DataFrame:
+    return events.withColumns({"__prev": F.lag("time").over(_subject().orderBy("time")), "__end": F.max("time").over(_subject())})
+
+
+def age(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
+    """Age at each event after birth; one row for each birth row of the subject."""
+    (part,) = age_parts(cfg)
+    out = unique_events(df).join(births_of(df, cfg), "subject_id").withColumns({"code": part.code, "numeric_value": part.value})
+    return out.drop("__dob", "__nth").where(F.col("numeric_value") > 0)
+
+
+def time_of_day(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
+    """The part of the day of each event."""
+    (part,) = time_of_day_parts(cfg)
+    return unique_events(df).withColumn("code", part.code)
+
+
+def timeline_tokens(df: DataFrame, cfg: dict[str, Any]) -> DataFrame | None:
+    """Start and end of each subject's timeline and the time between events; None if all three are off."""
+    parts = timeline_parts(cfg)
+    if not parts:
+        return None
+    made = F.array_compact(F.array(*[F.when(p.when, F.struct(F.lit(p.rank).alias("k"), p.code.alias("code"), p.value.alias("numeric_value"))) for p in parts]))
+    rows = _neighbours(unique_events(df)).withColumn("__x", F.explode(made))
     keep = ["subject_id", "time", F.col("__x.code").alias("code"), F.col("__x.numeric_value").alias("numeric_value")]
     if ORDER in df.columns:
         keep.append(F.struct(F.col("__x.k").alias("k"), F.col(ORDER).alias("o")).alias(ORDER))
@@ -92,29 +134,58 @@ def timeline_tokens(df: DataFrame, cfg: dict[str, Any]) -> DataFrame | None:
 
 def add_new_events(df: DataFrame, new: DataFrame, new_code_last_regex: str | None = None) -> DataFrame:
     """New rows go before the rows of the same time, those whose code matches the regex after them. Columns that
-    one side lacks are null. With a carried order, it is renewed by one window over the subject."""
-    if not (ordered := ORDER in df.columns):
+    one side lacks are null. A carried order becomes a pair: the place beside the old rows, and the order before."""
+    if ORDER not in df.columns:
         return df.unionByName(new, allowMissingColumns=True)
     last = F.col("code").rlike(new_code_last_regex) if new_code_last_regex is not None else F.lit(False)
-    w = Window.partitionBy("subject_id").orderBy(F.col("time").asc_nulls_first(), ORDER)
-    dense = lambda d: d.withColumn(ORDER, F.row_number().over(w).cast("long"))
-    old = dense(df).withColumn("__b", F.lit(1))
-    both = old.unionByName(dense(new).withColumn("__b", F.when(last, 2).otherwise(0)), allowMissingColumns=True)
-    v = Window.partitionBy("subject_id").orderBy(F.col("time").asc_nulls_first(), "__b", ORDER)
-    return both.withColumn(ORDER, F.row_number().over(v).cast("long")).drop("__b") if ordered else both
+    w = _subject().orderBy(F.col("time").asc_nulls_first(), ORDER)
+    place = lambda d, b: d.withColumn(ORDER, F.struct(b.alias("b"), F.row_number().over(w).cast("long").alias("o")))
+    return place(df, F.lit(0)).unionByName(place(new, F.when(last, 1).otherwise(-1)), allowMissingColumns=True)
 
 
-_FUNCTORS: dict[str, Callable[[DataFrame, dict[str, Any]], DataFrame | None]] = {"age": age, "time_of_day": time_of_day, "timeline_tokens": timeline_tokens}
+_PARTS: dict[str, Callable[[dict[str, Any]], list[Part]]] = {"age": age_parts, "time_of_day": time_of_day_parts, "timeline_tokens": timeline_parts}
 
 
 def add_time_derived_measurements(df: DataFrame, features: dict[str, Any]) -> DataFrame:
-    """Applies the features in the order given, each to the result of the one before; a null feature is off."""
-    for name, cfg in features.items():
-        if name not in _FUNCTORS:
-            raise ValueError(f"Unknown time-derived measurement: {name}")
-        if cfg is None:
-            continue
-        new = _FUNCTORS[name](df, cfg)
-        if new is not None:
-            df = add_new_events(df, new, cfg.get("timeline_end_code", "TIMELINE//END") if name == "timeline_tokens" else None)
-    return df
+    """Applies the features in the order given; the rows of each go before those of the features before it and
+    the event's own, a timeline end after them. A null feature is off.
+
+    One window by subject and time marks the first row of each event and knows the event before; all features' rows
+    are one array, exploded beside that row. So the input is read once, and once more for births if ages are asked
+    for. Births are those of the input, not rows that another feature makes."""
+    if unknown := [x for x in features if x not in _PARTS]:
+        raise ValueError(f"Unknown time-derived measurement: {', '.join(unknown)}")
+    parts = [(i, p) for i, (name, cfg) in enumerate(features.items()) if cfg is not None for p in _PARTS[name](cfg)]
+    if not parts:
+        return df
+    carried, births = ORDER in df.columns, births_of(df, features["age"]) if features.get("age") is not None else None
+    by_time = _subject().orderBy("time", *[ORDER] * carried)
+    rows = df.withColumns({"__prev": F.lag("time").over(by_time), "__end": F.max("time").over(_subject())})
+    rows = rows.withColumn("__first", F.col("time").isNotNull() & ~F.col("time").eqNullSafe(F.col("__prev")))
+    if births is not None:
+        rows = rows.join(births.withColumnRenamed("subject_id", "__born"), F.col("subject_id") == F.col("__born"), "left").drop("__born")
+    once = F.coalesce(F.col("__nth") == 1, F.lit(True)) if births is not None else F.lit(True)
+
+    kinds = {f.name: f.dataType for f in df.schema}
+    kind = kinds.get("numeric_value", "float")
+    has_value = "numeric_value" in kinds or any(p.value is not None for _, p in parts)
+    ages = {id(p) for i, p in parts if list(features)[i] == "age"}
+
+    def made(own: Column, b: int, k: int, code: Column, value: Column) -> Column:
+        return F.struct(own.alias("own"), F.lit(b).alias("b"), F.lit(k).alias("k"), code.cast(kinds["code"]).alias("code"), value.cast(kind).alias("value"))
+
+    none = F.lit(None).cast("float")
+    every = [F.when(once, made(F.lit(True), 0, 0, F.col("code"), F.col("numeric_value") if "numeric_value" in kinds else none))]
+    for i, p in parts:
+        test = F.col("__first") & p.when & (F.lit(True) if id(p) in ages else once)
+        every.append(F.when(test, made(F.lit(False), i + 1 if p.last else -(i + 1), p.rank, p.code, none if p.value is None else p.value)))
+    rows = rows.withColumn("__x", F.explode(F.array_compact(F.array(*every))))
+
+    out = {"subject_id": F.col("subject_id"), "time": F.col("time"), "code": F.col("__x.code"), "numeric_value": F.col("__x.value")}
+    names = [*df.columns, *["numeric_value"] * (has_value and "numeric_value" not in kinds)]
+    for name in names:
+        out.setdefault(name, F.when(F.col("__x.own"), F.col(f"`{name}`")))
+    if carried:
+        nth = F.coalesce(F.col("__nth"), F.lit(0)) if births is not None else F.lit(0)
+        out[ORDER] = F.struct(F.col("__x.b").alias("b"), F.col("__x.k").alias("k"), F.col(ORDER).alias("o"), nth.alias("nth"))
+    return rows.select(*[out[name].alias(name) for name in names])

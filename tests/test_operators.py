@@ -76,8 +76,11 @@ def test_vocabulary(spark):
     meta = spark.createDataFrame([("B", "x"), ("A", "y"), (None, None), ("A", None)], "code string, mod string")
     got = {(r["code"], r["mod"]): r["code/vocab_index"] for r in codes.fit_vocabulary_indices(meta, code_modifiers=["mod"]).collect()}
     assert got == {(None, None): 1, ("A", None): 2, ("A", "y"): 3, ("B", "x"): 4}
-    with pytest.raises(ValueError, match="unique"):
-        codes.fit_vocabulary_indices(meta)
+    with pytest.raises(Exception, match="unique"):  # once computed: the plan itself is lazy
+        codes.fit_vocabulary_indices(meta).collect()
+    many = spark.createDataFrame([(f"{i % 7}{'x' * (i % 9)}//{i}",) for i in range(300)] + [(None,), ("",)], "code string")
+    order = [r["code"] for r in sorted(codes.fit_vocabulary_indices(many).collect(), key=lambda r: r["code/vocab_index"])]
+    assert order == [None, *sorted(r["code"] for r in many.collect() if r["code"] is not None)]
     with pytest.raises(ValueError, match="ordering"):
         codes.fit_vocabulary_indices(meta, "random")
 
@@ -229,8 +232,13 @@ def test_shards(spark):
     given = spark.createDataFrame([(i, "custom") for i in range(100)], "subject_id long, split string")
     assert {r["split"] for r in shards.shard_subjects(ids, given).collect()} == {"custom"}
     assert shards.split_sizes(10, {"a": 0.99, "b": 0.01}) == {"a": 9, "b": 1}
-    with pytest.raises(ValueError, match="sum"):
-        shards.split_sizes(10, {"a": 0.5})
+    assert shards.split_sizes(101, {"a": 0.5, "b": None, "c": 0.25, "d": 0.25}) == {"a": 51, "c": 25, "d": 25}
+    assert shards.split_sizes(3, {"a": 1 / 3, "b": 1 / 3, "c": 1 / 3}) == {"a": 1, "b": 1, "c": 1}
+    for n, fracs, why in ((10, {"a": 0.5}, "sum"), (1, {"a": 0.5, "b": 0.5}, "fill")):
+        with pytest.raises(ValueError, match=why):
+            shards.split_sizes(n, fracs)
+    by_default = {r["split"] for r in shards.shard_subjects(ids).collect()}
+    assert by_default == {"train", "tuning", "held_out"}
 
 
 def test_wide_to_events(spark):
