@@ -26,36 +26,45 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return langid.identify(docs.select(*COLUMNS), model).where(F.col("lang_pred") != langid.UND).select(*COLUMNS)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``__key``: id and text, so that rows without an id, or with one id and several texts, are apart."""
+    return docs.select(*COLUMNS, F.struct(F.col("doc_id"), F.xxhash64("text").alias("of")).alias("__key"))
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join: of each component the document with the smallest id stays. Word-less texts link with
-    nothing and stay; rows without an id cannot be told apart by id and stay."""
+    nothing and stay; rows without an id cannot be told apart by id and stay. Rows repeated with id and text stay
+    once; an id with several texts is one document, and stays or goes with all of them."""
     comps = ngram_join.join_components(docs, k=5, num=4, den=5)
-    gone = comps.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct()
+    # Written first: its measured size decides whether the texts are shuffled to meet it.
+    gone = materialize(comps.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     repeated = docs.groupBy("doc_id").count().where("count > 1")
     return kept if repeated.isEmpty() else kept.dropDuplicates(["doc_id", "text"])
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark decontamination: documents of which a twentieth of the words or more lies in benchmark windows go."""
-    found = decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=13)
-    gone = found.where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Benchmark decontamination: documents of which a twentieth of the words or more lies in benchmark windows go,
+    each judged by its own text, with or without an id."""
+    own = _keyed(docs)
+    found = decontam.decontaminate(own, table(spark, sf_dir, "benchmark"), n=13, id_col="__key")
+    gone = materialize(found.where("contaminated").select(F.col("__key").alias("__gone")).distinct(), "pipeline-gone")
+    return own.join(gone, F.col("__key").eqNullSafe(F.col("__gone")), "left_anti").select(*COLUMNS)
 
 
 def mix_to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: each document comes as many times as the mix takes it (0, 1 or 2). Word-less documents weigh nothing
-    and stay once."""
-    mixed = materialize(mixing.mix_sources(docs), "pipeline-mix")
+    and stay once. Rows with equal id and text come as often as the most taken one of them."""
+    own = _keyed(docs)
     copies = F.when(F.col("size") > 0, (F.col("taken") / F.col("size")).cast("int")).otherwise(1)
-    copies = mixed.groupBy("doc_id").agg(F.max(copies).alias("copies"))
-    named = copies.select(F.col("doc_id").alias("__id"), "copies")
-    out = docs.join(named, docs["doc_id"].eqNullSafe(named["__id"])).where("copies > 0")
+    copies = mixing.mix_sources(own, id_col="__key").groupBy(F.col("__key").alias("__id")).agg(F.max(copies).alias("copies"))
+    out = own.join(materialize(copies, "pipeline-copies"), F.col("__key").eqNullSafe(F.col("__id"))).where("copies > 0")
     return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sharding: eight shards of nearly equal bytes; the copies of a document lie in one shard."""
+    """Sharding: eight shards of nearly equal bytes; the copies of a document lie in one shard. Rows without a text are
+    a group of their own, rows without an id are placed as any."""
     return sharding.shard_by_bytes(docs, n_shards=8).select("doc_id", "size", "text_crc32", "shard", "slot")
 
 
