@@ -28,7 +28,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 class _Words(dict):
     """Hash of each word, kept until ``most`` words are known."""
 
-    most = 1_000_000
+    most = 200_000
 
     def __missing__(self, w: bytes) -> int:
         if len(self) >= self.most:
@@ -152,7 +152,8 @@ def _sign(k: int, num: int, den: int, most_seen: int = 100_000):
             sig, doc, held = [], [], 0
             nodes, sizes, sketches = [], [], []
             ids = batch.column(0).to_pylist()
-            for i, text in zip(ids, batch.column(1).to_pylist(), strict=True):
+            for i, own_text in zip(ids, batch.column(1), strict=True):  # one text at a time as a Python string
+                text = own_text.as_py()
                 words = _words_of(text) if text else []
                 key = xxhash.xxh3_128_digest(b" ".join(words))
                 node, n = seen.get(key, (None, None)) if words and i is not None else (None, None)
@@ -259,11 +260,11 @@ def _verify(k: int, num: int, den: int):
         memo, at, hubs = _Words(), None, []
         for batch in batches:
             u, v = [], []
-            for h, salt, doc, text in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+            for h, salt, doc, text in zip(*(c.to_pylist() for c in batch.columns[:3]), batch.column(3), strict=True):
                 own = (h, salt)
                 if own != at:
                     at, hubs = own, []
-                s = shingle_set(_words_of(text), k, memo)
+                s = shingle_set(_words_of(text.as_py()), k, memo)
                 if doc == h:
                     if len(s) and not any(np.array_equal(s, x) for x in hubs):
                         hubs.append(s)

@@ -74,7 +74,7 @@ def test_each_stage_keeps_what_it_must(spark):
     for i, _, s in into:
         totals[s] += size[i]
     goal = mixing.water_fill(dict(totals))
-    picked = {r["doc_id"]: r["taken"] // r["size"] if r["size"] else 1 for r in mixing.mix_sources(clean).collect()}
+    picked = {r["__key"]["doc_id"]: r["taken"] // r["size"] if r["size"] else 1 for r in mixing.mix_sources(corpus_pipeline._keyed(clean), id_col="__key").collect()}
     assert mixed == Counter({x: picked[x[0]] for x in into if picked[x[0]]})
     for (i, _, s), n in mixed.items():
         taken[s] += n * size[i]
