@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from operator import and_
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventspark.functions import dsl
@@ -15,26 +16,48 @@ from eventspark.sources.tables import ORDER
 MODES = ("match_and_revise", "multi_match_and_revise")
 
 
-def match_revise(df: DataFrame, blocks: list[dict[str, Any]], apply: Callable[[DataFrame, dict[str, Any]], DataFrame], shared: dict[str, Any] | None = None, mode: str = "match_and_revise") -> DataFrame:
+def match_revise(df: DataFrame, blocks: list[dict[str, Any]], apply: Callable[[DataFrame, dict[str, Any]], DataFrame], shared: dict[str, Any] | None = None, mode: str = "match_and_revise", columns: Callable[[DataFrame, dict[str, Any]], dict[str, Column]] | None = None) -> DataFrame:
     """``blocks``: settings with a ``_matcher`` each, over the ``shared`` ones. In ``match_and_revise`` a row goes to
     its first block; in ``multi_match_and_revise`` to every block that matches. Rows of no block stay as they are,
-    after the blocks' rows of the same time; a row whose matcher is null vanishes, as it is in neither."""
+    after the blocks' rows of the same time; a row whose matcher is null vanishes, as it is in neither.
+
+    An operator that only changes columns names them with ``columns``: then the input is read once, each row beside
+    the numbers of its blocks. Any other operator gets the rows of each block as a frame of its own."""
     if mode not in MODES:
-        raise ValueError(f"Invalid match and revise mode: {mode}")
+        raise ValueError(f"'{mode}' is no mode of match and revise: {', '.join(MODES)}")
     if not isinstance(blocks, list) or not blocks or not all(isinstance(b, dict) and "_matcher" in b for b in blocks):
         raise ValueError("Match and revise needs a list of settings with a '_matcher' each")
-    tests = []
+    tests, settings = [], [{**(shared or {}), **{k: v for k, v in b.items() if k != "_matcher"}} for b in blocks]
     for i, b in enumerate(blocks):
         test, need = dsl.matcher(b["_matcher"])
-        if missing := need - set(df.columns):
-            raise ValueError(f"Missing needed columns {sorted(missing)} for local matcher {i}. Columns available: {sorted(df.columns)}")
+        if lacking := sorted(need - set(df.columns)):
+            raise ValueError(f"The matcher of block {i} reads {lacking}, but the rows have {sorted(df.columns)}")
         tests.append(test)
-    parts, none_before = [], []
-    for b, test in zip(blocks, tests, strict=True):
-        own = reduce(lambda x, y: x & y, [*(none_before if mode == MODES[0] else []), test])
-        parts.append(apply(df.where(own), {**(shared or {}), **{k: v for k, v in b.items() if k != "_matcher"}}))
-        none_before.append(~test)
-    parts.append(df.where(reduce(lambda x, y: x & y, none_before)))
+    none = reduce(and_, [~t for t in tests])
+    first_only = mode == MODES[0]
+    own = [reduce(and_, [*(~t for t in tests[:i] if first_only), t]) for i, t in enumerate(tests)]
+    if columns is not None:
+        return _in_one_pass(df, [*own, none], [columns(df, s) for s in settings])
+    parts = [apply(df.where(t), s) for t, s in zip(own, settings, strict=True)] + [df.where(none)]
     if ORDER in df.columns:
         parts = [p.withColumn(ORDER, F.struct(F.lit(i).alias("b"), F.col(ORDER).alias("o"))) for i, p in enumerate(parts)]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def _in_one_pass(df: DataFrame, tests: list[Column], changes: list[dict[str, Column]]) -> DataFrame:
+    """A row for each test that holds, with that block's columns; the last test stands for no block."""
+    kinds = df.schema
+    names = list(dict.fromkeys([*df.columns, *(k for c in changes for k in c)]))
+    if added := [n for n in names if n not in df.columns and not all(n in c for c in changes)]:
+        raise ValueError(f"Every block has to make the new columns {added}, as blocks are put together")
+    if added := [n for n in names if n not in df.columns]:
+        raise ValueError(f"Rows of no block would lack the new columns {added}")
+    own = df.withColumn("__block", F.explode(F.array_compact(F.array(*[F.when(t, F.lit(i)) for i, t in enumerate(tests)]))))
+    out = []
+    for name in names:
+        value = F.col(f"`{name}`")
+        for i, c in enumerate(changes):
+            if name in c:
+                value = F.when(F.col("__block") == i, c[name].cast(kinds[name].dataType)).otherwise(value)
+        out.append((F.struct(F.col("__block").alias("b"), F.col(ORDER).alias("o")) if name == ORDER else value).alias(name))
+    return own.select(*out)

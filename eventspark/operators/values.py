@@ -108,6 +108,11 @@ REQUIRED_TYPES = {"subject_id": "long", "time": "timestamp", "code": "string", "
 
 def extract_values(df: DataFrame, columns: dict[str, Any]) -> DataFrame:
     """Adds or replaces columns by expressions, all of which see the input's values; casts are strict."""
+    return df.withColumns(extracted(df, columns))
+
+
+def extracted(df: DataFrame, columns: dict[str, Any]) -> dict[str, Column]:
+    """The columns that ``extract_values`` adds or replaces."""
     new, need = {}, set()
     for name, e in columns.items():
         if not isinstance(name, str):
@@ -122,7 +127,7 @@ def extract_values(df: DataFrame, columns: dict[str, Any]) -> DataFrame:
         need |= cols
     if missing := need - set(df.columns):
         raise ValueError(f"Missing columns: {sorted(missing)}")
-    return df.withColumns(new)
+    return new
 
 
 def code_order(code: Column, patterns: list[str]) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 from typing import Any
 
@@ -93,17 +95,41 @@ def with_file_bins(settings: dict[str, Any]) -> dict[str, Any]:
     return settings
 
 
+@dataclass(frozen=True)
+class Rows:
+    """What flows between steps: all rows, the code metadata, the split of each subject, and rows from train shards."""
+
+    df: DataFrame | None
+    meta: DataFrame | None = None
+    splits: DataFrame | None = None
+    train: DataFrame | None = None
+
+    def of_train(self) -> DataFrame:
+        if self.train is not None:
+            return self.train
+        if self.splits is None:
+            raise FileNotFoundError("A fit on train subjects needs train shards or metadata/subject_splits.parquet; set train_only: false to learn from all rows")
+        return tables.of_split(self.df, self.splits)
+
+
+def _mark(what: Any) -> str:
+    return hashlib.sha256(json.dumps(what, sort_keys=True, default=str).encode()).hexdigest()[:16]
+
+
 @dataclass
 class Pipeline:
-    """Composes stages. Rows flow through ``map`` stages; ``fit`` stages see the train split only (if there are
-    splits) and merge into the code metadata, which later stages get and which is kept once computed. Nothing runs
-    until a result is used. ``persist_before_fit`` also keeps the rows that a fit and the stages after it read."""
+    """Composes stages. Rows flow through ``map`` stages. ``fit`` stages see the train split only and merge into the
+    code metadata, which later stages get. Nothing runs until a result is used: one plan, in which Spark reuses equal
+    shuffles.
+
+    Train rows are those of ``train``, rows that come from train shards alone and go through the same stages, or those
+    of the train subjects of ``splits``. A fit without either is refused, unless the stage says ``train_only: false``.
+    """
 
     steps: list[Step]
     registry: Registry = field(default_factory=builtin)
     code_modifiers: list[str] | None = None
     float32: bool = False
-    persist_before_fit: bool = False
 
     @classmethod
     def from_config(cls, cfg: dict[str, Any], registry: Registry | None = None) -> Pipeline:
@@ -113,72 +139,94 @@ class Pipeline:
             raise KeyError(f"Unknown stages: {unknown}. Known: {sorted(registry)}")
         return p
 
-    def apply_step(self, step: Step, df: DataFrame, meta: DataFrame | None, splits: DataFrame | None) -> tuple[DataFrame, DataFrame | None]:
+    def apply_step(self, step: Step, rows: Rows) -> Rows:
         stage = self.registry[step.base]
         settings = dict(step.settings)
-        train_only = settings.pop("train_only", stage.is_metadata)
+        train_only = settings.pop("train_only", stage.kind == "fit")
+        if train_only and stage.kind != "fit":
+            raise ValueError(f"'{step.name}' is a {stage.kind} stage, which has all rows; only a fit is train_only")
         if step.base == "bin_numeric_values":
             settings = with_file_bins(settings)
         blocks, mode = settings.pop("_match_revise", None), settings.pop("_match_revise_mode", "match_and_revise")
-        if self.persist_before_fit and stage.kind == "fit":
-            df = df.persist()
-        rows = tables.of_split(df, splits) if train_only and splits is not None and stage.kind == "fit" else df
-        if blocks is not None:
-            if stage.kind != "map":
-                raise ValueError(f"Match and revise works on map stages only; '{step.base}' is a {stage.kind} stage")
-            if stage.whole:
-                blocks = [{"_matcher": b["_matcher"], **{k: v for k, v in b.items() if k != "_matcher"}} for b in blocks]
-            return match_revise(df, blocks, lambda d, s: self._call(stage, with_file_bins(s), d, meta, splits), settings, mode), meta
-        got = self._call(stage, settings, rows, meta, splits)
-        if stage.kind == "fit":
-            got = merge_metadata(got, meta, self.code_modifiers) if meta is not None else got
-        if stage.is_metadata:  # a row per code, used by several later stages: kept, so its scan runs once
-            return df, got.persist()
-        return got, meta
+        if blocks is not None and stage.kind != "map":
+            raise ValueError(f"Match and revise works on map stages only; '{step.base}' is a {stage.kind} stage")
 
-    def _call(self, stage: Stage, settings: dict[str, Any], df: DataFrame, meta: DataFrame | None, splits: DataFrame | None) -> DataFrame:
-        return stage.bind(settings, {"df": df, "code_metadata": meta, "splits": splits, "code_modifiers": self.code_modifiers, "float32": self.float32, "spark": df.sparkSession})
+        def over(df: DataFrame | None) -> DataFrame:
+            if blocks is not None:
+                return match_revise(df, blocks, lambda d, s: self._call(stage, with_file_bins(s), d, rows), settings, mode, stage.columns)
+            return self._call(stage, settings, df, rows)
 
-    def apply(self, df: DataFrame, meta: DataFrame | None = None, splits: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
+        if stage.kind == "fit":
+            got = over(rows.of_train() if train_only else rows.df)
+            return replace(rows, meta=merge_metadata(got, rows.meta, self.code_modifiers) if rows.meta is not None else got)
+        if stage.kind == "meta":
+            return replace(rows, meta=over(rows.df))
+        if stage.kind == "main":  # it decides on rows and shards itself
+            return replace(rows, df=over(rows.df), train=None)
+        return replace(rows, df=over(rows.df), train=None if rows.train is None else over(rows.train))
+
+    def _call(self, stage: Stage, settings: dict[str, Any], df: DataFrame | None, rows: Rows) -> DataFrame:
+        spark = df.sparkSession if df is not None else SparkSession.active()
+        return stage.bind(settings, {"df": df, "code_metadata": rows.meta, "splits": rows.splits, "code_modifiers": self.code_modifiers, "float32": self.float32, "spark": spark})
+
+    def apply(self, df: DataFrame | None, meta: DataFrame | None = None, splits: DataFrame | None = None, train: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
         """(rows, code metadata) after all steps."""
+        rows = Rows(df, meta, splits, train)
         for step in self.steps:
-            df, meta = self.apply_step(step, df, meta, splits)
-        return df, meta
+            rows = self.apply_step(step, rows)
+        return rows.df, rows.meta
 
     def run(self, spark: SparkSession, input_dir: str, output_dir: str, overwrite: bool = False, keep_intermediates: bool = False, read: Callable[[SparkSession, str], DataFrame] | None = None, write: Callable[[DataFrame, str], None] | None = None) -> None:
         """Read ``data``, ``metadata/codes.parquet`` and ``metadata/subject_splits.parquet``, write ``data`` and
-        ``metadata/codes``. Each fit is written once and read again, so its scan isn't repeated by every later use;
-        finished parts (with a commit marker) are taken up by a rerun. ``read`` and ``write`` replace the Parquet
-        source and sink of the rows."""
+        ``metadata/codes``. If ``data`` has a ``train`` folder, fits read only its shards. A first stage that takes no
+        rows is the source itself.
+
+        Each fit is written once and read again, so its scan isn't repeated by every later use. A finished part is
+        taken up by a rerun if it was made from the same files by the same stages and settings; else it is made anew.
+        ``read`` and ``write`` replace the Parquet source and sink of the rows; a stage may have its own
+        (``Registry.add(read=..., write=...)``): the former replaces the rows it gets, the latter is given its result.
+        """
         root = output_dir.rstrip("/")
-        if tables.is_complete(spark, f"{root}/data") and not overwrite:
+        first = self.registry[self.steps[0].base] if self.steps else None
+        sourced = first is not None and (first.takes_no_rows or first.read is not None)
+        seen = [self.code_modifiers, self.float32, [] if sourced or read else tables.file_marks(spark, f"{input_dir}/data")]
+        marks = [_mark([*seen, [[s.name, s.base, s.settings] for s in self.steps[: i + 1]]]) for i in range(len(self.steps))] or [_mark(seen)]
+        if tables.is_complete(spark, f"{root}/data", marks[-1]) and not overwrite:
             return
-        df = read(spark, f"{input_dir}/data") if read else tables.read_events(spark, f"{input_dir}/data", keep_order=True)
-        meta = self._optional(spark, f"{input_dir}/metadata/codes.parquet")
-        splits = self._optional(spark, f"{input_dir}/metadata/subject_splits.parquet")
+        df = train = None
+        if read:
+            df = read(spark, f"{input_dir}/data")
+        elif not sourced:
+            df = tables.read_events(spark, f"{input_dir}/data", keep_order=True)
+            if tables.has_shards(spark, f"{input_dir}/data/train"):
+                train = tables.read_events(spark, f"{input_dir}/data", "train", keep_order=True)
+        rows = Rows(df, self._optional(spark, f"{input_dir}/metadata/codes.parquet"), self._optional(spark, f"{input_dir}/metadata/subject_splits.parquet"), train)
         for i, step in enumerate(self.steps):
             stage = self.registry[step.base]
-            at = f"{root}/stages/{i:02d}-{step.name}"
-            before = meta
-            df, meta = self.apply_step(step, df, meta, splits)
-            if stage.is_metadata and meta is not before:
-                if overwrite or not tables.is_complete(spark, at):
-                    meta.write.mode("overwrite").parquet(at)
-                meta = spark.read.parquet(at)
+            at, before = f"{root}/stages/{i:02d}-{step.name}", rows
+            if stage.read is not None:
+                rows = replace(rows, df=stage.read(spark, input_dir), train=None)
+            rows = self.apply_step(step, rows)
+            if stage.is_metadata and rows.meta is not before.meta:
+                rows = replace(rows, meta=tables.once(rows.meta, at, marks[i], overwrite))
             elif keep_intermediates and not stage.is_metadata:
-                if overwrite or not tables.is_complete(spark, at):
-                    df.write.mode("overwrite").parquet(at)
-                df = spark.read.parquet(at)
+                rows = replace(rows, df=tables.once(rows.df, at, marks[i], overwrite))
+            if stage.write is not None:
+                stage.write(rows.df, at)
+        if first is not None and first.codes is not None and rows.meta is None:
+            rows = replace(rows, meta=first.codes(rows.df))
         mode = "overwrite"
-        if meta is not None:
-            meta.write.mode(mode).parquet(f"{root}/metadata/codes")
+        if rows.meta is not None:
+            tables.sorted_codes(rows.meta).write.mode(mode).parquet(f"{root}/metadata/codes")
         if write:
-            write(df, f"{root}/data")
-        elif {"split", "shard"} <= set(df.columns):
-            shards = df.select("subject_id", "split", "shard").distinct()
-            tables.write_events(df.drop("split", "shard"), f"{root}/data", shards, mode)
+            write(rows.df, f"{root}/data")
+            return
+        if {"split", "shard"} <= set(rows.df.columns):
+            shards = rows.df.select("subject_id", "split", "shard").distinct()
+            tables.write_events(rows.df.drop("split", "shard"), f"{root}/data", shards, mode)
         else:
-            tables.write_events(df, f"{root}/data", mode=mode)
+            tables.write_events(rows.df, f"{root}/data", mode=mode)
+        tables.sign(spark, f"{root}/data", marks[-1])
 
     @staticmethod
     def _optional(spark: SparkSession, path: str) -> DataFrame | None:

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventspark.functions import dsl
 from eventspark.functions.numeric import fdiv
 from eventspark.operators import codes, filters, shards, timeline, values
 from eventspark.operators.match_revise import match_revise
 from eventspark.plans.pipeline import Pipeline, parse_stages
-from eventspark.sources.tables import of_split, utc, wide_to_events
+from eventspark.plans.registry import builtin
+from eventspark.sources.tables import ORDER, of_split, read_events, utc, wide_to_events
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -375,7 +377,7 @@ _REVISE = [{"_matcher": {"code": {"regex": "^ITEM"}}, "code": "A//{code}"}, {"_m
 
 
 def _revised(spark, d, mode):
-    return match_revise(measurements(spark, d), _REVISE, values.extract_values, mode=mode)
+    return match_revise(measurements(spark, d), _REVISE, values.extract_values, mode=mode, columns=values.extracted)
 
 
 @_query(f"WITH {_M} SELECT subject_id, time, CASE WHEN regexp_matches(code, '^ITEM') THEN 'A//' || code WHEN regexp_matches(code, 'F$') THEN 'B//' || code ELSE code END AS code, numeric_value FROM m", "match_revise")
@@ -402,6 +404,86 @@ def csv_wide_to_long(spark, d):
     return out.select("subject_id", "code", F.round(F.col("numeric_value").cast("double"), 2).alias("numeric_value"))
 
 
+# -- order, sources, own stages --------------------------------------------------------------------------------
+
+
+def _ordered(spark, d):
+    """Orders with a carried order, several of them on one day of a customer."""
+    day = F.date_trunc("month", F.col("o_orderdate"))
+    return _t(spark, d, "orders").select(F.col("o_custkey").alias("subject_id"), day.alias("time"), F.concat(F.lit("ORDER//"), "o_orderpriority").alias("code"), F.col("o_totalprice").alias("numeric_value"), F.col("o_orderkey").alias(ORDER))
+
+
+def _positions(df: DataFrame) -> DataFrame:
+    """The place of each row in its subject, as the sink orders them."""
+    w = Window.partitionBy("subject_id").orderBy(F.col("time").asc_nulls_first(), ORDER)
+    return df.select("subject_id", "time", "code", F.row_number().over(w).cast("long").alias("pos"))
+
+
+_O = "o AS (SELECT o_custkey AS subject_id, CAST(date_trunc('month', o_orderdate) AS TIMESTAMP) AS time, concat('ORDER//', o_orderpriority) AS code, o_totalprice AS numeric_value, o_orderkey AS k FROM orders)"
+
+
+@_query(f"WITH {_O} SELECT subject_id, time, code, row_number() OVER (PARTITION BY subject_id ORDER BY time, k) AS pos FROM o")
+def order_at_sink(spark, d):
+    return _positions(_ordered(spark, d))
+
+
+@_query(f"""WITH {_O}, e AS (SELECT subject_id, time, min(k) AS k, min(time) OVER (PARTITION BY subject_id) AS lo, max(time) OVER (PARTITION BY subject_id) AS hi FROM o GROUP BY subject_id, time),
+x AS (SELECT subject_id, time, code, 0 AS b, k FROM o UNION ALL SELECT subject_id, time, 'TIME_OF_DAY//[00,06)', -1, k FROM e
+UNION ALL SELECT subject_id, time, CASE WHEN time = lo THEN 'TIMELINE//START' ELSE 'TIMELINE//DELTA//days' END, -2, k FROM e UNION ALL SELECT subject_id, time, 'TIMELINE//END', 2, k FROM e WHERE time = hi)
+SELECT subject_id, time, code, row_number() OVER (PARTITION BY subject_id ORDER BY time, b, k) AS pos FROM x""")
+def order_of_time_derived_rows(spark, d):
+    return _positions(timeline.add_time_derived_measurements(_ordered(spark, d), {"time_of_day": timeline.DEFAULTS["time_of_day"], "timeline_tokens": _TOKENS}))
+
+
+@_query(f"WITH {_O} SELECT subject_id, time, code, row_number() OVER (PARTITION BY subject_id ORDER BY time, CASE WHEN code = 'ORDER//5-LOW' THEN NULL WHEN regexp_matches(code, '//[34]') THEN 0 WHEN regexp_matches(code, 'URGENT$') THEN 1 ELSE 2 END NULLS FIRST, k) AS pos FROM o")
+def order_of_reordered_rows(spark, d):
+    df = _ordered(spark, d)
+    known = codes.aggregate_code_metadata(df, ["code/n_occurrences"]).where("code <> 'ORDER//5-LOW'")
+    return _positions(values.reorder_measurements(df, known, ["//[34]", "URGENT$"]))
+
+
+@_query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders WHERE o_totalprice > 250000 AND o_orderpriority = '1-URGENT'")
+def scan_filtered(spark, d):
+    where = (F.col("o_totalprice") > 250000) & (F.col("o_orderpriority") == "1-URGENT")
+    return read_events(spark, f"{d}/orders.parquet", where=where).select("o_orderkey", "o_custkey", "o_totalprice")
+
+
+@_query(f"WITH {_M} SELECT DISTINCT subject_id, code, 'a b' AS x FROM m")
+def expr_literal(spark, d):
+    return _expr(spark, d, {"literal": "a b"})
+
+
+@_query(f"WITH {_M}, l AS (SELECT code AS c, list_sort(list(numeric_value) FILTER (WHERE numeric_value IS NOT NULL)) AS v FROM m GROUP BY code UNION ALL SELECT NULL, list_sort(list(numeric_value) FILTER (WHERE numeric_value IS NOT NULL)) FROM m) SELECT c AS code, v[CAST(floor(0.25 * (len(v) - 1) + 0.5) AS INT) + 1] AS q25, v[CAST(floor(0.5 * (len(v) - 1) + 0.5) AS INT) + 1] AS q50, v[CAST(floor(0.75 * (len(v) - 1) + 0.5) AS INT) + 1] AS q75 FROM l")
+def agg_quantiles_with_summary(spark, d):
+    return _flat_quantiles(codes.aggregate_code_metadata(measurements(spark, d), ["code/n_occurrences", {"name": "values/quantiles", "quantiles": [0.25, 0.5, 0.75]}], do_summarize_over_all_codes=True))
+
+
+@_query(f"WITH {_MOD}, x AS (SELECT *, CASE WHEN code = 'ITEM//N' AND unit = 'O' THEN [25.0::DOUBLE, 40.0] END AS a FROM d), r AS (SELECT {_BIN} AS code, unit FROM x) SELECT code, unit, count(*) AS n FROM r GROUP BY code, unit")
+def bin_with_modifiers(spark, d):
+    """Null modifiers of the metadata match no row, as in any join on equal keys."""
+    m = _modified(spark, d)
+    meta = codes.aggregate_code_metadata(m, ["code/n_occurrences"], code_modifiers=["unit"])
+    ends = F.when((F.col("code") == "ITEM//R") & F.col("unit").isNull(), F.array(F.lit(10.0), F.lit(20.0))).when((F.col("code") == "ITEM//N") & (F.col("unit") == "O"), F.array(F.lit(25.0), F.lit(40.0)))
+    out = values.bin_numeric_values(m, meta.withColumn("ends", ends), ["ends"], code_modifiers=["unit"])
+    return out.groupBy("code", "unit").agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query(f"WITH {_M} SELECT subject_id, CASE WHEN subject_id % 10 < 8 THEN 'train' WHEN subject_id % 10 = 8 THEN 'tuning' ELSE 'held_out' END AS split, count(*) AS n, CAST(1 AS BIGINT) AS shards FROM m GROUP BY subject_id")
+def reshard_rows(spark, d):
+    out = shards.reshard_to_split(measurements(spark, d), splits(spark, d), 100)
+    return out.groupBy("subject_id", "split").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("shard").alias("shards"))
+
+
+@_query(f"WITH {_M} SELECT code, max(day) AS busiest, CAST(count(*) AS BIGINT) AS days FROM (SELECT code, time, count(*) AS day FROM m WHERE subject_id % 10 < 8 GROUP BY code, time) GROUP BY code")
+def own_map_reduce(spark, d):
+    """A user's fit: rows mapped to counts by code and day, reduced to the busiest day of each code."""
+    r = builtin()
+    by_day = lambda df: df.groupBy("code", "time").agg(F.count(F.lit(1)).alias("n"))
+    busiest = lambda parts: parts.groupBy("code").agg(F.max("n").alias("busiest"), F.count(F.lit(1)).alias("days"))
+    r.add(by_day, name="busiest_day", reduce=busiest, needs=("code", "n"))
+    return Pipeline(parse_stages(["busiest_day"]), r).apply(measurements(spark, d), None, splits(spark, d))[1]
+
+
 FLAGSHIP = [
     {"filter_subjects": {"min_events_per_subject": 5}},
     {"add_time_derived_measurements": {"age": None, "time_of_day": {"time_of_day_code": "TIME_OF_DAY", "endpoints": [6, 12, 18, 24]}, "timeline_tokens": {"time_unit": "days"}}},

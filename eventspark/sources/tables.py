@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,15 +14,17 @@ ORDER = "__ord"
 SORT = ("subject_id", "time")
 
 
-def read_events(spark: SparkSession, path: str, prefix: str | None = None, keep_order: bool = False, where=None) -> DataFrame:
+def read_events(spark: SparkSession, path: str | list[str], prefix: str | None = None, keep_order: bool = False, where=None) -> DataFrame:
     """All Parquet shards below ``path`` as one frame; timestamps without a zone become UTC timestamps.
 
-    ``prefix`` restricts to a folder below, ``where`` is pushed to the scan, ``keep_order`` adds the position of each
-    row within its file. A path without a shard raises ``FileNotFoundError``.
+    ``path`` may be a list of folders or shards, none of them twice. ``prefix`` restricts to a folder below, ``where``
+    is pushed to the scan, ``keep_order`` adds the position of each row within its file. A path without a shard raises
+    ``FileNotFoundError``.
     """
-    root = f"{path.rstrip('/')}/{prefix.strip('/')}" if prefix else path
-    _need(spark, root)
-    df = spark.read.option("recursiveFileLookup", "true").parquet(root)
+    roots = [f"{p.rstrip('/')}/{prefix.strip('/')}" if prefix else p for p in once_each([path] if isinstance(path, str) else path)]
+    for root in roots:
+        _need(spark, root)
+    df = spark.read.option("recursiveFileLookup", "true").parquet(*roots)
     if where is not None:
         df = df.where(where)
     if keep_order:
@@ -32,18 +36,55 @@ def utc(df: DataFrame) -> DataFrame:
     return df.withColumns({f.name: F.col(f"`{f.name}`").cast("timestamp") for f in df.schema if f.dataType.typeName() == "timestamp_ntz"})
 
 
-def _need(spark: SparkSession, root: str) -> None:
+def once_each(names: list[str]) -> list[str]:
+    """The names of shards, if none stands twice."""
+    if twice := sorted(n for n, k in Counter(names).items() if k > 1):
+        raise ValueError(f"Shards stand more than once: {twice}")
+    return list(names)
+
+
+def _files(spark: SparkSession, root: str):
+    """Status of each Parquet file at or below ``root``."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
-        raise FileNotFoundError(f"No shards below {root}")
+        return
     if fs.getFileStatus(path).isFile():
+        yield fs.getFileStatus(path)
         return
     files = fs.listFiles(path, True)
     while files.hasNext():
-        if files.next().getPath().getName().endswith(".parquet"):
-            return
-    raise FileNotFoundError(f"No shards below {root}")
+        f = files.next()
+        if f.getPath().getName().endswith(".parquet"):
+            yield f
+
+
+def has_shards(spark: SparkSession, root: str) -> bool:
+    return next(_files(spark, root), None) is not None
+
+
+def _need(spark: SparkSession, root: str) -> None:
+    if not has_shards(spark, root):
+        raise FileNotFoundError(f"No shards below {root}")
+
+
+def file_marks(spark: SparkSession, root: str) -> list[list]:
+    """Name, size and time of change of each shard, by name: what a rerun compares."""
+    return sorted([str(f.getPath()), int(f.getLen()), int(f.getModificationTime())] for f in _files(spark, root))
+
+
+def shard_files(spark: SparkSession, root: str, out_root: str, prefix: str = "", out_suffix: str = ".parquet", train_only: bool = False) -> dict[str, tuple[str, str]]:
+    """shard name -> (file read, file to write), by name. A name is the path below ``root`` without its suffix;
+    ``prefix`` picks those that begin so, ``train_only`` those of the ``train`` folder, if there are any."""
+    base = str(spark._jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()).rstrip("/") + "/"
+    paths = [str(f.getPath().toUri().getPath()) for f in _files(spark, root)]
+    names = {p[len(base) :].removesuffix(".parquet"): p for p in sorted(paths)}
+    names = {n: p for n, p in names.items() if n.startswith(prefix)}
+    if train_only and any(n.startswith("train/") for n in names):
+        names = {n: p for n, p in names.items() if n.startswith("train/")}
+    if not names:
+        raise FileNotFoundError(f"No shards below {root} begin with '{prefix}'")
+    return {n: (p, f"{out_root.rstrip('/')}/{n}{out_suffix}") for n, p in names.items()}
 
 
 def read_codes(spark: SparkSession, path: str) -> DataFrame:
@@ -68,6 +109,34 @@ def read_wide_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return wide_to_events(spark.read.options(header="true", **options).csv(path))
 
 
+def wide_csv_to_events(spark: SparkSession, path: str, id_col: str = "subject_id") -> DataFrame:
+    """Static events of all wide CSV files of a folder or pattern; files may differ in columns, and those without the
+    id column are passed over. A column whose every cell is a number gives values, any other nulls."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listStatus(folder) if fs.exists(folder) and fs.getFileStatus(folder).isDirectory() else fs.globStatus(folder) or []
+    names = sorted(str(f.getPath()) for f in found if f.getPath().getName().endswith(".csv"))
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for name in names:
+        by_header.setdefault(tuple(spark.read.csv(name, header=True).columns), []).append(name)
+    tables = [spark.read.csv(of, header=True, schema=", ".join(f"`{c}` string" for c in header)) for header, of in by_header.items() if id_col in header]
+    if not tables:
+        raise FileNotFoundError(f"No CSV file with a column '{id_col}' at {path}")
+    every = [wide_to_events(t, id_col) for t in tables]
+    return reduce(DataFrame.unionByName, every)
+
+
+def codes_of(df: DataFrame) -> DataFrame:
+    """Minimal code metadata: each code once, without a description or parents."""
+    none = F.lit(None)
+    return df.select("code").where("code is not null").distinct().select("code", none.cast("string").alias("description"), none.cast("array<string>").alias("parent_codes"))
+
+
+def sorted_codes(meta: DataFrame) -> DataFrame:
+    """Metadata in the order of its codes, as the sink writes it."""
+    return meta.orderBy(F.col("code").asc_nulls_first())
+
+
 def sorted_for_sink(df: DataFrame) -> DataFrame:
     """Each subject in one partition, rows by subject, time (null first) and the carried order."""
     order = [F.col(c).asc_nulls_first() for c in SORT] + ([F.col(ORDER).asc()] if ORDER in df.columns else [])
@@ -84,14 +153,32 @@ def write_events(df: DataFrame, path: str, shards: DataFrame | None = None, mode
     placed.sortWithinPartitions("split", "shard", *order).drop(ORDER).write.mode(mode).partitionBy("split", "shard").parquet(path)
 
 
-def is_complete(spark: SparkSession, path: str) -> bool:
-    """Whether Spark's commit marker is there."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_SUCCESS")
-    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+def is_complete(spark: SparkSession, path: str, mark: str | None = None) -> bool:
+    """Whether Spark's commit marker is there, and the one of ``sign`` with that mark."""
+    names = ["_SUCCESS", *([f"_made-by-{mark}"] if mark else [])]
+    paths = [spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/{n}") for n in names]
+    return all(bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)) for p in paths)
+
+
+def sign(spark: SparkSession, path: str, mark: str) -> None:
+    """Say beside a finished table what it was made by; writing the table anew takes the mark away."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/_made-by-{mark}")
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(p)
+
+
+def once(df: DataFrame, path: str, mark: str, overwrite: bool = False) -> DataFrame:
+    """``df`` written at ``path``, unless it is there with the same mark, and read again."""
+    spark = df.sparkSession
+    if overwrite or not is_complete(spark, path, mark):
+        df.write.mode("overwrite").parquet(path)
+        sign(spark, path, mark)
+    return spark.read.parquet(path)
 
 
-def shard_map_json(shards: DataFrame) -> str:
-    """``{"split/i": [ids]}`` for small datasets; large ones keep the table."""
+def shard_map_json(shards: DataFrame, most: int = 1_000_000) -> str:
+    """``{"split/i": [ids]}`` for datasets of at most ``most`` subjects; larger ones keep the table."""
+    if (n := shards.count()) > most:
+        raise ValueError(f"{n} subjects are too many for one JSON text (at most {most}); write the table instead")
     rows = shards.groupBy("split", "shard").agg(F.array_sort(F.collect_list("subject_id")).alias("ids")).orderBy("split", "shard").collect()
     return json.dumps({f"{r['split']}/{r['shard']}": r["ids"] for r in rows})
 

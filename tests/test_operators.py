@@ -189,9 +189,11 @@ def test_extract_with_match_revise(spark):
     ]
     got = in_order(match_revise(df, blocks, values.extract_values, mode="multi_match_and_revise"), 1)
     assert [(r["code"], r["numeric_value"]) for r in got] == [("BP//SYSTOLIC", 120.0), ("BP//DIASTOLIC", 80.0), ("TEMP//F", 100.0), ("HR", 80.0)]
-    one = in_order(match_revise(df, blocks, values.extract_values), 1)
+    alone = in_order(match_revise(df, blocks, values.extract_values, mode="multi_match_and_revise", columns=values.extracted), 1)
+    assert alone == got
+    one = in_order(match_revise(df, blocks, values.extract_values, columns=values.extracted), 1)
     assert [r["code"] for r in one] == ["BP//SYSTOLIC", "TEMP//F", "HR"]
-    with pytest.raises(ValueError, match="Missing needed columns"):
+    with pytest.raises(ValueError, match="matcher of block 0"):
         match_revise(df, [{"_matcher": {"nope": 1}}], values.extract_values)
     with pytest.raises(ValueError, match="mode"):
         match_revise(df, blocks, values.extract_values, mode="foobar")

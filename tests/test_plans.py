@@ -3,7 +3,7 @@ import math
 
 import pytest
 import yaml
-from base_data import events, in_order, splits
+from base_data import SPLITS, events, in_order, parsed, splits
 from pyspark.sql import functions as F
 
 from eventspark import queries as catalogue
@@ -100,7 +100,97 @@ def test_own_source_and_sink(spark, tmp_path):
 def test_match_revise_on_fit_is_refused(spark):
     p = Pipeline(parse_stages([{"aggregate_code_metadata": {"_match_revise": [{"_matcher": {}}]}}]))
     with pytest.raises(ValueError, match="map stages only"):
-        p.apply(events(spark))
+        p.apply(events(spark), None, splits(spark))
+
+
+def test_fits_see_train_subjects_only(spark, tmp_path):
+    root, df = tmp_path / "in", events(spark, False)
+    fit = [{"aggregate_code_metadata": {"aggregations": ["code/n_subjects"]}}]
+    with pytest.raises(FileNotFoundError, match="train"):
+        Pipeline(parse_stages(fit)).apply(df)
+    every = Pipeline(parse_stages([{"aggregate_code_metadata": {"aggregations": ["code/n_subjects"], "train_only": False}}])).apply(df)[1]
+    assert {r["code"]: r["code/n_subjects"] for r in every.collect()}["HR"] == 6
+    with pytest.raises(ValueError, match="only a fit"):
+        Pipeline(parse_stages([{"drop_regex": {"regex": "x", "train_only": True}}])).apply(df)
+    of = {i: s for i, s in SPLITS}
+    for s in set(of.values()):
+        df.where(F.col("subject_id").isin([i for i in of if of[i] == s])).coalesce(1).write.parquet(str(root / f"data/{s}/0"))
+    Pipeline(parse_stages([{"filter_subjects": {"min_events_per_subject": 5}}, *fit])).run(spark, str(root), str(tmp_path / "out"))
+    got = {r["code"]: r["code/n_subjects"] for r in spark.read.parquet(str(tmp_path / "out/metadata/codes")).collect()}
+    assert got["HR"] == 2
+    assert {r["subject_id"] for r in spark.read.parquet(str(tmp_path / "out/data")).collect()} == {239684, 1195293, 1500733}
+
+
+def test_a_rerun_with_other_settings_makes_anew(spark, tmp_path):
+    root = tmp_path / "in"
+    events(spark, False).coalesce(1).write.parquet(str(root / "data/0"))
+    splits(spark).write.parquet(str(root / "metadata/subject_splits.parquet"))
+    fit = lambda name: parse_stages([{"aggregate_code_metadata": {"aggregations": [name]}}])
+    for name in ("code/n_subjects", "code/n_occurrences"):
+        Pipeline(fit(name)).run(spark, str(root), str(tmp_path / "out"))
+        assert spark.read.parquet(str(tmp_path / "out/metadata/codes")).columns == ["code", name]
+    before = sorted(f.name for f in (tmp_path / "out/data").iterdir())
+    Pipeline(fit("code/n_occurrences")).run(spark, str(root), str(tmp_path / "out"))
+    assert sorted(f.name for f in (tmp_path / "out/data").iterdir()) == before
+    events(spark, False).where("code <> 'HR'").coalesce(1).write.parquet(str(root / "data/1"))
+    Pipeline(fit("code/n_occurrences")).run(spark, str(root), str(tmp_path / "out"))
+    assert spark.read.parquet(str(tmp_path / "out/data")).count() > 62
+
+
+def test_own_fit(spark):
+    r = builtin()
+    r.add(lambda df, by="code": df.groupBy(by).agg(F.max("numeric_value").alias("top")), name="top", reduce=lambda parts, least=0: parts.where(F.col("top") > least), needs=("code", "top"))
+    run = lambda **cfg: Pipeline(parse_stages([{"top": cfg}]), r).apply(events(spark), None, splits(spark))[1]
+    train = {i for i, s in SPLITS if s == "train"}
+    assert {x["code"] for x in run(least=150).collect()} == {c for i, _, c, v in parsed() if i in train and (v or 0) > 150}
+    with pytest.raises(ValueError, match="lack"):
+        run(by="subject_id")
+    with pytest.raises(ValueError, match="no setting"):
+        run(most=3)
+    with pytest.raises(ValueError, match="is a fit"):
+        r.add(None, name="x", kind="map", reduce=lambda parts: parts)
+
+
+def test_stage_with_a_folder_and_its_own_sink(spark, tmp_path):
+    folder, seen = tmp_path / "drop_some", []
+    folder.mkdir()
+    (folder / "config.yaml").write_text("regex: ^T\n")
+    r = builtin()
+    r.add_folder(folder, r["drop_regex"].fn, write=lambda df, at: seen.append((at, df.count())))
+    assert Pipeline(parse_stages(["drop_some"]), r).apply(events(spark))[0].count() == 46
+    Pipeline(parse_stages(["drop_some"]), r).run(spark, "x", str(tmp_path / "out"), read=lambda s, p: events(s))
+    assert seen == [(f"{tmp_path}/out/stages/00-drop_some", 46)]
+
+
+def test_shards_by_name(spark, tmp_path):
+    for name in ("train/0", "train/1", "tuning/0", "x"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / f"{name}.parquet").touch()
+    got = tables.shard_files(spark, str(tmp_path), "/out", out_suffix=".csv")
+    assert list(got) == ["train/0", "train/1", "tuning/0", "x"]
+    assert got["x"] == (f"{tmp_path}/x.parquet", "/out/x.csv")
+    assert list(tables.shard_files(spark, str(tmp_path), "/out", train_only=True)) == ["train/0", "train/1"]
+    assert list(tables.shard_files(spark, str(tmp_path), "/out", prefix="tun")) == ["tuning/0"]
+    with pytest.raises(FileNotFoundError):
+        tables.shard_files(spark, str(tmp_path), "/out", prefix="nope")
+    with pytest.raises(ValueError, match="more than once"):
+        tables.read_events(spark, ["a", "a"])
+
+
+def test_wide_csv_source(spark, tmp_path):
+    raw = tmp_path / "raw"
+    raw.mkdir()
+    (raw / "a.csv").write_text("subject_id,height,eyes\n1,170.5,brown\n2,,blue\n")
+    (raw / "b.csv").write_text("subject_id,weight\n1,60\n")
+    (raw / "c.csv").write_text("other\n1\n")
+    Pipeline(parse_stages([{"wide_csv_to_events": {"path": str(raw)}}])).run(spark, "unused", str(tmp_path / "out"))
+    got = sorted((r["subject_id"], r["code"], r["numeric_value"]) for r in spark.read.parquet(str(tmp_path / "out/data")).collect())
+    assert got == [(1, "eyes", None), (1, "height", 170.5), (1, "weight", 60.0), (2, "eyes", None), (2, "height", None)]
+    meta = spark.read.parquet(str(tmp_path / "out/metadata/codes"))
+    assert meta.columns == ["code", "description", "parent_codes"]
+    assert [r["code"] for r in meta.collect()] == ["eyes", "height", "weight"]
+    with pytest.raises(FileNotFoundError):
+        tables.wide_csv_to_events(spark, str(tmp_path / "nothing"))
 
 
 def test_command_line_run_and_rerun(spark, tmp_path):
@@ -160,6 +250,14 @@ def test_plans_have_no_python_and_no_cross_product(spark, name):
     assert "Python" not in plan and "Pandas" not in plan and "CartesianProduct" not in plan
 
 
+def test_inputs_are_read_once(spark):
+    for name in ("filter_subjects_events", "filter_subjects_measurements", "match_revise", "multi_match_revise", "add_new_events"):
+        df = catalogue.Q[name](spark, "/root/testdata/sf0.001")
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 5, name  # the view over three tables scans two of them twice
+        assert plan.count("Exchange hashpartitioning") <= 3, name
+
+
 def test_subjects_are_dealt_once(spark):
     df = events(spark, False).repartition("subject_id")
     out = Pipeline(parse_stages([{"filter_subjects": {"min_events_per_subject": 2}}, {"add_time_derived_measurements": {"age": None, "timeline_tokens": {"time_unit": "d"}}}])).apply(df)[0]
@@ -181,7 +279,7 @@ def test_queries_agree_with_duckdb(spark):
     def text(v):
         return "null" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
 
-    for name in ("agg_quantiles", "agg_summary_row", "filter_subjects_events", "timeline_delta", "normalize", "bin_quantiles", "multi_match_revise", "flagship_pipeline"):
+    for name in ("agg_quantiles", "agg_summary_row", "filter_subjects_events", "timeline_delta", "normalize", "bin_quantiles", "multi_match_revise", "match_revise", "order_at_sink", "order_of_time_derived_rows", "order_of_reordered_rows", "scan_filtered", "expr_literal", "agg_quantiles_with_summary", "bin_with_modifiers", "reshard_rows", "own_map_reduce", "add_new_events", "vocab_modifiers", "flagship_pipeline"):
         df = catalogue.Q[name](spark, "/root/testdata/sf0.001")
         cols = sorted(df.columns)
         want = con.execute(catalogue.SQL[name])
