@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Where it is unset (tests in local mode) a temporary folder
-    becomes the checkpoint folder. The folder is named after the application, so a cluster can purge it.
+    The setting is read from the session. Where it is unset in local mode (tests) a temporary folder becomes the
+    checkpoint folder; on a cluster that is an error, as executors don't share such a folder. The folder is named after
+    the application, so a cluster can purge it.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="eventspark-")
         sc.setCheckpointDir(base)
     return f"{base.rstrip('/')}/eventspark-{sc.applicationId}"

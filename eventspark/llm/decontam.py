@@ -56,9 +56,10 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, min_share: tup
     shuffle. Documents with an anchor are then compared window by window with the exact texts.
 
     Null or word-less text: no words, no hits, not contaminated. Null items or item ids and an empty benchmark hit
-    nothing. Repeated document rows are judged each; equal ids with unequal texts are kept apart.
+    nothing. Repeated document rows are judged each; equal ids with unequal texts are kept apart. Very long texts are
+    scanned whole; an empty table gives an empty result, and other columns of either table are ignored.
     """
-    size = 6  # words of an anchor
+    size = min(6, (n + 1) // 2)  # words of an anchor
     stride = n - size + 1
     grams = bench.select(F.col(item_col).alias("item"), ascii_words(F.col(bench_text)).alias("w")).where("item is not null and size(w) > 0")
     full = grams.where(F.size("w") >= size).select(F.lit(size).alias("len"), F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - size, F.lit(stride)), lambda i: _gram(F.col("w"), i, size))).alias("h"))
@@ -68,9 +69,8 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, min_share: tup
         anchors = anchors.unionByName(less.where(F.size("w") == m).select(F.lit(m).alias("len"), _gram(F.col("w"), F.lit(0), m).alias("h")))
     anchors = [(r["len"], r["h"]) for r in anchors.distinct().limit(broadcast_rows + 1).collect()]
     small = len(anchors) <= broadcast_rows
-    windows = benchmark_windows(bench, n, item_col, bench_text)
-    if small:
-        windows = F.broadcast(windows)
+    # The windows are written first: their measured size, not that of the anchors, lets Spark broadcast them or not.
+    windows = materialize(benchmark_windows(bench, n, item_col, bench_text), "decontam-windows")
 
     base = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
     words = base.withColumn("aw", ascii_words(F.col("text"))).withColumn("n_words", F.size("aw").cast("long"))

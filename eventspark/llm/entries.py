@@ -78,6 +78,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+#: Runs of lines with 50 words or more that start, and that end, at each line; of equal runs the first one stays.
+OP4_SQL = """WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+a AS (SELECT DISTINCT doc_id, text, unnest(range(len(ls))) AS line_no, unnest(ls) AS line FROM d),
+w AS (SELECT *, len(list_filter(string_split_regex(line, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')) AS words FROM a),
+p AS (SELECT *, row_number() OVER k AS pos, sum(words) OVER k AS till, sum(words) OVER k - words AS since FROM w WHERE words > 0 WINDOW k AS (PARTITION BY doc_id, text ORDER BY line_no ROWS UNBOUNDED PRECEDING)),
+r AS (SELECT a.doc_id, a.text, a.pos, min(b.pos) AS last FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.text = b.text AND b.pos >= a.pos AND b.till - a.since >= 50 GROUP BY a.doc_id, a.text, a.pos
+UNION SELECT b.doc_id, b.text, max(a.pos), b.pos FROM p a JOIN p b ON a.doc_id = b.doc_id AND a.text = b.text AND b.pos >= a.pos AND b.till - a.since >= 50 GROUP BY b.doc_id, b.text, b.pos),
+n AS (SELECT r.doc_id, r.text, r.pos, r.last, md5(string_agg(p.line, chr(10) ORDER BY p.pos)) AS run FROM r JOIN p ON p.doc_id = r.doc_id AND p.text = r.text AND p.pos BETWEEN r.pos AND r.last GROUP BY r.doc_id, r.text, r.pos, r.last),
+f AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, text, pos) AS copy FROM n),
+g AS (SELECT DISTINCT f.doc_id, f.text, p.line_no FROM f JOIN p ON p.doc_id = f.doc_id AND p.text = f.text AND p.pos BETWEEN f.pos AND f.last WHERE copy > 1),
+k AS (SELECT a.doc_id, a.text, count(g.line_no) AS n_gone, coalesce(string_agg(CAST(g.line_no AS VARCHAR), ',' ORDER BY g.line_no), '') AS gone_lines, coalesce(string_agg(a.line, chr(10) ORDER BY a.line_no) FILTER (WHERE g.line_no IS NULL), '') AS kept
+FROM a LEFT JOIN g ON g.doc_id = a.doc_id AND g.text = a.text AND g.line_no = a.line_no GROUP BY a.doc_id, a.text)
+SELECT o.doc_id, CAST(coalesce(len(string_split(o.text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(n_gone, 0) AS BIGINT) AS n_gone, coalesce(gone_lines, '') AS gone_lines, CAST(length(kept) AS BIGINT) AS kept_chars, md5(kept) AS kept_md5
+FROM documents o LEFT JOIN k ON k.doc_id = o.doc_id AND k.text = o.text"""
+
 OP5_SQL = f"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWER}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS g FROM w),
 n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
@@ -110,4 +125,4 @@ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FRO
 
 def oracle_sql() -> dict[str, str]:
     """The others are tested against brute force, exact round trips or held-out accuracy in ``tests/llm``."""
-    return {"op5_ngram_join": OP5_SQL, "op7_exact_topk": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_exact_topk": OP7_SQL, "op10_decontaminate": OP10_SQL}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -49,6 +50,10 @@ def _marks(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
 SECTIONS = frozenset("html body div section article main center table".split())
 
 
+#: Elements below this depth don't enter a path, as in browsers; their text does count.
+DEEPEST = 512
+
+
 @dataclass
 class _Block:
     path: tuple[str, ...]
@@ -71,6 +76,8 @@ class _Reader(HTMLParser):
         self.stack: list[tuple[str, bool, str, int]] = []  # tag; whether its text is dropped; its name in paths; its number
         self.count = 0
         self.links = 0
+        self.held: Counter[str] = Counter()  # open elements by tag
+        self.articles = 0
         self.blocks: list[_Block] = []
         self.open: _Block | None = None
 
@@ -82,7 +89,9 @@ class _Reader(HTMLParser):
     def _pop(self, at: int) -> None:
         gone = self.stack[at:]
         del self.stack[at:]
+        self.held.subtract(t[0] for t in gone)
         self.links -= sum(t[0] == "a" for t in gone)
+        self.articles -= sum(t[2] in ("article", "main") for t in gone)
         if any(t[0] not in INLINE for t in gone):
             self._cut()
 
@@ -91,11 +100,13 @@ class _Reader(HTMLParser):
             if tag in ("br", "hr"):
                 self._cut() if tag == "hr" else self._space()
             return
-        if tag in CLOSES_P:
-            at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == "p"), None)
-            if at is not None and all(x[0] in INLINE or x[0] == "p" for x in self.stack[at:]):
+        if tag in CLOSES_P and self.held["p"]:
+            at = len(self.stack) - 1
+            while at >= 0 and self.stack[at][0] in INLINE:
+                at -= 1
+            if at >= 0 and self.stack[at][0] == "p":
                 self._pop(at)
-        if tag in SELF_CLOSES:
+        if tag in SELF_CLOSES and any(self.held[x] for x in SELF_CLOSES[tag][0].split()):
             ends, scope = SELF_CLOSES[tag]
             for i in range(len(self.stack) - 1, -1, -1):
                 if self.stack[i][0] in scope:
@@ -105,14 +116,16 @@ class _Reader(HTMLParser):
                     break
         furniture, hidden, main = _marks(attrs) if attrs else (False, False, False)
         top = self.stack[-1] if self.stack else ("", False, "")
-        in_article = any(x[2] in ("article", "main") for x in self.stack)
-        margin = tag in MARGIN or (tag == "header" and not in_article)
+        margin = tag in MARGIN or (tag == "header" and not self.articles)
         drop = top[1] or (tag not in ("html", "body", "main") and (tag in HIDDEN or margin or hidden or furniture))
         if tag not in INLINE:
             self._cut()
         self.links += tag == "a"
         self.count += 1
-        self.stack.append((tag, drop, "main" if main and tag not in INLINE and tag not in ("p", "html", "body") else tag, self.count))
+        name = "main" if main and tag not in INLINE and tag not in ("p", "html", "body") else tag
+        self.stack.append((tag, drop, name, self.count))
+        self.held[tag] += 1
+        self.articles += name in ("article", "main")
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)
@@ -120,8 +133,9 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
-        if tag == "p" and not any(x[0] == "p" for x in self.stack):
-            self._cut()
+        if not self.held[tag]:
+            if tag == "p":
+                self._cut()
             return
         for i in range(len(self.stack) - 1, -1, -1):
             if self.stack[i][0] == tag:
@@ -140,13 +154,18 @@ class _Reader(HTMLParser):
         if self.open is None:
             if not data.strip():
                 return
-            around = [x for x in self.stack if x[0] not in INLINE]
+            around = [x for x in self.stack[:DEEPEST] if x[0] not in INLINE]
             path = tuple(x[2] for x in around)
             self.open = _Block(path, tuple(x[3] for x in around), bool(path) and path[-1] in HEADINGS)
         self.open.parts.append(data)
         if self.links:
             self.open.linked += len(data.strip())
 
+    def parse_marked_section(self, i: int, report: int = 1) -> int:
+        """``<![...>`` of any kind is skipped, as browsers do; the base class refuses unknown ones."""
+        end = self.rawdata.find(">", i)
+        return end + 1 if end >= 0 else -1
+
     def close(self) -> None:
         super().close()
         self._cut()
@@ -166,14 +185,19 @@ def _common(sections: set[tuple[int, ...]]) -> tuple[int, ...]:
     return lo[:n]
 
 
-def _likeness(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Share of the longer path that two paths have in common from the root."""
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n / max(len(a), len(b), 1)
+def _smoothed(names: list[tuple[str, ...]], sums: np.ndarray, smooth: float) -> np.ndarray:
+    """``sums`` of all paths, weighted by exp(-smooth (1 - likeness)). The likeness of two paths is the share of the
+    longer one that they have in common from the root. In sorted order that is the least of what neighbours between
+    them have in common, so a row costs a running minimum, whatever the depth."""
+    order = sorted(range(len(names)), key=names.__getitem__)
+    paths = [names[i] for i in order]
+    common = [next((n for n, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b))) for a, b in zip(paths, paths[1:], strict=False)]
+    beside, size, own = np.array(common, dtype=np.float64), np.array([max(len(p), 1) for p in paths], dtype=np.float64), sums[order]
+    out = np.zeros_like(sums, dtype=np.float64)
+    for i in range(len(paths)):
+        same = np.concatenate((np.minimum.accumulate(beside[:i][::-1])[::-1], [size[i]], np.minimum.accumulate(beside[i:])))
+        out[order[i]] = np.exp(-smooth * (1 - same / np.maximum(size, size[i]))) @ own
+    return out
 
 
 def _host(path: tuple[str, ...]) -> tuple[str, ...] | None:
@@ -212,9 +236,8 @@ def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, wit
     if len(names) == 1:
         return "\n\n".join(t for _, t in blocks)
     sums = np.array([paths[p] for p in names])
-    near = np.exp(-smooth * (1 - np.array([[_likeness(p, q) for q in names] for p in names])))
-    mass = near @ sums[:, 2]
-    text_ratio, mark_ratio = near @ sums[:, 0] / mass, near @ (sums[:, 1] + 0.5 * sums[:, 2]) / mass
+    text, marks, mass = _smoothed(names, sums, smooth).T
+    text_ratio, mark_ratio = text / mass, (marks + 0.5 * mass) / mass
     fused = np.sqrt(text_ratio * mark_ratio)
     level = float((fused * sums[:, 0]).sum() / max(sums[:, 0].sum(), 1))
     held: dict[tuple[str, ...] | None, float] = {}
@@ -237,7 +260,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """``pages`` with ``text`` and ``n_chars`` (code points) from the whole html; a null page gives empty text.
 
     Columns of those names are replaced, others and repeated rows stay. Broken markup is read as browsers do where
-    it matters: unclosed paragraphs, list items and inline elements end where the next block begins."""
+    it matters: unclosed paragraphs, list items and inline elements end where the next block begins, declarations of
+    any kind are skipped. Very long and very deep pages are read whole. An empty table gives an empty result."""
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

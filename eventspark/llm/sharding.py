@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from eventspark.llm.common import materialize, numbered
 
@@ -115,7 +118,20 @@ def shard_by_bytes(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", t
     return out.select(id_col, "size", "text_crc32", F.col("shard").cast("int").alias("shard"), "slot")
 
 
-def write_shards(placed: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id") -> None:
-    """Write the documents as ``path/shard=K/`` Parquet folders, rows in slot order within each file."""
-    rows = docs.join(placed.select(id_col, "shard", "slot"), id_col)
-    rows.repartition("shard", F.pmod(F.floor(F.col("slot") / 100_000), F.lit(1024))).sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+def write_shards(placed: DataFrame, docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the documents as ``path/shard=K/`` Parquet folders, rows in slot order within each file.
+
+    ``placed`` is the result of ``shard_by_bytes`` over ``docs``. A document and its place meet by id, size and crc32
+    of the text, and by their number among the rows that agree in those, so rows repeated, without an id, or with
+    one id and several texts are each written once. Texts that agree in all three are dealt in the order of their
+    hash; a folder may then hold the other one's place, never a row too many or too few."""
+    key = ["__id", "__size", "__crc"]
+    size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("long")
+    own = docs.withColumns({"__id": F.col(id_col), "__size": size, "__crc": F.crc32(F.col(text_col).cast("binary"))})
+    own = own.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64(text_col))))
+    to = placed.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("text_crc32").alias("__crc"), F.col("shard").alias("__shard"), F.col("slot").alias("__slot"))
+    to = to.withColumn("__n", F.row_number().over(Window.partitionBy(*key).orderBy("__shard", "__slot"))).select(*[F.col(c).alias(f"{c}_to") for c in (*key, "__n")], F.col("__shard").alias("shard"), "__slot")
+    on = [F.col(c).eqNullSafe(F.col(f"{c}_to")) for c in (*key, "__n")]
+    rows = own.drop("shard").join(to, reduce(lambda a, b: a & b, on))
+    rows = rows.repartition("shard", F.pmod(F.floor(F.col("__slot") / 100_000), F.lit(1024))).sortWithinPartitions("shard", "__slot")
+    rows.select(*[c for c in docs.columns if c != "shard"], "shard").write.partitionBy("shard").parquet(path)

@@ -16,20 +16,23 @@ _HITS = "query_id long, vec_id long, score long"
 
 
 def quantised(vector: Column, scale: int = 64) -> Column:
-    """floor(scale * x) of each component; null if the vector is null or holds a null or non-finite component."""
+    """floor(scale * x) of each component, within 2**62 of 0; null if the vector is null or holds a null or non-finite
+    component."""
     real = vector.cast("array<double>")
     bad = F.exists(real, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return F.when(vector.isNotNull() & ~bad, F.transform(real, lambda x: F.floor(x * F.lit(float(scale))).cast("long")))
+    return F.when(vector.isNotNull() & ~bad, F.transform(real, lambda x: F.floor(F.least(F.greatest(x * F.lit(float(scale)), F.lit(-(2.0**62))), F.lit(2.0**62))).cast("long")))
 
 
 def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Integer inner products: in doubles where every partial sum is below 2**53, else in Python integers."""
+    """Integer inner products: in doubles where every partial sum is below 2**53, else in Python integers, which end at
+    the limits of 64 bits."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(a.shape[1], 1)
     if most < 2**24:
         return (a.astype(np.float32) @ b.astype(np.float32).T).astype(np.int64)
     if most < 2**53:
         return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return (a.astype(object) @ b.astype(object).T).astype(np.int64)
+    big = a.astype(object) @ b.astype(object).T
+    return np.clip(big, -(1 << 63) + 1, (1 << 63) - 1).astype(np.int64)
 
 
 class Bucket:
@@ -118,7 +121,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     it already has. The second pass meets each block with each bucket once, prunes by the floor and verifies
     the rest, so the result is exact. A cell is bounded on both sides; nothing is broadcast or collected.
 
-    Null vectors, those with null or non-finite components, rows without an id, and vectors of another dimension
+    An empty table gives an empty result, other columns are ignored. Scores beyond 64 bits are the nearest number that
+    fits. Null vectors, those with null or non-finite components, rows without an id, and vectors of another dimension
     than the query's take no part with it. Repeated rows are one candidate each, except that rows with the query's own id are
     never its candidates.
     """

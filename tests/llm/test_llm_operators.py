@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -12,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from eventspark.llm import decontam, html_extract, langid, license_scan, line_dedup, mixing, ngram_join, sharding, topk, toxicity
+from eventspark.llm import decontam, entries, html_extract, langid, license_scan, line_dedup, mixing, ngram_join, sharding, topk, toxicity
 from eventspark.llm.common import table
 from eventspark.llm.components import connected_components
 
@@ -70,6 +71,14 @@ def test_shards_by_bytes(spark, buckets, off):
     assert sharding.shard_by_bytes(docs_of(spark, ODD).where("false")).collect() == []
 
 
+def test_written_shards_of_odd_rows(spark, tmp_path):
+    docs = docs_of(spark, [*ODD, (None, "other"), (1, "one id, two texts")])
+    sharding.write_shards(sharding.shard_by_bytes(docs, 3), docs, str(tmp_path / "shards"))
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    key = lambda df: Counter((r["doc_id"], r["text"]) for r in df.collect())
+    assert key(back) == key(docs)
+
+
 def test_written_shards_round_trip(spark, tmp_path):
     docs = table(spark, SF, "documents")
     placed = sharding.shard_by_bytes(docs, 4)
@@ -162,6 +171,13 @@ def test_decontamination(spark, rows):
     assert sum(r["contaminated"] for r in got) >= 3
 
 
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_decontamination_by_short_windows(spark, n):
+    got = decontam.decontaminate(docs_of(spark, [(1, "a b c d e f g h"), (2, "x a c e y"), (3, None)]), spark.createDataFrame([("i", "z b c d e f q")], "item_id string, text string"), n=n).collect()
+    want = {1: {1: 5, 2: 5, 5: 5}[n], 2: {1: 2, 2: 0, 5: 0}[n], 3: 0}
+    assert {r["doc_id"]: r["n_hit"] for r in got} == want
+
+
 @pytest.mark.parametrize("rows", [20_000, 0])
 def test_decontamination_of_capital_sigma(spark, rows):
     bench = spark.createDataFrame([(1, "ΟΔΟΣ ΑΒ"), (2, "Η ΟΔΟΣ ΤΩΝ ΘΕΩΝ ΚΑΙ ΛΟΓΟΣ ΑΒ")], "item_id int, text string")
@@ -403,6 +419,8 @@ def test_topk(spark):
     assert sorted(map(tuple, got)) == sorted(want)
     assert topk.search(df.where("false"), F.col("vec_id") % 20 == 0).collect() == []
     assert len(topk.search(df.where("vec_id < 3"), F.col("vec_id") == 0, k=20).collect()) == 2
+    huge = spark.createDataFrame([(0, [1e17, 1.0]), (1, [1e17, 2.0]), (2, [-1e300, 0.0])], "vec_id long, embedding array<double>")
+    assert [(r["vec_id"], r["score"]) for r in topk.search(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63) + 1)]
 
 
 # -- html ------------------------------------------------------------------------------------------------------
@@ -430,6 +448,31 @@ def test_html(spark):
     assert got[3]["n_chars"] == len(got[3]["text"])
 
 
+def test_html_of_any_markup():
+    assert html_extract.main_text("<p>a, b.</p><![foo[bar]]><p>c, d.</p><![CDATA[x]]><![if IE]>e") == "a, b.\n\nc, d.\n\ne"
+    rng = random.Random(2)
+    bits = ["<![", "]]>", "<!", "<?x", "<!--", "-->", "&#x0;", "&#99999999;", "&amp", "<a href='", '"', "\x00", "<div", "</", ">", "<p>", "</p>", "<li>", "text, ", "<script>", "<table><td>"]
+    for _ in range(500):
+        assert isinstance(html_extract.main_text("".join(rng.choice(bits) for _ in range(rng.randint(1, 40)))), str)
+
+
+def test_html_of_long_and_deep_pages():
+    began = time.perf_counter()
+    text = html_extract.main_text("<div>a, b. " * 3000)
+    assert text.count("a, b.") == 3000
+    assert html_extract.main_text("<div><p>a, b.</p></div>" * 20_000).count("a, b.") == 20_000
+    assert time.perf_counter() - began < 30  # cubic work in the depth took minutes
+
+
+def test_smoothing_over_sorted_paths():
+    rng = np.random.default_rng(3)
+    names = list({tuple(rng.choice(list("abc"), rng.integers(0, 6))) for _ in range(60)})
+    sums = rng.random((len(names), 3))
+    like = lambda p, q: 1.0 if p == q else next((i for i, (x, y) in enumerate(zip(p, q, strict=False)) if x != y), min(len(p), len(q))) / max(len(p), len(q), 1)
+    want = np.exp(-8 * (1 - np.array([[like(p, q) for q in names] for p in names]))) @ sums
+    assert np.allclose(html_extract._smoothed(names, sums, 8.0), want)
+
+
 @pytest.mark.parametrize("box", ["<div class='box'><div class='text'>Weather 12</div></div>", "<article class='card'><p>Teaser one</p></article><article class='card'><p>Teaser two</p></article>"])
 def test_html_story_beside_marked_boxes(box):
     story = [f"Paragraph {i} of the story, " + "told at some length, " * 15 + "ends." for i in range(8)]
@@ -553,3 +596,57 @@ def test_toxicity(spark):
     assert len(odd) == len(ODD)
     assert all(r["predicted"] == 0 for r in odd if r["doc_id"] in (1, 2, 3))
     assert toxicity.train([], []).score(["a", None]).shape == (2,)
+
+
+# -- queries ---------------------------------------------------------------------------------------------------
+
+#: The columns of each query's contract, and of the queries without one.
+CONTRACT = {
+    "op1_toxicity": "doc_id held_out score predicted",
+    "op2_shard_balance": "doc_id size text_crc32 law shard slot grown_shard",
+    "op3_extract_html": "page_id url text n_chars",
+    "op4_line_dedup": "doc_id n_lines n_gone gone_lines kept_chars kept_md5",
+    "op5_ngram_join": "doc_id n_shingles component_id",
+    "op6_license_scan": "doc_id n_licenses licenses",
+    "op7_exact_topk": "query_id rank vec_id score",
+    "op8_mix_weights": "doc_id size source_size target taken",
+    "op9_language_id": "doc_id held_out lang_pred score",
+    "op10_decontaminate": "doc_id n_words n_hit n_items items_sha256 contaminated",
+}
+
+
+@pytest.mark.parametrize("name", CONTRACT)
+def test_queries_keep_their_contract(spark, name):
+    out = entries.queries()[name](spark, SF)
+    assert out.columns == CONTRACT[name].split()
+    rows = out.collect()
+    table_name, key = {"op3_extract_html": ("pages", "page_id"), "op7_exact_topk": ("embeddings", "vec_id")}.get(name, ("documents", "doc_id"))
+    source = table(spark, SF, table_name)
+    if name == "op7_exact_topk":
+        queries = source.where("vec_id % 20 = 0").count()
+        assert len(rows) == 20 * queries
+    else:
+        assert Counter(r[key] for r in rows) == Counter(r[0] for r in source.select(key).collect())
+    for r in rows:
+        if "held_out" in out.columns:
+            assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+            assert 0 <= r["score"] <= 1
+        if name == "op1_toxicity":
+            assert r["predicted"] == int(r["score"] >= 0.5)
+        if name == "op2_shard_balance":
+            assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 8
+        if name == "op3_extract_html":
+            assert r["n_chars"] == len(r["text"])
+        if name == "op8_mix_weights":
+            assert r["taken"] <= 2 * r["size"]
+
+
+def test_line_dedup_agrees_with_its_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF}/documents.parquet')")
+    want = con.execute(entries.oracle_sql()["op4_line_dedup"])
+    names = [c[0] for c in want.description]
+    out = entries.op4_line_dedup(spark, SF)
+    assert sorted(names) == sorted(out.columns)
+    assert Counter(map(tuple, out.select(*names).collect())) == Counter(want.fetchall())
