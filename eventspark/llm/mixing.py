@@ -39,16 +39,26 @@ def fit_budget(sizes: list[int], counts: list[int], budget: int, dense: int = 50
 
     First the same share of every size (rounded down), then the largest sizes until at most ``dense`` words are
     left, then an exact bounded-knapsack dynamic programme (bit sets, counts split into powers of two) over the
-    documents that remain. If that misses a budget of at most ``dense`` words, the programme runs over all documents
-    instead, and its sum is the best there is.
+    documents that remain. If that misses the budget, documents are given back, the smallest first and four times as
+    many words each time, up to ``dense`` words, and the programme runs again over all that is free; the best sum
+    stays. A budget of at most ``dense`` words ends with all documents free, so its sum is the best there is.
     """
     total = sum(s * c for s, c in zip(sizes, counts, strict=True))
     if budget >= total:
         return list(counts)
-    take = _fit(sizes, counts, budget, dense, [c * budget // total if s > 0 else 0 for s, c in zip(sizes, counts, strict=True)])
-    if budget <= dense and sum(s * t for s, t in zip(sizes, take, strict=True)) < budget:
-        take = _fit(sizes, counts, budget, dense, [0] * len(sizes))
-    return take
+    words = lambda take: sum(s * t for s, t in zip(sizes, take, strict=True))
+    share = [c * budget // total if s > 0 else 0 for s, c in zip(sizes, counts, strict=True)]
+    best, back = _fit(sizes, counts, budget, dense, list(share)), dense // 64
+    while words(best) < budget and back < 4 * dense and any(share):
+        free = min(back, dense)
+        for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+            k = min(share[i], -(-free // sizes[i])) if sizes[i] > 0 and free > 0 else 0
+            share[i] -= k
+            free -= k * sizes[i]
+        again = _fit(sizes, counts, budget, dense, list(share))
+        best = max(best, again, key=words)
+        back = max(1, back) * 4
+    return best
 
 
 def _fit(sizes: list[int], counts: list[int], budget: int, dense: int, take: list[int]) -> list[int]:
