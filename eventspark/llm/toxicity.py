@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventspark.llm.common import materialize
+
 _WORD = re.compile(r"[^\W_]+")
 _GRAMS = 2048  # buckets of hashed character trigrams
 
@@ -360,18 +362,31 @@ def _platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
+def choose_labels(labels: DataFrame, per_class: tuple[int, int], seed: int = 3) -> DataFrame:
+    """Of distinct ids ``i`` with label ``y`` (0 or 1), for each label the ``per_class`` ids with the smallest seeded
+    hash. Labels are counted first and twice the expected share of hashes passes, so that the task that ranks a label
+    gets a few thousand ids from any number of partitions. Without rows the result is empty."""
+    counts = {r["y"]: int(r["n"]) for r in labels.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    span = 1 << 62
+    h = F.pmod(F.xxhash64(F.lit(seed), "i"), F.lit(span))
+    near, wanted = F.lit(False), F.lit(0)
+    for y, n in counts.items():
+        near = near | ((F.col("y") == y) & (F.col("h") <= int(span * min(1.0, (2.0 * per_class[y] + 40) / n))))
+        wanted = F.when(F.col("y") == y, F.lit(per_class[y])).otherwise(wanted)
+    ranked = labels.withColumn("h", h).where(near).withColumn("r", F.row_number().over(Window.partitionBy("y").orderBy("h", "i")))
+    return ranked.where(F.col("r") <= wanted).select("i", "y")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, learn_where, per_class: tuple[int, int] = (2500, 1500), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", seed: int = 3, **kw) -> GruModel:
     """Fit on at most ``per_class`` labelled documents (clean, toxic), those with the smallest seeded hash of the id.
 
     The documented bounds of the fit are this one and, in ``train``, ``windows_per_doc`` and ``calm_share``: texts are
     used whole, every word counts, and every document is scored. Null labels, ids and texts teach nothing. An id with
     both labels counts as toxic; rows repeated with id and text count once, and of an id with several texts the one
-    with the smallest hash teaches. The labels are ranked first, so that only the chosen rows' texts are joined."""
+    with the smallest hash teaches. The labels are chosen first, so that only the chosen rows' texts are joined."""
     lab = labels.select(F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y")).where("i is not null and y is not null").where(learn_where(F.col("i")))
-    lab = lab.groupBy("i").agg(F.max((F.col("y") > 0).cast("int")).alias("y"))
-    order = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(seed), "i"), "i")
-    most = F.when(F.col("y") > 0, F.lit(per_class[1])).otherwise(F.lit(per_class[0]))
-    chosen = lab.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(per_class)).where(F.col("r") <= most).select("i", "y")
+    lab = materialize(lab.groupBy("i").agg(F.max((F.col("y") > 0).cast("int")).alias("y")), "toxicity-labels")
+    chosen = choose_labels(lab, per_class, seed)
     own = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("t is not null")
     # At most sum(per_class) rows are broadcast.
     got = own.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min_by("t", F.xxhash64("t")).alias("t")).collect()

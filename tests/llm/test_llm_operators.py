@@ -598,6 +598,16 @@ def test_toxicity(spark):
     assert toxicity.train([], []).score(["a", None]).shape == (2,)
 
 
+def test_labels_chosen_by_hash(spark):
+    ids = spark.range(20_000).selectExpr("id AS i", "int(id % 50 = 0) AS y").repartition(7)
+    chosen = [(r["i"], r["y"]) for r in toxicity.choose_labels(ids, (300, 150)).collect()]
+    hashed = [(r["h"], r["i"], r["y"]) for r in ids.selectExpr("i", "y", f"pmod(xxhash64(3, i), {1 << 62}L) AS h").collect()]
+    for y, most in ((0, 300), (1, 150)):
+        assert sorted(i for i, own in chosen if own == y) == sorted(i for _, i, _ in sorted(h for h in hashed if h[2] == y)[:most])
+    assert toxicity.choose_labels(ids.where("y = 1").limit(5), (300, 150)).count() == 5
+    assert toxicity.choose_labels(ids.where("i < 0"), (300, 150)).count() == 0
+
+
 # -- queries ---------------------------------------------------------------------------------------------------
 
 #: The columns of each query's contract, and of the queries without one.
