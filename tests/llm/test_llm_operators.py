@@ -373,6 +373,28 @@ def test_line_runs_of_repeated_rows(spark):
         assert want[texts[1]] == {0, 1, 2, 3}
 
 
+def test_recall_of_changed_licenses(spark):
+    """Templates with words replaced, of which 0.8 to all but one of the shingles are left, at any place of a text."""
+    rng = random.Random(23)
+    noise = lambda n: ["".join(rng.choice("xyzuvw") for _ in range(6)) for _ in range(n)]
+    rows, want = [], []
+    for name, text in sorted(license_scan.TEMPLATES.items()):
+        words = re.findall(r"[a-z0-9]+", text.lower())
+        shingles = lambda w: {" ".join(w[i : i + 5]) for i in range(len(w) - 4)}
+        whole = shingles(words)
+        for _ in range(400 if len(whole) >= 5 else 0):
+            own = list(words)
+            for i in rng.sample(range(len(own)), rng.randint(1, 1 + len(own) // 25)):
+                own[i] = noise(1)[0]
+            if 0.8 * len(whole) <= len(whole & shingles(own)) < len(whole) and sum(n == name for _, n in want) < 25:
+                want.append((len(rows), name))
+                rows.append((len(rows), " ".join(noise(rng.randint(0, 150)) + own + noise(rng.randint(0, 150)))))
+    assert len(want) >= 100
+    got = license_scan.licenses_of(docs_of(spark, rows), license_scan.default_templates(spark)).collect()
+    found = {(r["doc_id"], n) for r in got for n in r["licenses"].split(",")}
+    assert len(found & set(want)) >= 0.98 * len(want)
+
+
 def test_licenses(spark):
     rng = random.Random(7)
     noise = lambda n: " ".join("".join(rng.choice("xyzuvw") for _ in range(5)) for _ in range(n))
