@@ -445,6 +445,47 @@ def test_topk(spark):
     assert [(r["vec_id"], r["score"]) for r in topk.search(huge, F.col("vec_id") == 0).orderBy("rank").collect()] == [(1, 2**63 - 1), (2, -(2**63) + 1)]
 
 
+@pytest.mark.parametrize("spread", [True, False])
+def test_topk_prunes(spread):
+    """Both prunings exclude pairs and lose no result: by length where lengths differ, by coordinates where the floors
+    are near the products of the lengths."""
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(400, 16)) * (rng.lognormal(0, 1.5, size=(400, 1)) if spread else 1)
+    if not spread:
+        v[:200] = v[0] + rng.normal(size=(200, 16)) * 0.05
+    v = np.floor(64 * v).astype(np.int64)
+    ids = np.arange(400)
+    own = ids[::10]
+    product = v[own] @ v.T
+    product[np.arange(len(own)), own] = np.iinfo(np.int64).min
+    floor = np.sort(product, axis=1)[:, -5].astype(float)
+    bucket = topk.Bucket(ids, v)
+    got = {int(own[i]): sorted(zip((-s).tolist(), c.tolist())) for i, c, s in bucket.search(v[own], own, floor, 5)}
+    want = {int(q): sorted((-int(p), int(c)) for c, p in enumerate(row) if c != q)[:5] for q, row in zip(own, product)}
+    assert got == want
+    assert (bucket.cut_by_length if spread else bucket.cut_by_coordinate) > 0
+
+
+def test_topk_sends_vectors_where_they_can_count(spark, monkeypatch):
+    """Short vectors reach no block of queries whose floors are out of their reach."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 8))
+    x *= np.where(np.arange(600) % 3 == 0, 20.0, 0.01)[:, None]
+    df = spark.createDataFrame([(i, [float(c) for c in row]) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    sent, cells = [], topk._cells
+
+    def spy(cand, asks, n_buckets, k):
+        sent.append((cand.where("last < 0").count(), cand.count(), asks.where("first > 0").count()))
+        return cells(cand, asks, n_buckets, k)
+
+    monkeypatch.setattr(topk, "_cells", spy)
+    got = topk.search(df, F.col("vec_id") % 30 == 0, k=2, bucket_rows=32, query_rows=4).collect()
+    v = np.floor(64 * x).astype(np.int64)
+    want = [(q, n + 1, c, -s) for q in range(0, 600, 30) for n, (s, c) in enumerate(sorted((-int(v[q] @ v[c]), c) for c in range(600) if c != q)[:2])]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert sent[-1][0] > 300 and sent[-1][1] == 600 and sent[-1][2] == 20
+
+
 # -- html ------------------------------------------------------------------------------------------------------
 
 
