@@ -31,6 +31,11 @@ def _holds(words: Column, n: int, grams: list[int]) -> Column:
     return F.exists(_starts(words, n), lambda i: _gram(words, i, n).isin(grams))
 
 
+def _grams(words: Column, n: int) -> Column:
+    """(len, h) of every n-word gram, as an array."""
+    return F.transform(_starts(words, n), lambda i: F.struct(F.lit(n).alias("len"), _gram(words, i, n).alias("h")))
+
+
 def _windows(words: Column, n: int) -> Column:
     """(at, len, gram) of every n-word window, as an array."""
     return F.transform(_starts(words, n), lambda i: F.struct(i.alias("at"), F.lit(n).alias("len"), F.array_join(F.slice(words, i + 1, n), " ").alias("gram")))
@@ -44,6 +49,18 @@ def benchmark_windows(bench: DataFrame, n: int, item_col: str = "item_id", text_
     return long_.unionByName(short).distinct()
 
 
+def _with_anchor(words: DataFrame, anchors: DataFrame, id_col: str) -> DataFrame:
+    """``words`` with the text of the rows that hold an anchor, found by a join on gram hashes; null for the others."""
+    grams = F.array().cast("array<struct<len:int,h:bigint>>")
+    for m in sorted(r["len"] for r in anchors.select("len").distinct().collect()):
+        grams = F.concat(grams, F.array_distinct(_grams(F.col("aw"), m)))
+    each = words.select(id_col, "of", F.explode(grams).alias("x")).select(id_col, "of", "x.len", "x.h")
+    held = each.join(anchors, ["len", "h"], "left_semi").select(F.col(id_col).alias("__id"), F.col("of").alias("__of")).distinct()
+    held = materialize(held, "decontam-held").withColumn("__held", F.lit(True))
+    out = words.join(held, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), "left")
+    return out.select(id_col, "n_words", "of", F.when(F.col("__held"), F.col("text")).alias("text"))
+
+
 def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, min_share: tuple[int, int] = (1, 20), id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", bench_text: str = "text", broadcast_rows: int = 20_000) -> DataFrame:
     """One row per document: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``, ``hit_at``.
 
@@ -52,8 +69,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, min_share: tup
 
     Every window of n words holds an anchor: a short gram of the item that starts at a fixed stride. The set of
     anchors is counted first; up to ``broadcast_rows`` of them are shipped as a hash set and each document's words
-    are scanned against it. Beyond that size no set is shipped: all documents go to the exact check, and its joins
-    shuffle. Documents with an anchor are then compared window by window with the exact texts.
+    are scanned against it. Beyond that size the hashes of the documents' grams meet the written anchors in a semi join,
+    whose hash table Spark ships or shuffles by its measured size. Either way the documents with an anchor alone are
+    compared window by window with the exact texts.
 
     Null or word-less text: no words, no hits, not contaminated. Null items or item ids and an empty benchmark hit
     nothing. Repeated document rows are judged each; equal ids with unequal texts are kept apart. Very long texts are
@@ -67,20 +85,20 @@ def decontaminate(docs: DataFrame, bench: DataFrame, n: int = 13, min_share: tup
     anchors = full
     for m in range(1, size):
         anchors = anchors.unionByName(less.where(F.size("w") == m).select(F.lit(m).alias("len"), _gram(F.col("w"), F.lit(0), m).alias("h")))
-    anchors = [(r["len"], r["h"]) for r in anchors.distinct().limit(broadcast_rows + 1).collect()]
-    small = len(anchors) <= broadcast_rows
+    anchors = materialize(anchors.distinct(), "decontam-anchors")
+    kept = [(r["len"], r["h"]) for r in anchors.limit(broadcast_rows + 1).collect()]
     # The windows are written first: their measured size, not that of the anchors, lets Spark broadcast them or not.
     windows = materialize(benchmark_windows(bench, n, item_col, bench_text), "decontam-windows")
 
     base = docs.select(F.col(id_col).alias(id_col), F.col(text_col).alias("text"))
-    words = base.withColumn("aw", ascii_words(F.col("text"))).withColumn("n_words", F.size("aw").cast("long"))
-    if small:
+    words = base.withColumn("aw", ascii_words(F.col("text"))).withColumn("n_words", F.size("aw").cast("long")).withColumn("of", F.xxhash64("text"))
+    if len(kept) <= broadcast_rows:
         maybe = F.lit(False)
-        for m in sorted({k for k, _ in anchors}):
-            maybe = maybe | _holds(F.col("aw"), m, [h for k, h in anchors if k == m])
+        for m in sorted({k for k, _ in kept}):
+            maybe = maybe | _holds(F.col("aw"), m, [h for k, h in kept if k == m])
+        seen = words.select(id_col, "n_words", "of", F.when(maybe, F.col("text")).alias("text"))
     else:
-        maybe = F.col("n_words") > 0
-    seen = words.select(id_col, "n_words", F.xxhash64("text").alias("of"), F.when(maybe, F.col("text")).alias("text"))
+        seen = _with_anchor(words, anchors, id_col)
     seen = materialize(seen, "decontam-seen")
     lens = [r["len"] for r in windows.select("len").distinct().collect()]
     every = F.array().cast("array<struct<at:int,len:int,gram:string>>")

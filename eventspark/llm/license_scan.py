@@ -53,8 +53,8 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, k: int = 5, num: int =
     collide with a probability of 0.993 or more in the worst case, and 0.99998 for n near 2s. A template whose text
     comes entire has 0.25 to 0.5. Windows and templates with an equal band are verified on all shingles.
 
-    Before, texts without any template shingle are set aside, which loses no match; beyond ``anchor_rows`` distinct
-    shingles this step is left out. Words are letters and digits, A-Z lower-cased. Null and word-less texts and templates, and rows
+    Before, texts without any template shingle are set aside, which loses no match: up to ``anchor_rows`` distinct
+    shingles by a set shipped with the scan, beyond them by a semi join on the shingles. Words are letters and digits, A-Z lower-cased. Null and word-less texts and templates, and rows
     of templates without a name, match nothing. Repeated rows are scanned once for each.
     """
     t = templates.select(F.col(template_col).cast("string").alias("template"), ascii_words(F.col(template_text)).alias("w"))
@@ -62,12 +62,18 @@ def scan_licenses(docs: DataFrame, templates: DataFrame, k: int = 5, num: int =
     t = t.withColumn("n", F.size("ts")).withColumn("class", F.floor(F.log2(F.col("n") + 0.5)).cast("int"))
     t = materialize(t, "license-templates")
     classes = [r["class"] for r in t.select("class").distinct().collect()]
-    own = [r["x"] for r in t.select(F.explode("ts").alias("x")).distinct().limit(anchor_rows + 1).collect()]
+    own = t.select(F.explode("ts").alias("x")).distinct()
+    kept = [r["x"] for r in own.limit(anchor_rows + 1).collect()]
     # Words, shingles and the test on them stay apart: inlined into each other they would be made anew for each word.
     base = docs.select(F.col(id_col).alias(id_col), F.xxhash64(text_col).alias("of"), ascii_words(F.col(text_col)).alias("w"))
     base = base.select(id_col, "of", _shingles(F.col("w"), k).alias("s"))
-    has = F.exists("s", lambda x: x.isin(own)) if len(own) <= anchor_rows else F.size("s") > 0
-    near = materialize(base.select(id_col, "of", F.when(has, F.col("s")).alias("s")), "license-near").where("size(s) > 0")
+    if len(kept) <= anchor_rows:
+        near = base.select(id_col, "of", F.when(F.exists("s", lambda x: x.isin(kept)), F.col("s")).alias("s"))
+    else:
+        each = base.select(id_col, "of", F.explode(F.array_distinct("s")).alias("x")).join(own, "x", "left_semi")
+        held = materialize(each.select(F.col(id_col).alias("__id"), F.col("of").alias("__of")).distinct(), "license-held")
+        near = base.join(held, F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("of") == F.col("__of")), "left_semi")
+    near = materialize(near, "license-near").where("size(s) > 0")
     n_hash = bands * rows
     by_class = []
     for c in classes:
