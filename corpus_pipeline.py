@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.llm import decontam, langid, mixing, ngram_join, sharding
-from eventspark.llm.common import held_out, materialize, table
+from eventspark.llm.common import bound_batches, held_out, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -20,6 +20,7 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Language ID. Documents without a letter go (their language is ``und``); every document that a learned
     language can be told for stays, however unsure."""
+    bound_batches(spark)
     model = langid.fit_languages(docs, ~held_out("doc_id"))
     if not model.members:  # no labelled text at all: only letterless texts can be rejected
         model = langid.train(["a"], ["en"])
@@ -35,6 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """N-gram Jaccard join: of each component the document with the smallest id stays. Word-less texts link with
     nothing and stay; rows without an id cannot be told apart by id and stay. Rows repeated with id and text stay
     once; an id with several texts is one document, and stays or goes with all of them."""
+    bound_batches(spark)
     comps = ngram_join.join_components(docs, k=5, num=4, den=5)
     # Written first: its measured size decides whether the texts are shuffled to meet it.
     gone = materialize(comps.where("component_id is not null and doc_id <> component_id").select("doc_id").distinct(), "pipeline-gone")

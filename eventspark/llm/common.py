@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from eventspark.functions.numbering import numbered
 
-__all__ = ["WORD_GAP", "discard", "held_out", "materialize", "numbered", "purge_scratch", "scratch_root", "table", "words_of"]
+__all__ = ["WORD_GAP", "bound_batches", "discard", "held_out", "materialize", "numbered", "purge_scratch", "scratch_root", "table", "words_of"]
 
 #: White space that separates words for word counts and shingles: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -20,6 +20,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, most: int = 2 << 20) -> None:
+    """Rows go to Python workers in Arrow batches that end with the row that reaches ``most`` bytes.
+
+    Spark bounds their rows alone, so that whole texts fill tens of MB a task on either side. No row is cut or lost. The
+    setting stays in the session, as plans read it when they run; a smaller one of the session holds.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key, None)
+    if now is None or spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(now) > most:
+        spark.conf.set(key, str(most))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """This application's folder below ``spark.checkpoint.dir``.
 

@@ -4,10 +4,11 @@ import re
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_llm_operators import brute_components, brute_hits
 
-from eventspark.llm import mixing
+from eventspark.llm import mixing, ngram_join
 from eventspark.llm.common import table
 
 SF = "/root/testdata/sf0.001"
@@ -82,3 +83,40 @@ def test_each_stage_keeps_what_it_must(spark):
         assert goal[s] * 0.98 - 5 <= taken[s] <= goal[s]
         copies = {n: [size[x[0]] for x in into if x[2] == s and size[x[0]] and mixed[x] == n] for n in range(3)}
         assert not (copies[0] and copies[2])
+
+
+def test_long_texts_reach_python_in_bounded_batches(spark, tmp_path, monkeypatch):
+    """400 texts of 40 kB in one task: all of them come, in batches of 2 MB and one text at most."""
+    key, most, sign = "spark.sql.execution.arrow.maxBytesPerBatch", (2 << 20) + 50_000, ngram_join._sign
+    base = table(spark, SF, "documents")
+    text = F.concat(F.lit("the house and the river "), F.repeat(F.concat(F.lit("word"), F.col("id"), F.lit(" ")), 5000)).substr(1, 40_000)
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(40_000).alias("n_chars"))
+    docs = docs.select(*[F.col(f.name).cast(f.dataType) for f in base.schema])
+
+    def watch(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    def watched_sign(*args):
+        run = sign(*args)
+
+        def noted(batches):
+            for b in batches:
+                with open(f"{tmp_path}/sizes", "a") as f:
+                    f.write(f"{b.num_rows} {b.nbytes}\n")
+                yield from run(iter([b]))
+
+        return noted
+
+    monkeypatch.setattr(ngram_join, "_sign", watched_sign)
+    for stage in (corpus_pipeline.keep_known_languages, corpus_pipeline.drop_near_duplicates):
+        spark.conf.unset(key)
+        assert stage(spark, docs, SF).count() == 400
+        seen = docs.mapInArrow(watch, "n long, bytes long").collect()
+        assert sum(r["n"] for r in seen) == 400 and max(r["bytes"] for r in seen) <= most
+    noted = [tuple(map(int, x.split())) for x in (tmp_path / "sizes").read_text().splitlines()]
+    assert sum(n for n, _ in noted) == 400 and max(b for _, b in noted) <= most
+    spark.conf.set(key, "1m")
+    corpus_pipeline.keep_known_languages(spark, docs.limit(0), SF)
+    assert spark.conf.get(key) == "1m"
+    spark.conf.unset(key)
