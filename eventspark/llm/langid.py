@@ -9,6 +9,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -86,20 +87,47 @@ def sparse(c: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
     return at.astype(np.uint16), x[at]
 
 
-def fit_svms(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> np.ndarray:
+class SparseRows:
+    """Rows of ``dim`` columns by their places and values other than 0, all rows in one piece each; ``ends`` is where
+    each row's part ends. Only a block of ``most`` rows is ever dense, so the fit's memory is that of the values."""
+
+    def __init__(self, at: np.ndarray, value: np.ndarray, ends: np.ndarray, dim: int, most: int = 128) -> None:
+        self.dim, self.most, self.value = dim, most, value
+        self.starts = np.concatenate(([0], ends)).astype(np.int64)
+        self.place = at.astype(np.int32)
+        self.place += np.repeat((np.arange(len(ends)) % most * dim).astype(np.int32), np.diff(self.starts))
+        self.dense = np.zeros((min(most, len(ends)), dim), dtype=np.float32)
+
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
+        """(first, end, dense rows) of block after block; they share one array."""
+        flat = self.dense.reshape(-1)
+        for lo in range(0, len(self), self.most):
+            hi = min(lo + self.most, len(self))
+            own = slice(self.starts[lo], self.starts[hi])
+            flat[self.place[own]] = self.value[own]
+            yield lo, hi, self.dense[: hi - lo]
+            flat[self.place[own]] = 0
+
+
+def fit_svms(x: SparseRows, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> np.ndarray:
     """Linear SVMs (squared hinge) of all columns of ``y`` at once, by accelerated gradient descent; the last weight of
     each row of the result is the bias. y is -1 or 1, or 0 where a row takes no part, so that no problem needs a copy
     of its rows."""
-    (n, d), k = x.shape, y.shape[1]
+    d, k = x.dim, y.shape[1]
     w, v = np.zeros((d + 1, k), dtype=np.float32), np.zeros((d + 1, k), dtype=np.float32)
     weight = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=0)), np.where(y < 0, 0.5 / np.maximum(1, (y < 0).sum(axis=0)), 0)).astype(np.float32)
     rate = np.float32(1.0 / (4.0 + l2))  # rows have length 1 and a bias of 1: the loss has curvature 4 at most
     for t in range(steps):
-        pull = weight * y * np.maximum(0, 1 - y * (x @ v[:d] + v[d]))
         g = np.float32(l2) * v
         g[d] = 0
-        g[:d] -= 2 * (x.T @ pull)
-        g[d] -= 2 * pull.sum(axis=0)
+        for lo, hi, rows in x.blocks():
+            own = y[lo:hi]
+            pull = weight[lo:hi] * own * np.maximum(0, 1 - own * (rows @ v[:d] + v[d]))
+            g[:d] -= 2 * (rows.T @ pull)
+            g[d] -= 2 * pull.sum(axis=0)
         new = v - rate * g
         v = new + np.float32(t / (t + 3)) * (new - w)
         w = new
@@ -155,17 +183,14 @@ def _sigmoid(x: float) -> float:
 
 def train(texts: list[str], langs: list[str], dim: int = 8192, steps: int = 120) -> LanguageModel:
     kept = [(sparse(c, dim), lang) for t, lang in zip(texts, langs, strict=True) if t and (c := letters(t)).size]
-    return _train([k[0] for k in kept], [k[1] for k in kept], dim, steps)
+    if not kept:
+        return LanguageModel(dim, {}, {}, {})
+    at, value = (np.concatenate([k[0][i] for k in kept]) for i in range(2))
+    return _train(SparseRows(at, value, np.cumsum([len(k[0][0]) for k in kept]), dim), [k[1] for k in kept], steps)
 
 
-def _train(rows: list[tuple[np.ndarray, np.ndarray]], langs: list[str], dim: int, steps: int = 120) -> LanguageModel:
-    """From sparse features; the list is emptied as the one dense matrix fills."""
-    if not rows:
-        return LanguageModel(dim, {}, {}, {})
-    x = np.zeros((len(rows), dim), dtype=np.float32)
-    for i in range(len(rows) - 1, -1, -1):
-        at, value = rows.pop()
-        x[i, at] = value
+def _train(x: SparseRows, langs: list[str], steps: int = 120) -> LanguageModel:
+    dim = x.dim
     members: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         members.setdefault(family(lang), []).append(lang)
@@ -201,13 +226,19 @@ def fit_languages(docs: DataFrame, learn_where, per_lang: int = 800, most: int =
     few = rows.withColumn("h", h).where(near).groupBy("l", "h", "i").agg(F.first("t").alias("t"))
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", F.col("i").cast("string")))).where(F.col("r") <= each)
     got = ranked.select("l", "h", "t").mapInArrow(_grams(dim), "l string, h long, at binary, value binary").toArrow().sort_by([("l", "ascending"), ("h", "ascending")])
-    langs, sparse_rows = [], []
-    for batch in got.to_batches():
-        at, value = batch.column("at"), batch.column("value")
-        langs += batch.column("l").to_pylist()
-        sparse_rows += [(np.frombuffer(a.as_py(), dtype=np.uint16), np.frombuffer(v.as_py(), dtype=np.float32)) for a, v in zip(at, value, strict=True)]
+    langs = got.column("l").to_pylist()
+    if not langs:
+        return LanguageModel(dim, {}, {}, {})
+    at, value = _joined(got.column("at"), np.uint16), _joined(got.column("value"), np.float32)
+    ends = np.cumsum(pc.binary_length(got.column("at")).to_numpy()) // 2
     del got
-    return _train(sparse_rows, langs, dim)
+    return _train(SparseRows(at, value, ends, dim), langs)
+
+
+def _joined(parts: pa.ChunkedArray, dtype: type) -> np.ndarray:
+    """The numbers of all rows of a binary column, one row's after the other's."""
+    own = [np.frombuffer(c.buffers()[2], dtype=np.uint8)[slice(*np.frombuffer(c.buffers()[1], dtype=np.int32)[[c.offset, c.offset + len(c)]])] for c in parts.chunks if len(c)]
+    return np.concatenate(own).view(dtype)
 
 
 def _grams(dim: int):

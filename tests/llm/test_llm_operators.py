@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -571,6 +572,32 @@ def fold(i):
     return zlib.crc32(str(i).encode()) % 5
 
 
+def test_language_fit_holds_no_dense_matrix():
+    """3,000 texts by 8,192 columns are 98 MB as floats; the fit is that of all rows at once."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdefgh" if i % 2 else "fghijklm", k=5)) for _ in range(8)) for i in range(3000)]
+    langid.letters("a")
+    tracemalloc.start()
+    model = langid.train(texts, ["en" if i % 2 else "fr" for i in range(3000)], steps=3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
+    assert [model.predict(t)[0] for t in texts[:200]] == ["fr", "en"] * 100
+    # The same descent with one matrix.
+    x = np.stack([langid.features(langid.letters(t), 256) for t in texts[:300]])
+    kept = [langid.sparse(langid.letters(t), 256) for t in texts[:300]]
+    at, value = (np.concatenate([k[i] for k in kept]) for i in range(2))
+    rows = langid.SparseRows(at, value, np.cumsum([len(k[0]) for k in kept]), 256)
+    assert all(np.array_equal(block, x[lo:hi]) for lo, hi, block in rows.blocks())
+    y = np.where(np.arange(300) % 2, 1.0, -1.0).astype(np.float32)
+    w, v = np.zeros(257), np.zeros(257)
+    for t in range(20):
+        pull = y / 300 * np.maximum(0, 1 - y * (x @ v[:-1] + v[-1]))
+        new = v - (1e-3 * np.append(v[:-1], 0) - 2 * np.append(x.T @ pull, pull.sum())) / 4.001
+        v, w = new + t / (t + 3) * (new - w), new
+    assert np.allclose(langid.fit_svms(rows, y[:, None], steps=20)[0], w, atol=1e-5)
+
+
 def test_language_id(spark):
     from eventspark.llm.common import held_out
 
