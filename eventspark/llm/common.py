@@ -1,16 +1,14 @@
-"""Shared pieces: tables, scratch tables in the cluster's shared folder, folds, gapless numbering."""
+"""Shared pieces: tables, scratch tables, folds, numbering, words."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.functions.numbering import numbered
+from eventspark.functions.numbering import numbered, ordered
+from eventspark.sources.scratch import discard, materialize, purge_scratch, scratch_root
 
-__all__ = ["WORD_GAP", "bound_batches", "discard", "held_out", "materialize", "numbered", "purge_scratch", "scratch_root", "table", "words_of"]
+__all__ = ["WORD_GAP", "bound_batches", "discard", "held_out", "materialize", "numbered", "ordered", "purge_scratch", "scratch_root", "table", "words_of"]
 
 #: White space that separates words for word counts and shingles: space and U+0009 to U+000D.
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -32,49 +30,6 @@ def bound_batches(spark: SparkSession, most: int = 2 << 20) -> None:
         spark.conf.set(key, str(most))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """This application's folder below ``spark.checkpoint.dir``.
-
-    The setting is read from the session. Where it is unset in local mode (tests) a temporary folder becomes the
-    checkpoint folder; on a cluster that is an error, as executors don't share such a folder. The folder is named after
-    the application, so a cluster can purge it.
-    """
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not base:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="eventspark-")
-        sc.setCheckpointDir(base)
-    return f"{base.rstrip('/')}/eventspark-{sc.applicationId}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut, rows are fixed."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.scratch_path = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete tables that ``materialize`` made and that no frame still in use reads."""
-    for df in tables:
-        _delete(df.sparkSession, df.__dict__.pop("scratch_path"))
-
-
-def _delete(spark: SparkSession, folder: str) -> None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def purge_scratch(spark: SparkSession) -> None:
-    """Delete every table that ``materialize`` wrote in this application. Frames built on them end with it."""
-    _delete(spark, scratch_root(spark))
-
-
 def held_out(doc_id: str | Column = "doc_id") -> Column:
     """True for the fold that is never learned from: crc32 of the id as text, mod 5, is 0."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
