@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import string
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.llm import decontam, html_extract, langid, license_scan, line_dedup, mixing, ngram_join, sharding, topk, toxicity
+from eventspark.llm import decontam, html_extract, langid, license_scan, line_dedup, merkle, mixing, ngram_join, sharding, topk, toxicity
 from eventspark.llm.common import held_out, table
 
 
@@ -61,6 +62,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), n=13).drop("hit_at")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest of ``documents`` by source, each row checked against its proof; of a fifth, capital letters are changed
+    before the check. See ``merkle.build`` for nulls, ties and empty tables."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    text = F.when(held_out("doc_id"), F.translate("text", string.ascii_uppercase, string.ascii_lowercase)).otherwise(F.col("text"))
+    manifest = merkle.build(docs, columns, "source", "doc_id", merkle.leaf([F.col(c) for c in columns[:-1]] + [text]))
+    return manifest.audit().select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -73,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mix_weights": op8_mix_weights,
         "op9_language_id": op9_language_id,
         "op10_decontaminate": op10_decontaminate,
+        "op11_merkle_manifest": op11_merkle_manifest,
     }
 
 
@@ -123,6 +135,38 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN k USING (doc_id) LEFT JOIN i USING (doc_id)"""
 
 
+_CAPITALS = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = ["CAST(doc_id AS VARCHAR)", "source", "lang", "CAST(n_chars AS VARCHAR)", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({f}) || ':' || {f}, '-')" for f in fields) + ")"
+
+
+#: crc32 of the decimal id, bit by bit (the polynomial of the standard, reflected).
+_CRC32 = """4294967295 - list_reduce([4294967295::BIGINT] || list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda i: CAST(ascii(substr(CAST(doc_id AS VARCHAR), i, 1)) AS BIGINT)),
+lambda c, b: list_reduce([xor(c, b)] || range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
+#: t and u: nodes of the sources' trees and of the tree over them; s: each node's siblings; f: the fold along them.
+OP11_SQL = f"""WITH RECURSIVE l AS (SELECT doc_id, source, {_leaf_sql("text")} AS leaf, {_leaf_sql(_CAPITALS)} AS low, coalesce(({_CRC32}) % 5 = 0, FALSE) AS changed FROM documents),
+p AS (SELECT doc_id, leaf, CASE WHEN changed THEN low ELSE leaf END AS claimed, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS tree,
+row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM l),
+t AS (SELECT tree, 0 AS level, idx, n, leaf AS h FROM p
+UNION ALL SELECT tree, level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM t WHERE n > 1 GROUP BY tree, level, idx // 16, n),
+u AS (SELECT 0 AS level, tree AS idx, (SELECT count(DISTINCT tree) FROM p) AS n, h FROM t WHERE n = 1
+UNION ALL SELECT level + 1, idx // 16, (n + 15) // 16, sha256(string_agg(h, '' ORDER BY idx)) FROM u WHERE n > 1 GROUP BY level, idx // 16, n),
+s AS (SELECT tree, level, idx, coalesce(string_agg(h, '') OVER (k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS a, coalesce(string_agg(h, '') OVER (k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS b
+FROM (SELECT tree, level, idx, n, h FROM t UNION ALL SELECT -1, level, idx, n, h FROM u) WHERE n > 1 WINDOW k AS (PARTITION BY tree, level, idx // 16 ORDER BY idx)),
+e AS (SELECT p.tree, p.idx, s.level AS step, a, b FROM p JOIN s ON s.tree = p.tree AND s.idx = p.idx // CAST(pow(16, s.level) AS BIGINT)
+UNION ALL SELECT p.tree, p.idx, 1000 + s.level, a, b FROM p JOIN s ON s.tree = -1 AND s.idx = p.tree // CAST(pow(16, s.level) AS BIGINT)),
+o AS (SELECT *, row_number() OVER (PARTITION BY tree, idx ORDER BY step) AS nth FROM e),
+f AS (SELECT tree, idx, CAST(0 AS BIGINT) AS nth, claimed AS h FROM p UNION ALL SELECT f.tree, f.idx, o.nth, sha256(o.a || f.h || o.b) FROM f JOIN o ON o.tree = f.tree AND o.idx = f.idx AND o.nth = f.nth + 1),
+g AS (SELECT tree, idx, arg_max(h, nth) AS folded FROM f GROUP BY tree, idx),
+q AS (SELECT tree, idx, string_agg(a || b, '' ORDER BY nth) AS proof FROM o GROUP BY tree, idx)
+SELECT p.doc_id, p.leaf, t.h AS subroot, u.h AS root, sha256(coalesce(q.proof, '')) AS proof_sha256, g.folded AS folded_root, g.folded = u.h AS verified
+FROM p JOIN t ON t.tree = p.tree AND t.n = 1 JOIN u ON u.n = 1 JOIN g ON g.tree = p.tree AND g.idx = p.idx LEFT JOIN q ON q.tree = p.tree AND q.idx = p.idx"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others are tested against brute force, exact round trips or held-out accuracy in ``tests/llm``."""
-    return {"op4_line_dedup": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_exact_topk": OP7_SQL, "op10_decontaminate": OP10_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_exact_topk": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
