@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.llm import decontam, html_extract, langid, license_scan, line_dedup, merkle, mixing, ngram_join, sharding, topk, toxicity
-from eventspark.llm.common import held_out, table
+from eventspark.llm import decontam, html_extract, langid, license_scan, line_dedup, merkle, mixing, ngram_join, sharding, topk, toxicity, vector_codes
+from eventspark.llm.common import held_out, materialize, table
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.audit().select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Product codes of all ``embeddings``; see ``vector_codes.fit_codebooks`` for nulls, ties and odd dimensions."""
+    vectors = table(spark, sf_dir, "embeddings")
+    books = vector_codes.fit_codebooks(vectors, parts=16, codes=64, rounds=2, scale=256)
+    out = materialize(vector_codes.encode(vectors, books, label_col="label"), "codes-rows")
+    out = vector_codes.label_errors(out)
+    return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -85,6 +94,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_decontaminate": op10_decontaminate,
         "op11_merkle_manifest": op11_merkle_manifest,
+        "op12_vector_codes": op12_vector_codes,
     }
 
 
@@ -167,6 +177,30 @@ SELECT p.doc_id, p.leaf, t.h AS subroot, u.h AS root, sha256(coalesce(q.proof, '
 FROM p JOIN t ON t.tree = p.tree AND t.n = 1 JOIN u ON u.n = 1 JOIN g ON g.tree = p.tree AND g.idx = p.idx LEFT JOIN q ON q.tree = p.tree AND q.idx = p.idx"""
 
 
+def _assigned_sql(books: str) -> str:
+    """Nearest entry and squared distance of each part, packed as distance * 64 + entry."""
+    return f"""SELECT vec_id, part, any_value(x) AS x, min(d * 64 + entry) AS best FROM (SELECT vec_id, p.part, x, entry,
+CAST(list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - c[i]) * (x[i] - c[i]))) AS BIGINT) AS d FROM p JOIN {books} b ON b.part = p.part) GROUP BY vec_id, part"""
+
+
+def _means_sql(found: str, books: str) -> str:
+    return f"""SELECT b.part, b.entry, coalesce(m.c, b.c) AS c FROM {books} b LEFT JOIN (SELECT part, entry, list(CAST(floor(s / n) AS BIGINT) ORDER BY pos) AS c
+FROM (SELECT part, best % 64 AS entry, pos, sum(x[pos]) AS s, count(*) AS n FROM {found}, (SELECT unnest(range(1, (SELECT max(len(x)) + 1 FROM p))) AS pos) WHERE pos <= len(x) GROUP BY part, best % 64, pos) GROUP BY part, entry) m
+ON m.part = b.part AND m.entry = b.entry"""
+
+
+OP12_SQL = f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, part, v[len(v) * part // 16 + 1:len(v) * (part + 1) // 16] AS x FROM v, (SELECT unnest(range(16)) AS part)),
+c0 AS MATERIALIZED (SELECT part, dense_rank() OVER (ORDER BY vec_id) - 1 AS entry, x AS c FROM p WHERE vec_id IN (SELECT vec_id FROM v ORDER BY vec_id LIMIT 64)),
+a1 AS MATERIALIZED ({_assigned_sql("c0")}), c1 AS MATERIALIZED ({_means_sql("a1", "c0")}),
+a2 AS MATERIALIZED ({_assigned_sql("c1")}), c2 AS MATERIALIZED ({_means_sql("a2", "c1")}),
+a3 AS MATERIALIZED ({_assigned_sql("c2")}),
+r AS (SELECT vec_id, string_agg(format('{{:02x}}', best % 64), '' ORDER BY part) AS code, CAST(sum(best // 64) AS BIGINT) AS error FROM a3 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+(SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY part, entry)) FROM c2) AS codebooks_sha256 FROM r JOIN v USING (vec_id)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """The others are tested against brute force, exact round trips or held-out accuracy in ``tests/llm``."""
-    return {"op4_line_dedup": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_exact_topk": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_merkle_manifest": OP11_SQL}
+    return {"op4_line_dedup": OP4_SQL, "op5_ngram_join": OP5_SQL, "op7_exact_topk": OP7_SQL, "op10_decontaminate": OP10_SQL, "op11_merkle_manifest": OP11_SQL, "op12_vector_codes": OP12_SQL}
