@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.llm import decontam, html_extract, langid, license_scan, line_dedup, merkle, mixing, ngram_join, sharding, topk, toxicity, vector_codes
+from eventspark.llm import decontam, html_extract, langid, license_scan, line_dedup, merkle, mixing, ngram_join, sharding, simhash, topk, toxicity, vector_codes
 from eventspark.llm.common import held_out, materialize, table
 
 
@@ -81,6 +81,12 @@ def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
 
 
+def op13_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SimHash near duplicates of all ``documents``; see ``simhash.near_groups`` for nulls, ties and empty tables."""
+    out = simhash.near_groups(table(spark, sf_dir, "documents"), most=2, k=3, seed=42)
+    return out.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_toxicity": op1_toxicity,
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_decontaminate": op10_decontaminate,
         "op11_merkle_manifest": op11_merkle_manifest,
         "op12_vector_codes": op12_vector_codes,
+        "op13_simhash_groups": op13_simhash_groups,
     }
 
 
