@@ -141,7 +141,7 @@ def fit_codebooks(vectors: DataFrame, parts: int = 16, codes: int = 64, rounds:
     kept = kept.where(F.size("v") == dim)
     if any(len(r["v"]) != dim for r in first):
         first = kept.orderBy(*order).limit(codes).collect()
-    seeds = np.array([r["v"] for r in first], dtype=np.int64).reshape(-1, dim)
+    seeds = np.array([r["v"] for r in first], dtype=np.int64).reshape(len(first), dim)
     edges = part_edges(dim, parts)
     books = Codebooks([seeds[:, a:b].copy() for a, b in zip(edges, edges[1:], strict=False)], dim, scale)
     spark = kept.sparkSession
