@@ -38,7 +38,7 @@ def ordered(df: DataFrame, by: list[Column], out: str, label: str = "ordered") -
     the same ranges. No task holds more than one range, and rows that are equal in ``by`` can be split. The table of
     range sizes has a row per range, so it is broadcast.
     """
-    mark, tie, part, before = (f"__{x}_{out}" for x in ("mark", "tie", "part", "before"))
+    mark, tie, part, before = (f"__ordered_{x}" for x in ("mark", "tie", "part", "before"))
     df = df.withColumn(tie, F.monotonically_increasing_id())
     placed = df.repartitionByRange(*by, tie).sortWithinPartitions(*by, tie).drop(tie).withColumn(mark, F.monotonically_increasing_id())
     placed = materialize(placed, label).withColumn(part, F.shiftright(mark, 33))

@@ -7,8 +7,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from eventspark.functions.numbering import ordered
 from eventspark.functions.numeric import present
 
 _QUANTILES = "values/quantiles"
@@ -34,6 +36,32 @@ AGGREGATES: dict[str, Callable[[], Column]] = {
     "values/min": lambda: F.min(F.when(_ok(), F.col("numeric_value"))),
     "values/max": lambda: F.max(F.when(_ok(), F.col("numeric_value"))),
 }
+#: How partial results of rows' disjoint parts become one; the two counts of subjects follow from parts by subject.
+MERGES: dict[str, Callable[[Column], Column]] = {**{n: F.sum for n in ("code/n_occurrences", "values/n_occurrences", "values/n_ints", "values/sum", "values/sum_sqd")}, "values/min": F.min, "values/max": F.max}
+SUBJECTS: dict[str, Callable[[], Column]] = {
+    "code/n_subjects": lambda: F.count("subject_id"),
+    "values/n_subjects": lambda: F.count_if((F.col("`values/n_occurrences`") > 0) & F.col("subject_id").isNotNull()),
+}
+
+
+def partial_states(df: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """One row per ``by`` with the partial results that ``merged_states`` needs for the aggregates ``names``."""
+    need = [n for n in MERGES if n in names or n == "values/n_occurrences" and "values/n_subjects" in names] or ["code/n_occurrences"]
+    return df.groupBy(*by).agg(*[AGGREGATES[n]().alias(n) for n in need])
+
+
+def merged_states(parts: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
+    """Aggregates ``names`` by ``keys``. Subjects are counted if asked for: parts must then be by keys and subject_id,
+    each once."""
+    empty = {"values/sum": 0.0, "values/sum_sqd": 0.0, **dict.fromkeys(("code/n_occurrences", "values/n_occurrences", "values/n_ints"), 0)}
+
+    def one(n: str) -> Column:
+        if n in SUBJECTS:
+            return SUBJECTS[n]().alias(n)
+        got = MERGES[n](F.col(f"`{n}`"))
+        return (F.coalesce(got, F.lit(empty[n])) if n in empty else got).alias(n)
+
+    return parts.groupBy(*keys).agg(*[one(n) for n in names])
 
 
 def parse_aggregations(specs: list) -> list[tuple[str, dict]]:
@@ -53,32 +81,42 @@ def aggregate_code_metadata(df: DataFrame, aggregations: list, do_summarize_over
         raise ValueError(f"code_modifiers must be a list of column names, not {code_modifiers!r}")
     specs = parse_aggregations(aggregations)
     keys = ["code", *modifiers]
-    out = _aggregate(df, keys, specs)
-    if do_summarize_over_all_codes:
-        total = _aggregate(df, [], specs)
-        total = total.select(*[F.lit(None).cast(df.schema[k].dataType).alias(k) for k in keys], *total.columns)
-        out = out.unionByName(total)
+    return summarized(lambda by: _aggregate(df, by, specs), keys, df.schema, do_summarize_over_all_codes, float32)
+
+
+def summarized(of: Callable[[list[str]], DataFrame], keys: list[str], schema: StructType, with_total: bool, float32: bool) -> DataFrame:
+    """``of(keys)``, with ``of([])`` under null keys if asked for, doubles rounded to single precision if asked for."""
+    out = of(keys)
+    if with_total:
+        total = of([])
+        out = out.unionByName(total.select(*[F.lit(None).cast(schema[k].dataType).alias(k) for k in keys], *[F.col(f"`{c}`") for c in total.columns]))
     if float32:
         out = out.withColumns({f.name: F.col(f"`{f.name}`").cast("float") for f in out.schema if f.dataType.typeName() == "double"})
     return out
 
 
 def _aggregate(df: DataFrame, keys: list[str], specs: list[tuple[str, dict]]) -> DataFrame:
-    plain = [(n, kw) for n, kw in specs if n != _QUANTILES]
+    plain = [n for n, _ in specs if n != _QUANTILES] or ["code/n_occurrences"]
     quantiles = next((kw.get("quantiles", []) for n, kw in specs if n == _QUANTILES), None)
-    aggs = [AGGREGATES[n]().alias(n) for n, _ in plain] or [F.count(F.lit(1)).alias("__n")]
-    out = df.groupBy(*keys).agg(*aggs)
+    if any(n in SUBJECTS for n in plain) and all(n in SUBJECTS or n in MERGES for n in plain):
+        # By subject first: distinct counts beside plain aggregates would multiply the rows before they are shuffled.
+        out = merged_states(partial_states(df, [*keys, "subject_id"], plain), keys, plain)
+    else:
+        out = df.groupBy(*keys).agg(*[AGGREGATES[n]().alias(n) for n in plain])
+    return with_quantiles(out, lambda: value_counts(df, keys), keys, quantiles, specs)
+
+
+def with_quantiles(out: DataFrame, counts: Callable[[], DataFrame], keys: list[str], quantiles: list[float] | None, specs: list[tuple[str, dict]]) -> DataFrame:
+    """``out`` with the quantiles of the counted values, if any are asked for; columns in the order of ``specs``."""
     if quantiles is not None:
-        q = value_quantiles(df, keys, quantiles)
+        q = value_quantiles(counts(), keys, quantiles)
         if keys:
             on = reduce(lambda a, b: a & b, [F.col(f"l.`{k}`").eqNullSafe(F.col(f"r.`{k}`")) for k in keys])
             out = out.alias("l").join(q.alias("r"), on, "left").select("l.*", F.col(f"r.`{_QUANTILES}`").alias(_QUANTILES))
         else:  # two single rows become one
             both = out.unionByName(q, allowMissingColumns=True)
             out = both.agg(*[F.first(f"`{c}`", ignorenulls=True).alias(c) for c in both.columns])
-        order = [*keys, *[n for n, _ in specs]]
-        out = out.select(*[F.col(f"`{c}`") for c in order])
-    return out.drop("__n")
+    return out.select(*[F.col(f"`{c}`") for c in [*keys, *[n for n, _ in specs]]])
 
 
 def _chunk_of(v: Column) -> Column:
@@ -88,14 +126,20 @@ def _chunk_of(v: Column) -> Column:
     return F.when(size == 0, F.lit(0)).otherwise(F.signum(v.cast("double")).cast("long") * step)
 
 
-def value_quantiles(df: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
-    """Exact nearest-rank quantiles (ties up) of the present values as a struct ``values/quantiles``.
+def value_counts(df: DataFrame, keys: list[str]) -> DataFrame:
+    """How often each present value stands by key: ``__v``, ``__c``."""
+    return df.where(_ok()).groupBy(*keys, F.col("numeric_value").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+
+
+def value_quantiles(counts: DataFrame, keys: list[str], quantiles: list[float]) -> DataFrame:
+    """Exact nearest-rank quantiles (ties up) of counted values (``value_counts``, each value of a key once) as a struct
+    ``values/quantiles``.
 
-    Values are counted by key and value first, so repeated values shrink before they meet. They are cut into chunks
-    that follow their order; the chunks' own counts tell which of them hold a wanted rank, and only there a running
-    count over the ordered values finds it. So no task orders all values of a key, or of the whole table.
+    Repeated values have shrunk before they meet. They are cut into chunks that follow their order; the chunks' own
+    counts tell which of them hold a wanted rank, and only there a running count over the ordered values finds it. So no
+    task orders all values of a key, or of the whole table.
     """
-    counts = df.where(_ok()).groupBy(*keys, _chunk_of(F.col("numeric_value")).alias("__chunk"), F.col("numeric_value").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    counts = counts.withColumn("__chunk", _chunk_of(F.col("__v")))
     chunks = counts.groupBy(*keys, "__chunk").agg(F.sum("__c").alias("__of"))
     key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))  # over chunks, of which there are few
     chunks = chunks.withColumns({"__n": F.sum("__of").over(key), "__start": F.coalesce(F.sum("__of").over(key.orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))})
@@ -126,23 +170,18 @@ def with_all_columns(parts: DataFrame, needed: list[str]) -> DataFrame:
     return parts
 
 
-def fit_vocabulary_indices(code_metadata: DataFrame, ordering_method: str = "lexicographic", code_modifiers: list[str] | None = None, prefix: int = 6) -> DataFrame:
+def fit_vocabulary_indices(code_metadata: DataFrame, ordering_method: str = "lexicographic", code_modifiers: list[str] | None = None) -> DataFrame:
     """Adds ``code/vocab_index``: 1, 2, ... in lexicographic order of the keys, nulls first; 0 is left for unknown.
 
-    Codes are ranked within their first ``prefix`` characters, and the start of each such range comes from the counts of
-    the ranges, so no task holds all codes. Keys that stand twice raise an error once the indices are computed.
+    Keys are ranked in ranges between sampled splitters (``ordered``), whatever their prefixes, so no task holds all
+    codes. Keys that stand twice raise a ``ValueError`` that names up to 100 of them, the most frequent first.
     """
     if ordering_method != "lexicographic":
         raise ValueError(f"Invalid ordering method: {ordering_method}. Known: lexicographic")
-    keys = [F.col(f"`{k}`") for k in ("code", *(code_modifiers or []))]
-    own = code_metadata.withColumn("__p", F.substring("code", 1, prefix))
-    ranges = own.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.orderBy(F.col("__p").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    ranges = ranges.select(F.col("__p").alias("__q"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    w = Window.partitionBy("__p").orderBy(*[k.asc_nulls_first() for k in keys])
-    twice = F.lag(F.struct(*keys)).over(w).eqNullSafe(F.struct(*keys))
-    own = own.withColumns({"__r": F.row_number().over(w), "__twice": twice})
-    own = own.join(ranges, F.col("__p").eqNullSafe(F.col("__q")))
-    fault = F.raise_error(F.concat(F.lit("The code and modifiers must be unique; one of those that are not: "), F.to_json(F.struct(*keys))))
-    index = F.when(F.col("__twice"), fault.cast("int")).otherwise((F.col("__start") + F.col("__r")).cast("int"))
-    return own.withColumn("code/vocab_index", index).drop("__p", "__q", "__r", "__start", "__twice")
+    names = ["code", *(code_modifiers or [])]
+    keys = [F.col(f"`{k}`") for k in names]
+    placed = ordered(code_metadata, [k.asc_nulls_first() for k in keys], "code/vocab_index", "vocabulary")
+    twice = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").orderBy(F.desc("__n"), *keys).limit(100).collect()
+    if twice:
+        raise ValueError(f"The code and modifiers must be unique; these are not: {[tuple(r) for r in twice]}")
+    return placed.withColumn("code/vocab_index", (F.col("`code/vocab_index`") + 1).cast("int"))

@@ -13,6 +13,7 @@ import yaml
 from pyspark.sql import DataFrame, SparkSession
 
 from eventspark.operators.codes import merge_metadata
+from eventspark.operators.incremental import CodeStatistics
 from eventspark.operators.match_revise import match_revise
 from eventspark.plans.registry import Registry, Stage, builtin
 from eventspark.sources import tables
@@ -181,8 +182,12 @@ class Pipeline:
         ``metadata/codes``. If ``data`` has a ``train`` folder, fits read only its shards. A first stage that takes no
         rows is the source itself.
 
-        Each fit is written once and read again, so its scan isn't repeated by every later use. A finished part is
+        Each fit is written once and read again, so its scan isn't repeated by every later use; so are the rows before
+        every fit but the first that sees changed rows, so that the input is read as often whatever the number of fits.
+        A finished part is
         taken up by a rerun if it was made from the same files by the same stages and settings; else it is made anew.
+        With ``incremental: true`` an ``aggregate_code_metadata`` before any change of rows keeps partial results by input
+        file in ``output_dir``, and a later run reads only files that are new or have changed for it.
         ``read`` and ``write`` replace the Parquet source and sink of the rows; a stage may have its own
         (``Registry.add(read=..., write=...)``): the former replaces the rows it gets, the latter is given its result.
         """
@@ -200,13 +205,25 @@ class Pipeline:
             df = tables.read_events(spark, f"{input_dir}/data", keep_order=True)
             if tables.has_shards(spark, f"{input_dir}/data/train"):
                 train = tables.read_events(spark, f"{input_dir}/data", "train", keep_order=True)
+        written, fits = df, 0
         rows = Rows(df, self._optional(spark, f"{input_dir}/metadata/codes.parquet"), self._optional(spark, f"{input_dir}/metadata/subject_splits.parquet"), train)
         for i, step in enumerate(self.steps):
             stage = self.registry[step.base]
             at, before = f"{root}/stages/{i:02d}-{step.name}", rows
             if stage.read is not None:
                 rows = replace(rows, df=stage.read(spark, input_dir), train=None)
-            rows = self.apply_step(step, rows)
+            elif stage.kind == "fit" and rows.df is not written:
+                fits += 1
+                if fits > 1:  # else each fit would compute all stages before it from the input again
+                    parts = {n: None if x is None else tables.once(x, f"{at}-{n}", marks[i - 1], overwrite) for n, x in (("rows", rows.df), ("train", rows.train))}
+                    rows = before = replace(rows, df=parts["rows"], train=parts["train"])
+                written = rows.df
+            if step.settings.get("incremental"):
+                if before.df is not df:
+                    raise ValueError(f"'{step.name}' is incremental, so no stage may change the rows before it")
+                rows = replace(rows, meta=self._kept_up(spark, step, input_dir, f"{root}/statistics/{step.name}", rows))
+            else:
+                rows = self.apply_step(replace(step, settings={k: v for k, v in step.settings.items() if k != "incremental"}), rows)
             if stage.is_metadata and rows.meta is not before.meta:
                 rows = replace(rows, meta=tables.once(rows.meta, at, marks[i], overwrite))
             elif keep_intermediates and not stage.is_metadata:
@@ -221,13 +238,25 @@ class Pipeline:
         if write:
             write(rows.df, f"{root}/data")
             return
-        if {"split", "shard"} <= set(rows.df.columns):
-            shards = rows.df.select("subject_id", "split", "shard").distinct()
-            tables.write_events(rows.df.drop("split", "shard"), f"{root}/data", shards, mode)
-        else:
-            tables.write_events(rows.df, f"{root}/data", mode=mode)
+        tables.write_events(rows.df, f"{root}/data", mode=mode)
         tables.sign(spark, f"{root}/data", marks[-1])
 
+    def _kept_up(self, spark: SparkSession, step: Step, input_dir: str, path: str, rows: Rows) -> DataFrame:
+        """Code statistics from partial results by file below ``path``; only files that are new or changed are read."""
+        settings = {k: v for k, v in step.settings.items() if k != "incremental"}
+        train_only, data, keep, mark = settings.pop("train_only", True), f"{input_dir}/data", None, ""
+        if step.base != "aggregate_code_metadata" or settings.keys() - {"aggregations", "do_summarize_over_all_codes"}:
+            raise ValueError(f"'{step.name}' can't be incremental: only aggregate_code_metadata can, without match and revise")
+        if train_only and rows.train is not None:
+            data = f"{data}/train"
+        elif train_only:
+            rows.of_train()  # refuses a fit without splits
+            keep, mark = (lambda df: tables.of_split(df, rows.splits)), _mark(tables.file_marks(spark, f"{input_dir}/metadata/subject_splits.parquet"))
+        kept = CodeStatistics(spark, path, self.code_modifiers)
+        kept.refresh(data, keep, mark)
+        got = kept.metadata(settings["aggregations"], settings.get("do_summarize_over_all_codes", False), self.float32)
+        return merge_metadata(got, rows.meta, self.code_modifiers) if rows.meta is not None else got
+
     @staticmethod
     def _optional(spark: SparkSession, path: str) -> DataFrame | None:
         p = spark._jvm.org.apache.hadoop.fs.Path(path)

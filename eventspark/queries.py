@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,9 +12,11 @@ from pyspark.sql.window import Window
 from eventspark.functions import dsl
 from eventspark.functions.numeric import fdiv
 from eventspark.operators import codes, filters, shards, timeline, values
+from eventspark.operators.incremental import CodeStatistics
 from eventspark.operators.match_revise import match_revise
 from eventspark.plans.pipeline import Pipeline, parse_stages
 from eventspark.plans.registry import builtin
+from eventspark.sources.scratch import scratch_root
 from eventspark.sources.tables import ORDER, of_split, read_events, utc, wide_to_events
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -175,6 +178,27 @@ def train_only_stats(spark, d):
     return _plain(codes.aggregate_code_metadata(of_split(measurements(spark, d), splits(spark, d)), ["code/n_occurrences", "code/n_subjects"]))
 
 
+_ALL_STATS = [*_STATS, "values/n_subjects", "values/n_ints", "values/min", "values/max", {"name": "values/quantiles", "quantiles": [0.5]}]
+
+
+@_query(f"""WITH {_M}, l AS (SELECT code, count(*) AS code_n_occurrences, count(DISTINCT subject_id) AS code_n_subjects, count(numeric_value) AS values_n_occurrences, round(coalesce(sum(numeric_value), 0.0), 2) AS values_sum,
+count(DISTINCT CASE WHEN numeric_value IS NOT NULL THEN subject_id END) AS values_n_subjects, count(CASE WHEN round_even(numeric_value, 0) = numeric_value THEN 1 END) AS values_n_ints, min(numeric_value) AS values_min, max(numeric_value) AS values_max,
+list_sort(list(numeric_value) FILTER (WHERE numeric_value IS NOT NULL)) AS v FROM m GROUP BY code)
+SELECT * EXCLUDE (v), v[CAST(floor(0.5 * (len(v) - 1) + 0.5) AS INT) + 1] AS q50 FROM l""")
+def incremental_code_stats(spark, d):
+    """Three shards whose partial results are kept, then one more: only that one is read, and all count."""
+    root = f"{scratch_root(spark)}/incremental-{uuid.uuid4().hex}"
+    m = measurements(spark, d).withColumn("__shard", F.when(F.col("numeric_value") > 45, 3).otherwise(F.pmod("subject_id", F.lit(3))))
+    m.where("__shard < 3").write.partitionBy("__shard").parquet(f"{root}/data")
+    kept = CodeStatistics(spark, f"{root}/statistics")
+    kept.refresh(f"{root}/data")
+    m.where("__shard = 3").drop("__shard").write.parquet(f"{root}/data/__shard=3")
+    kept.refresh(f"{root}/data")
+    out = kept.metadata(_ALL_STATS)
+    q50 = F.col("`values/quantiles`")["values/quantile/0.5"]
+    return _plain(out.withColumn("q50", q50).drop("values/quantiles", "values/sum_sqd")).withColumn("values_sum", F.round("values_sum", 2))
+
+
 # -- filters ---------------------------------------------------------------------------------------------------
 
 

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import re
 from collections import Counter
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Name of the column that carries the order of rows through a plan; absent if order doesn't matter.
 ORDER = "__ord"
 SORT = ("subject_id", "time")
+#: Bits of a carried order that hold a row's place in its file.
+ROW_BITS = 40
+_SCHEME = "^[^:/]+:/*"
 
 
 def read_events(spark: SparkSession, path: str | list[str], prefix: str | None = None, keep_order: bool = False, where=None) -> DataFrame:
@@ -27,9 +31,20 @@ def read_events(spark: SparkSession, path: str | list[str], prefix: str | None =
     df = spark.read.option("recursiveFileLookup", "true").parquet(*roots)
     if where is not None:
         df = df.where(where)
-    if keep_order:
-        df = df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(ORDER))
-    return utc(df)
+    return utc(with_order(df, roots) if keep_order else df)
+
+
+def with_order(df: DataFrame, roots: list[str], most: int = 100_000) -> DataFrame:
+    """Adds the order of the scanned rows of ``roots`` as one long: the file's place by path, then the row's place in it
+    (40 bits). Up to ``most`` files their places are sent to all tasks; of more, each row carries its file's path."""
+    spark = df.sparkSession
+    files = sorted({k for root in roots for k in file_keys(spark, root)})
+    if len(files) > most:
+        return df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(ORDER))
+    places = spark.createDataFrame([(f, i << ROW_BITS) for i, f in enumerate(files)], "__file string, __place long")
+    own = df.select("*", file_key().alias("__of"), F.col("_metadata.row_index").alias("__row"))
+    joined = own.join(F.broadcast(places), F.col("__of") == F.col("__file"))
+    return joined.withColumn(ORDER, F.col("__place").bitwiseOR(F.col("__row"))).drop("__of", "__row", "__file", "__place")
 
 
 def utc(df: DataFrame) -> DataFrame:
@@ -73,6 +88,29 @@ def file_marks(spark: SparkSession, root: str) -> list[list]:
     return sorted([str(f.getPath()), int(f.getLen()), int(f.getModificationTime())] for f in _files(spark, root))
 
 
+def file_keys(spark: SparkSession, root: str) -> dict[str, tuple[str, int, int]]:
+    """Of each shard, by what ``file_key`` makes of its path: path, size and time of change."""
+    return {re.sub(_SCHEME, "", str(f.getPath().toUri().toString())): (str(f.getPath()), int(f.getLen()), int(f.getModificationTime())) for f in _files(spark, root)}
+
+
+def file_key() -> Column:
+    """The file of a scanned row: its path without the scheme and the slashes after it, which readers write in several
+    ways."""
+    return F.regexp_replace("_metadata.file_path", _SCHEME, "")
+
+
+def folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders in ``root``, if it is there."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(f.getPath().getName() for f in fs.listStatus(path) if f.isDirectory()) if fs.exists(path) else []
+
+
+def complete_folders(spark: SparkSession, root: str) -> list[str]:
+    """Names of the folders in ``root`` that a finished write of Spark left."""
+    return [n for n in folders(spark, root) if is_complete(spark, f"{root}/{n}")]
+
+
 def shard_files(spark: SparkSession, root: str, out_root: str, prefix: str = "", out_suffix: str = ".parquet", train_only: bool = False) -> dict[str, tuple[str, str]]:
     """shard name -> (file read, file to write), by name. A name is the path below ``root`` without its suffix;
     ``prefix`` picks those that begin so, ``train_only`` those of the ``train`` folder, if there are any."""
@@ -144,13 +182,16 @@ def sorted_for_sink(df: DataFrame) -> DataFrame:
 
 
 def write_events(df: DataFrame, path: str, shards: DataFrame | None = None, mode: str = "errorifexists") -> None:
-    """Sorted Parquet; with ``shards`` (subject_id, split, shard) as ``split=S/shard=I`` folders."""
-    if shards is None:
+    """Sorted Parquet; with ``shards`` (subject_id, split, shard), or where the rows have ``split`` and ``shard``, as
+    ``split=S/shard=I`` folders."""
+    if shards is not None:
+        df = df.drop("split", "shard").join(shards.select("subject_id", "split", "shard"), "subject_id")
+    if not {"split", "shard"} <= set(df.columns):
         sorted_for_sink(df).write.mode(mode).parquet(path)
         return
     order = [F.col(c).asc_nulls_first() for c in SORT] + ([F.col(ORDER).asc()] if ORDER in df.columns else [])
-    placed = df.join(shards.select("subject_id", "split", "shard"), "subject_id").repartition("split", "shard")
-    placed.sortWithinPartitions("split", "shard", *order).drop(ORDER).write.mode(mode).partitionBy("split", "shard").parquet(path)
+    placed = df.repartition("split", "shard").sortWithinPartitions("split", "shard", *order).drop(ORDER)
+    placed.write.mode(mode).partitionBy("split", "shard").parquet(path)
 
 
 def is_complete(spark: SparkSession, path: str, mark: str | None = None) -> bool:
