@@ -48,12 +48,17 @@ def _micros(a: str, b: str, seconds: float) -> Column:
     return ((F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6 * seconds)).cast("float")
 
 
-def births_of(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
-    """(subject_id, __dob, __nth) of each birth row, numbered within the subject."""
+def birth_rows(cfg: dict[str, Any]) -> Column:
+    """Whether a row is a birth."""
     part, pattern = cfg.get("DOB_code"), cfg.get("DOB_regex")
     if part is None and pattern is None:
         raise ValueError("An age needs 'DOB_code' or 'DOB_regex' to find births by")
-    born = F.col("code").rlike(pattern) if part is None else F.col("code").contains(part)
+    return F.col("code").rlike(pattern) if part is None else F.col("code").contains(part)
+
+
+def births_of(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
+    """(subject_id, __dob, __nth) of each birth row, numbered within the subject."""
+    born = birth_rows(cfg)
     nth = F.row_number().over(_subject().orderBy(F.col(ORDER if ORDER in df.columns else "time")))
     return df.where(born).select("subject_id", F.col("time").alias("__dob"), nth.alias("__nth"))
 
@@ -79,10 +84,15 @@ def _hours(ends: Any) -> list[int]:
     return ends
 
 
+def hours_of(ends: Any) -> list[tuple[int, int]]:
+    """The parts of a day: from which hour to which."""
+    ends = _hours(ends)
+    return [*zip([0, *ends], ends, strict=False), (ends[-1], 24)]
+
+
 def time_of_day_parts(cfg: dict[str, Any]) -> list[Part]:
-    ends, name = _hours(cfg.get("endpoints")), cfg["time_of_day_code"]
-    code = F.lit(None).cast("string")
-    for lo, hi in reversed([*zip([0, *ends], ends, strict=False), (ends[-1], 24)]):
+    name, code = cfg["time_of_day_code"], F.lit(None).cast("string")
+    for lo, hi in reversed(hours_of(cfg.get("endpoints"))):
         code = F.when((F.hour("time") >= lo) & (F.hour("time") < hi), F.lit(f"{name}//[{lo:02},{hi:02})")).otherwise(code)
     return [Part(F.lit(True), code)]
 

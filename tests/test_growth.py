@@ -238,3 +238,51 @@ def test_resharded_rows_are_written_as_they_are(spark, tmp_path, monkeypatch):
     back = spark.read.parquet(str(tmp_path / "out"))
     assert rows_of(back.select(*df.columns)) == rows_of(df)
     assert len(list((tmp_path / "out").glob("split=*/shard=*/*.parquet"))) == df.select("split", "shard").distinct().count()
+
+
+# -- streams ---------------------------------------------------------------------------------------------------
+
+TOKENS = {"age": timeline.DEFAULTS["age"], "time_of_day": timeline.DEFAULTS["time_of_day"], "timeline_tokens": {"time_unit": "hours"}}
+
+
+def stream_rows(seed=3):
+    """Micro-batches of (subject, second, code), rows up to an hour behind the latest; a last row, of a subject of its
+    own, moves the watermark past all others."""
+    rng = random.Random(seed)
+    batches, now = [], 1_000_000_000
+    rows = [(s, now + s, "MEDS_BIRTH") for s in range(6)]
+    for _ in range(5):
+        batches.append(rows)
+        now += 7200
+        rows = [(rng.randrange(6), now - rng.randrange(3500), rng.choice(["A", "B"])) for _ in range(12)] + [(1, now, "A"), (None, now, "A")]
+    return [*batches, rows, [(99, now + 10_000_000, "A")], [(99, now + 10_000_001, "A")]]
+
+
+def test_time_derived_rows_on_a_stream_are_those_of_a_batch(spark, tmp_path):
+    """Late rows, several micro-batches, and a restart from the checkpoint after each of them."""
+    from eventspark.streaming.events import read_stream, write_stream
+    from eventspark.streaming.timeline import time_derived_stream
+
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    schema = "subject_id long, second long, code string"
+    every = []
+    for rows in stream_rows():
+        df = spark.createDataFrame(rows, schema).select("subject_id", F.timestamp_seconds("second").alias("time"), "code", F.lit(1.0).cast("float").alias("numeric_value"))
+        df.coalesce(1).write.mode("append").parquet(src)
+        every += rows
+        write_stream(time_derived_stream(read_stream(spark, src, df.schema), TOKENS, late="1 hour", end_after="30 days"), out, state).awaitTermination()
+    whole = spark.createDataFrame([r for r in every if r[0] not in (None, 99)], schema).select("subject_id", F.timestamp_seconds("second").alias("time"), "code", F.lit(1.0).cast("float").alias("numeric_value"))
+    added = timeline.add_time_derived_measurements(whole, TOKENS).where("code NOT IN ('A', 'B', 'MEDS_BIRTH')")
+    got, want = ([(r["subject_id"], r["time"], r["code"], None if r["numeric_value"] is None else round(r["numeric_value"], 5)) for r in d.collect()] for d in (spark.read.parquet(out).where("subject_id <> 99"), added))
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {c for _, _, c, _ in got} >= {"AGE", "TIMELINE//START", "TIMELINE//END", "TIMELINE//DELTA//hours"}
+
+
+def test_stream_refuses_unknown_features(spark):
+    from eventspark.streaming.timeline import time_derived_stream
+
+    stream = spark.readStream.format("rate").load().selectExpr("value AS subject_id", "timestamp AS time", "'A' AS code")
+    with pytest.raises(Exception, match="Unknown"):
+        time_derived_stream(stream, {"buzz": {}})
+    with pytest.raises(ValueError, match="DOB"):
+        time_derived_stream(stream, {"age": {"age_unit": "y"}})
