@@ -16,8 +16,11 @@ from eventspark.operators.incremental import CodeStatistics
 from eventspark.operators.match_revise import match_revise
 from eventspark.plans.pipeline import Pipeline, parse_stages
 from eventspark.plans.registry import builtin
+from eventspark.sources import layout
 from eventspark.sources.scratch import scratch_root
 from eventspark.sources.tables import ORDER, of_split, read_events, utc, wide_to_events
+from eventspark.streaming.events import read_stream, write_stream
+from eventspark.streaming.timeline import time_derived_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -336,6 +339,34 @@ def add_new_events(spark, d):
     return timeline.add_time_derived_measurements(measurements(spark, d), {"age": None, "time_of_day": timeline.DEFAULTS["time_of_day"]})
 
 
+@_query(f"WITH {_M}, {_AGE}, g AS (SELECT subject_id, time, epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY subject_id ORDER BY time) AS us FROM e) SELECT subject_id, time, 'TIMELINE//DELTA//days' AS code, round(us / (1e6 * 86400), 3) AS numeric_value FROM g WHERE us IS NOT NULL")
+def tokens_of_tables_by_subject(spark, d):
+    """Two tables laid out by subject, timed rows and static ones, read as one: no exchange for the tokens."""
+    m, root = measurements(spark, d), f"{scratch_root(spark)}/by-subject-{uuid.uuid4().hex}"
+    for name, rows in (("timed", m.where("time is not null")), ("static", m.where("time is null"))):
+        layout.write_by_subject(rows, f"{root}/{name}", 16)
+    both = layout.read_by_subject(spark, f"{root}/timed", f"{root}/static")
+    out = timeline.timeline_tokens(both, {**_TOKENS, "timeline_end_code": None, "timeline_start_code": None})
+    return out.withColumn("numeric_value", F.round(F.col("numeric_value").cast("double"), 3))
+
+
+@_query("""WITH o AS (SELECT DISTINCT o_custkey AS subject_id, CAST(o_orderdate AS TIMESTAMP) AS time FROM orders), w AS (SELECT max(time) - INTERVAL 1 DAY AS upto FROM o),
+g AS (SELECT subject_id, time, lag(time) OVER (PARTITION BY subject_id ORDER BY time) AS prev, max(time) OVER (PARTITION BY subject_id) AS hi FROM o)
+SELECT subject_id, time, 'TIMELINE//START' AS code, CAST(NULL AS DOUBLE) AS numeric_value FROM g, w WHERE prev IS NULL AND time <= upto
+UNION ALL SELECT subject_id, time, 'TIMELINE//DELTA//days', round((epoch_us(time) - epoch_us(prev)) / (1e6 * 86400), 3) FROM g, w WHERE prev IS NOT NULL AND time <= upto
+UNION ALL SELECT subject_id, time, 'TIMELINE//END', NULL FROM g, w WHERE time = hi AND time + INTERVAL 365 DAY <= upto""")
+def timeline_on_stream(spark, d):
+    """Tokens of all orders read as a stream, a day of lateness allowed: those that the watermark lets be told at the
+    stream's end."""
+    root = f"{scratch_root(spark)}/stream-{uuid.uuid4().hex}"
+    o = _t(spark, d, "orders").select(F.col("o_custkey").alias("subject_id"), F.col("o_orderdate").cast("timestamp").alias("time"), F.lit("ORDER").alias("code"))
+    o.write.parquet(f"{root}/in")
+    out = time_derived_stream(read_stream(spark, f"{root}/in", o.schema), {"timeline_tokens": _TOKENS}, late="1 day", end_after="365 days")
+    write_stream(out, f"{root}/out", f"{root}/state").awaitTermination()
+    got = spark.read.schema(out.schema).parquet(f"{root}/out")
+    return got.withColumn("numeric_value", F.round(F.col("numeric_value").cast("double"), 3))
+
+
 # -- codes and values ------------------------------------------------------------------------------------------
 
 
