@@ -18,7 +18,7 @@ from eventspark.plans.pipeline import Pipeline, parse_stages
 from eventspark.plans.registry import builtin
 from eventspark.sources import layout
 from eventspark.sources.scratch import scratch_root
-from eventspark.sources.tables import ORDER, of_split, read_events, utc, wide_to_events
+from eventspark.sources.tables import ORDER, of_split, read_events, utc, wide_csv_to_events, wide_to_events
 from eventspark.streaming.events import read_stream, write_stream
 from eventspark.streaming.timeline import time_derived_stream
 
@@ -459,6 +459,16 @@ def csv_wide_to_long(spark, d):
     return out.select("subject_id", "code", F.round(F.col("numeric_value").cast("double"), 2).alias("numeric_value"))
 
 
+@_query("SELECT s_suppkey AS subject_id, 's_name' AS code, CAST(NULL AS DOUBLE) AS numeric_value FROM supplier UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS DOUBLE) FROM supplier UNION ALL SELECT s_suppkey, 's_acctbal', round(CAST(CAST(s_acctbal AS FLOAT) AS DOUBLE), 2) FROM supplier WHERE s_suppkey % 2 = 0")
+def csv_files_to_events(spark, d):
+    """CSV files with different columns, written from the suppliers and read in one job."""
+    root, s = f"{scratch_root(spark)}/csv-{uuid.uuid4().hex}", _t(spark, d, "supplier").withColumnRenamed("s_suppkey", "subject_id").select("subject_id", "s_name", "s_nationkey", "s_acctbal")
+    s.where("subject_id % 2 = 0").repartition(4).write.csv(root, header=True, mode="append")
+    s.where("subject_id % 2 = 1").drop("s_acctbal").repartition(3).write.csv(root, header=True, mode="append")
+    out = wide_csv_to_events(spark, root)
+    return out.select("subject_id", "code", F.round(F.col("numeric_value").cast("double"), 2).alias("numeric_value"))
+
+
 # -- order, sources, own stages --------------------------------------------------------------------------------
 
 

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from eventspark.sources import wide_csv
+
 #: Name of the column that carries the order of rows through a plan; absent if order doesn't matter.
 ORDER = "__ord"
 SORT = ("subject_id", "time")
@@ -147,9 +149,27 @@ def read_wide_csv(spark: SparkSession, path: str, **options: str) -> DataFrame:
     return wide_to_events(spark.read.options(header="true", **options).csv(path))
 
 
+def cells_to_events(cells: DataFrame) -> DataFrame:
+    """Static events from ``id, code, cell``; text that is no number gives a null value, as does a null cell."""
+    value = F.expr("try_cast(cell AS float)").alias("numeric_value")
+    return cells.select(F.col("id").cast("long").alias("subject_id"), F.lit(None).cast("timestamp").alias("time"), "code", value)
+
+
 def wide_csv_to_events(spark: SparkSession, path: str, id_col: str = "subject_id") -> DataFrame:
     """Static events of all wide CSV files of a folder or pattern; files may differ in columns, and those without the
-    id column are passed over. A column whose every cell is a number gives values, any other nulls."""
+    id column are passed over.
+
+    One job reads all files, headers included (``sources.wide_csv``). In stores that only Spark reaches, Spark's own
+    reader looks at each file's header first, a job for each.
+    """
+    if wide_csv.reaches(path):
+        if not wide_csv.csv_files(path):
+            raise FileNotFoundError(f"No CSV file at {path}")
+        return cells_to_events(wide_csv.read_cells(spark, path, id_col))
+    return _by_header(spark, path, id_col)
+
+
+def _by_header(spark: SparkSession, path: str, id_col: str) -> DataFrame:
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
     found = fs.listStatus(folder) if fs.exists(folder) and fs.getFileStatus(folder).isDirectory() else fs.globStatus(folder) or []

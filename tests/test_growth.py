@@ -286,3 +286,53 @@ def test_stream_refuses_unknown_features(spark):
         time_derived_stream(stream, {"buzz": {}})
     with pytest.raises(ValueError, match="DOB"):
         time_derived_stream(stream, {"age": {"age_unit": "y"}})
+
+
+# -- wide CSV files --------------------------------------------------------------------------------------------
+
+
+def test_a_thousand_csv_files_are_one_job(spark, tmp_path):
+    for i in range(1000):
+        (tmp_path / f"{i:04}.csv").write_text(f"subject_id,a,{'b' if i % 2 else 'c'}\n{i},{i / 4},\n{i},x,7\n" if i % 10 else "other\n1\n")
+    sc = spark.sparkContext
+    sc.setJobGroup("csv", "csv")
+    try:
+        got = tables.wide_csv_to_events(spark, str(tmp_path)).collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert len(sc.statusTracker().getJobIdsForGroup("csv")) == 1
+    want = [(i, None, c, v) for i in range(1000) if i % 10 for c, v in (("a", i / 4), ("a", None), ("b" if i % 2 else "c", None), ("b" if i % 2 else "c", 7.0))]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    by_spark = tables._by_header(spark, str(tmp_path / "00[0-2]*.csv"), "subject_id")
+    assert rows_of(tables.wide_csv_to_events(spark, str(tmp_path / "00[0-2]*.csv"))) == rows_of(by_spark)
+
+
+def test_csv_cells_of_odd_files(spark, tmp_path):
+    from eventspark.sources import wide_csv
+
+    (tmp_path / "a.csv").write_text('id,"na,me",n\n1,"x ""y""",\n2,ü,"1e3"\n,z,-Infinity\n')
+    (tmp_path / "empty.csv").write_text("")
+    (tmp_path / "header.csv").write_text("id,n\n")
+    (tmp_path / "not.txt").write_text("id,n\n9,9\n")
+    (tmp_path / "long.csv").write_text("id,n\n" + "".join(f"{i},{i}\n" for i in range(20_000)))
+    cells = wide_csv.read_cells(spark, str(tmp_path), "id", blockBytes=str(1 << 14))
+    assert cells.where("code = 'na,me' OR id IS NULL").count() == 4
+    assert {(r["id"], r["cell"]) for r in cells.where("code = 'na,me'").collect()} == {("1", 'x "y"'), ("2", "ü"), (None, "z")}
+    assert tables.cells_to_events(cells).agg(F.sum("numeric_value")).first()[0] == -math.inf
+    assert cells.where("cast(id as int) > 2").count() == 19_997
+    assert [len(p.paths) for p in wide_csv.dealt([("a", 5, 0), ("b", 5, 0), ("c", 50, 0), ("d", 1, 0)], 10)] == [2, 1, 1]
+    with pytest.raises(FileNotFoundError):
+        tables.wide_csv_to_events(spark, str(tmp_path / "nothing"))
+
+
+def test_csv_cells_on_a_stream(spark, tmp_path):
+    """New files alone are read after a restart."""
+    from eventspark.sources import wide_csv
+    from eventspark.streaming.events import write_stream
+
+    src, out, state = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "state")
+    src.mkdir()
+    for i in range(3):
+        (src / f"{i}.csv").write_text(f"subject_id,v\n{i},{i}\n")
+        write_stream(tables.cells_to_events(wide_csv.stream_cells(spark, str(src), settle="0")), out, state).awaitTermination()
+        assert sorted(r["subject_id"] for r in spark.read.parquet(out).collect()) == list(range(i + 1))
