@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from eventspark.llm.common import bound_batches, discard, materialize
+
 # Families of common language codes. A code that is not listed is a family of its own.
 FAMILIES = {
     "germanic": ("af", "da", "de", "en", "fy", "is", "lb", "nb", "nl", "nn", "no", "sv", "yi"),
@@ -89,27 +91,47 @@ def sparse(c: np.ndarray, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 class SparseRows:
     """Rows of ``dim`` columns by their places and values other than 0, all rows in one piece each; ``ends`` is where
-    each row's part ends. Only a block of ``most`` rows is ever dense, so the fit's memory is that of the values."""
+    each row's part ends, and no row is empty. Few columns are multiplied by places alone; for many, blocks of ``most``
+    rows at a time are dense, so that the fit's memory is that of the values."""
+
+    FEW = 6
 
     def __init__(self, at: np.ndarray, value: np.ndarray, ends: np.ndarray, dim: int, most: int = 128) -> None:
-        self.dim, self.most, self.value = dim, most, value
+        self.dim, self.most, self.at, self.value = dim, most, at.astype(np.intp), value
         self.starts = np.concatenate(([0], ends)).astype(np.int64)
-        self.place = at.astype(np.int32)
-        self.place += np.repeat((np.arange(len(ends)) % most * dim).astype(np.int32), np.diff(self.starts))
-        self.dense = np.zeros((min(most, len(ends)), dim), dtype=np.float32)
+        row = np.repeat(np.arange(len(ends)), np.diff(self.starts))
+        by_place = np.argsort(at, kind="stable")
+        self.row_of, self.value_of = row[by_place], value[by_place]
+        self.places, self.begin = np.unique(at[by_place], return_index=True)
 
     def __len__(self) -> int:
         return len(self.starts) - 1
 
+    def products(self, v: np.ndarray, pull) -> tuple[np.ndarray, np.ndarray]:
+        """Of all rows X: p = ``pull(first, end, X v)`` gives (X' p, sum of p)."""
+        if v.shape[1] > self.FEW:
+            out, total = np.zeros_like(v), np.zeros(v.shape[1], dtype=np.float32)
+            for lo, hi, rows in self.blocks():
+                p = pull(lo, hi, rows @ v)
+                out += rows.T @ p
+                total += p.sum(axis=0)
+            return out, total
+        x = np.stack([np.add.reduceat(self.value * c[self.at], self.starts[:-1]) for c in v.T], axis=1)
+        p, out = pull(0, len(self), x), np.zeros_like(v)
+        for i, c in enumerate(np.ascontiguousarray(p.T)):
+            out[self.places, i] = np.add.reduceat(self.value_of * c[self.row_of], self.begin)
+        return out, p.sum(axis=0)
+
     def blocks(self) -> Iterator[tuple[int, int, np.ndarray]]:
         """(first, end, dense rows) of block after block; they share one array."""
-        flat = self.dense.reshape(-1)
+        dense = np.zeros((min(self.most, len(self)), self.dim), dtype=np.float32)
         for lo in range(0, len(self), self.most):
             hi = min(lo + self.most, len(self))
             own = slice(self.starts[lo], self.starts[hi])
-            flat[self.place[own]] = self.value[own]
-            yield lo, hi, self.dense[: hi - lo]
-            flat[self.place[own]] = 0
+            row = np.repeat(np.arange(hi - lo), np.diff(self.starts[lo : hi + 1]))
+            dense[row, self.at[own]] = self.value[own]
+            yield lo, hi, dense[: hi - lo]
+            dense[row, self.at[own]] = 0
 
 
 def fit_svms(x: SparseRows, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -> np.ndarray:
@@ -121,13 +143,13 @@ def fit_svms(x: SparseRows, y: np.ndarray, l2: float = 1e-3, steps: int = 120) -
     weight = np.where(y > 0, 0.5 / np.maximum(1, (y > 0).sum(axis=0)), np.where(y < 0, 0.5 / np.maximum(1, (y < 0).sum(axis=0)), 0)).astype(np.float32)
     rate = np.float32(1.0 / (4.0 + l2))  # rows have length 1 and a bias of 1: the loss has curvature 4 at most
     for t in range(steps):
+        def pull(lo: int, hi: int, x: np.ndarray, bias=v[d]) -> np.ndarray:
+            return weight[lo:hi] * y[lo:hi] * np.maximum(0, 1 - y[lo:hi] * (x + bias))
+
         g = np.float32(l2) * v
-        g[d] = 0
-        for lo, hi, rows in x.blocks():
-            own = y[lo:hi]
-            pull = weight[lo:hi] * own * np.maximum(0, 1 - own * (rows @ v[:d] + v[d]))
-            g[:d] -= 2 * (rows.T @ pull)
-            g[d] -= 2 * pull.sum(axis=0)
+        slope, total = x.products(v[:d], pull)
+        g[:d] -= 2 * slope
+        g[d] = -2 * total
         new = v - rate * g
         v = new + np.float32(t / (t + 3)) * (new - w)
         w = new
@@ -189,19 +211,69 @@ def train(texts: list[str], langs: list[str], dim: int = 8192, steps: int = 120)
     return _train(SparseRows(at, value, np.cumsum([len(k[0][0]) for k in kept]), dim), [k[1] for k in kept], steps)
 
 
-def _train(x: SparseRows, langs: list[str], steps: int = 120) -> LanguageModel:
-    dim = x.dim
+def _members(langs: list[str]) -> dict[str, list[str]]:
     members: dict[str, list[str]] = {}
     for lang in sorted(set(langs)):
         members.setdefault(family(lang), []).append(lang)
-    own, of = np.array(langs, dtype=object), np.array([family(v) for v in langs], dtype=object)
+    return members
+
+
+def _train(x: SparseRows, langs: list[str], steps: int = 120) -> LanguageModel:
+    members = _members(langs)
     fams = sorted(members) if len(members) > 1 else []
     pairs = [p for f in members.values() for p in combinations(f, 2)]
     if not fams and not pairs:
+        return LanguageModel(x.dim, members, {}, {})
+    w = fit_svms(x, np.concatenate([_rest(langs, fams), _against(langs, pairs)], axis=1), steps=steps)
+    return LanguageModel(x.dim, members, dict(zip(fams, w[: len(fams)], strict=True)), dict(zip(pairs, w[len(fams) :], strict=True)))
+
+
+def _rest(langs: list[str], fams: list[str]) -> np.ndarray:
+    """A column for each family: 1 for its rows, -1 for all others."""
+    of = np.array([family(v) for v in langs], dtype=object)
+    return np.where(of[:, None] == np.array(fams, dtype=object)[None, :], 1, -1).astype(np.float32) if fams else np.zeros((len(langs), 0), dtype=np.float32)
+
+
+def _against(langs: list[str], pairs: list[tuple[str, str]]) -> np.ndarray:
+    """A column for each pair of languages: 1, -1, and 0 for the rows of others."""
+    own = np.array(langs, dtype=object)
+    return np.stack([np.where(own == a, 1, np.where(own == b, -1, 0)) for a, b in pairs], axis=1).astype(np.float32) if pairs else np.zeros((len(langs), 0), dtype=np.float32)
+
+
+def _fit_apart(sample: DataFrame, langs: list[str], dim: int, steps: int = 120, together: int = 32) -> LanguageModel:
+    """The model of ``sample`` (l, h, at, value), fitted by the executors: ``together`` families against all rows in a
+    task, each pair of languages against the rows of the two. Only weights come to the driver."""
+    members = _members(langs)
+    fams = sorted(members) if len(members) > 1 else []
+    both = fams if len(fams) == 2 else []  # one against the rest is the other's negative
+    fams = fams[: len(fams) - len(both) // 2]
+    pairs = [p for f in members.values() for p in combinations(f, 2)]
+    tasks: list[list] = [fams[i : i + together] for i in range(0, len(fams), together)]
+    n_rest = len(tasks)
+    tasks += [[p] for p in pairs]
+    if not tasks:
         return LanguageModel(dim, members, {}, {})
-    y = [np.where(of == f, 1, -1) for f in fams] + [np.where(own == a, 1, np.where(own == b, -1, 0)) for a, b in pairs]
-    w = fit_svms(x, np.stack(y, axis=1).astype(np.float32), steps=steps)
-    return LanguageModel(dim, members, dict(zip(fams, w[: len(fams)], strict=True)), dict(zip(pairs, w[len(fams) :], strict=True)))
+    parts = []
+    if n_rest:
+        parts.append(sample.withColumn("task", F.explode(F.sequence(F.lit(0), F.lit(n_rest - 1)))))
+    if pairs:
+        of = sample.sparkSession.createDataFrame([(lang, n_rest + i) for i, p in enumerate(pairs) for lang in p], "of string, task int")
+        parts.append(sample.join(of, F.col("l") == F.col("of")).drop("of"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["l", "h"], kind="stable")
+        task, own = int(pdf["task"].iloc[0]), pdf["l"].tolist()
+        at = np.frombuffer(b"".join(pdf["at"]), dtype=np.uint16)
+        value = np.frombuffer(b"".join(pdf["value"]), dtype=np.float32)
+        x = SparseRows(at, value, np.cumsum(pdf["at"].map(len).to_numpy()) // 2, dim, most=512)
+        w = fit_svms(x, _rest(own, tasks[task]) if task < n_rest else _against(own, tasks[task]), steps=steps)
+        return pd.DataFrame({"task": task, "nth": np.arange(len(w)), "w": [r.tobytes() for r in w]})
+
+    found = reduce(DataFrame.unionByName, parts).groupBy("task").applyInPandas(fit, "task int, nth int, w binary").collect()
+    w = {tasks[r["task"]][r["nth"]]: np.frombuffer(r["w"], dtype=np.float32) for r in found}
+    if both:
+        w[both[1]] = -w[both[0]]
+    return LanguageModel(dim, members, {f: w[f] for f in both or fams}, {p: w[p] for p in pairs})
 
 
 def fit_languages(docs: DataFrame, learn_where, per_lang: int = 800, most: int = 8_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", dim: int = 8192, seed: int = 11) -> LanguageModel:
@@ -210,35 +282,26 @@ def fit_languages(docs: DataFrame, learn_where, per_lang: int = 800, most: int =
 
     The bound is the only sampling: it holds at every corpus size and for any ids, texts are used whole, and every
     document is predicted. Rows with a null label or text teach nothing; rows repeated with id, text and label count
-    once. Executors turn the texts into hashed gram counts; only those reach the driver.
+    once. Executors turn the texts into hashed gram counts and train the SVMs; the weights, at most ``most`` times
+    ``dim`` numbers and those of pairs within a family, reach the driver. Any number of languages can be told apart;
+    beyond ``most`` the rarest are not learned.
     """
+    bound_batches(docs.sparkSession)
     rows = docs.where(learn_where).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")).where("l is not null and t is not null")
     counts = {r["l"]: int(r["n"]) for r in rows.groupBy("l").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l").limit(most).collect()}
     if not counts:
         return LanguageModel(dim, {}, {}, {})
     each = max(1, min(per_lang, most // len(counts)))
     span = 1 << 62
-    h = F.pmod(F.xxhash64(F.lit(seed), "i", "t"), F.lit(span))
-    # Twice the expected share passes; the exact rank follows on those few rows.
-    near = F.lit(False)
-    for lang, n in counts.items():
-        near = near | ((F.col("l") == lang) & (F.col("h") <= int(span * min(1.0, (2.0 * each + 40) / n))))
-    few = rows.withColumn("h", h).where(near).groupBy("l", "h", "i").agg(F.first("t").alias("t"))
+    # Twice the expected share passes; the exact rank follows on those few rows. A row a language, ``most`` of them.
+    limits = docs.sparkSession.createDataFrame([(lang, int(span * min(1.0, (2.0 * each + 40) / n))) for lang, n in counts.items()], "of string, limit long")
+    few = rows.withColumn("h", F.pmod(F.xxhash64(F.lit(seed), "i", "t"), F.lit(span))).join(F.broadcast(limits), F.col("l") == F.col("of"))
+    few = few.where(F.col("h") <= F.col("limit")).groupBy("l", "h", "i").agg(F.first("t").alias("t"))
     ranked = few.withColumn("r", F.row_number().over(Window.partitionBy("l").orderBy("h", F.col("i").cast("string")))).where(F.col("r") <= each)
-    got = ranked.select("l", "h", "t").mapInArrow(_grams(dim), "l string, h long, at binary, value binary").toArrow().sort_by([("l", "ascending"), ("h", "ascending")])
-    langs = got.column("l").to_pylist()
-    if not langs:
-        return LanguageModel(dim, {}, {}, {})
-    at, value = _joined(got.column("at"), np.uint16), _joined(got.column("value"), np.float32)
-    ends = np.cumsum(pc.binary_length(got.column("at")).to_numpy()) // 2
-    del got
-    return _train(SparseRows(at, value, ends, dim), langs)
-
-
-def _joined(parts: pa.ChunkedArray, dtype: type) -> np.ndarray:
-    """The numbers of all rows of a binary column, one row's after the other's."""
-    own = [np.frombuffer(c.buffers()[2], dtype=np.uint8)[slice(*np.frombuffer(c.buffers()[1], dtype=np.int32)[[c.offset, c.offset + len(c)]])] for c in parts.chunks if len(c)]
-    return np.concatenate(own).view(dtype)
+    sample = materialize(ranked.select("l", "h", "t").mapInArrow(_grams(dim), "l string, h long, at binary, value binary"), "langid-sample")
+    model = _fit_apart(sample, [r["l"] for r in sample.select("l").distinct().collect()], dim)
+    discard(sample)
+    return model
 
 
 def _grams(dim: int):
@@ -270,6 +333,7 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     smaller code. Columns of those names in the input are replaced; other columns, repeated rows and order stay. An
     empty table gives an empty result.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")

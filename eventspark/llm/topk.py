@@ -147,7 +147,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     An empty table gives an empty result, other columns are ignored. Scores beyond 64 bits are the nearest number that
     fits. Null vectors, those with null or non-finite components, rows without an id, and vectors of another dimension
     than the query's take no part with it. Repeated rows are one candidate each, except that rows with the query's own id are
-    never its candidates.
+    never its candidates; of several vectors of one id in a dimension, the least in order of components asks.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vec_col), scale).alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")).where("id is not null and v is not null")
     rows = rows.withColumn("dim", F.size("v")).withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x)))
@@ -161,7 +161,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
         edges = _edges(own, "norm", min(bands, -(-st["n"] // (bucket_rows * 8))))
         split = max(1, -(-st["n"] // ((len(edges) + 1) * bucket_rows)))
         cand = own.select("id", "v", _band(F.col("norm"), edges).alias("band"), _dealt("id", seed, split).alias("part"))
-        asks = own.where("asks").select("id", "v", "norm").dropDuplicates(["id"])
+        asks = own.where("asks").groupBy("id").agg(F.min_by("v", "v").alias("v"), F.min_by("norm", "v").alias("norm"))
         n_blocks = max(1, -(-st["nq"] // query_rows))
         # A quarter of the rows at most: a first pass over all of them would be the search itself.
         share = int((1 << 20) * min(0.25, 4.0 * bucket_rows / st["n"]))
