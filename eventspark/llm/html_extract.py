@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from eventspark.llm.common import bound_batches
+
 # Elements by their role in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style noscript template head title svg math canvas iframe object audio video select option button textarea input form datalist dialog".split())
@@ -21,28 +23,52 @@ INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kb
 CLOSES_P = frozenset("address article aside blockquote center details dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split())
 SELF_CLOSES = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-#: Words of class, id and role values that mark page furniture wherever they stand.
+#: Words that mark page furniture as a whole class, id or role value, and as the last word of a compound one.
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising breadcrumb breadcrumbs captcha comment comments commentlist consent contentinfo cookie cookies disqus footer gdpr login menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion replies respond search shoutbox sidebar signup skip sponsor sponsored subscribe subscription topbar".split())
 #: The same, unless a word of BODY_WORDS stands beside them.
 LOOSE = frozenset("banner dialog header related reply share sharing social tabs toolbar widget widgets".split())
+#: Furniture that can hold more text than the article.
+COMMENTS = frozenset("comment comments commentlist disqus replies reply respond".split())
 BODY_WORDS = frozenset("article articlebody body content entry main maincontent post story text".split())
 LAYOUT = frozenset("has no with without".split())
+#: First words of compound names that say what an article is about or what state it is in.
+ABOUT = frozenset("author cat category format is section status tag term topic type".split())
+#: Last words of compound names that say that an element is a box for what the first word names.
+BOXES = frozenset("area badge banner bar block body box btn button buttons card cell col column container content form frame group heading holder icon inner inside item items label layer link links list lists message module nav outer overlay pane panel region row section slot strip thread title top unit widget wrap wrapper zone".split())
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 _PUNCT = re.compile(r"[.,;:!?…\"'»«”“()。、，！？；：]")
 
 
-def _marks(attrs: list[tuple[str, str | None]]) -> tuple[bool, bool, bool]:
-    """Whether an element's attributes mark it as furniture, as hidden, and as the place of the main text."""
-    furniture = hidden = main = False
+def _named(name: str) -> int:
+    """How surely a class, id or role value marks furniture: 0 not, 1 by a compound name, 2 by its whole or as comments."""
+    words = [x.lower() for x in _TOKEN.findall(name)]
+    if not words or LAYOUT & {*words}:
+        return 0
+    if len(words) == 1:
+        return 2 * (words[0] in FURNITURE or words[0] in LOOSE)
+    first, last = words[0], words[-1]
+    about = first in ABOUT
+    hit = last in FURNITURE and not about or first in FURNITURE and {*words[1:]} <= BOXES | FURNITURE | LOOSE | BODY_WORDS
+    if not hit and not BODY_WORDS & {*words}:
+        hit = last in LOOSE and not about or first in LOOSE and {*words[1:]} <= BOXES | FURNITURE | LOOSE
+    return hit and (2 if COMMENTS & {first, last} else 1)
+
+
+def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, bool, bool]:
+    """How surely an element's attributes mark it as furniture, and whether as hidden and as the place of the main text.
+    A compound name doesn't outweigh an element, or another name, that says that the main text is here."""
+    furniture, hidden, main = 0, False, tag in ("article", "main")
     for k, v in attrs:
         v = v or ""
         if k in ("class", "id", "role"):
             for name in v.split():
                 words = {x.lower() for x in _TOKEN.findall(name)}
-                furniture |= not words & LAYOUT and bool(words & FURNITURE or (words & LOOSE and not words & BODY_WORDS))
+                furniture = max(furniture, _named(name))
                 main |= bool(words) and words <= BODY_WORDS and k != "role" or (k == "role" and name.lower() in ("main", "article"))
         elif k == "hidden" or (k == "aria-hidden" and v.lower() == "true") or (k == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", v, re.I)):
             hidden = True
+    if furniture == 1 and main:
+        furniture = 0
     return furniture, hidden, main and not furniture
 
 
@@ -59,6 +85,7 @@ class _Block:
     path: tuple[str, ...]
     nodes: tuple[int, ...]  # the elements of the path by their number on the page
     heading: bool
+    under: tuple[int, ...] = ()  # elements around it whose compound names mark furniture
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -73,7 +100,8 @@ class _Reader(HTMLParser):
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.stack: list[tuple[str, bool, str, int]] = []  # tag; whether its text is dropped; its name in paths; its number
+        # Tag; whether its text is dropped; its name in paths; its number; elements down to it named as furniture.
+        self.stack: list[tuple[str, bool, str, int, tuple[int, ...]]] = []
         self.count = 0
         self.links = 0
         self.held: Counter[str] = Counter()  # open elements by tag
@@ -114,16 +142,17 @@ class _Reader(HTMLParser):
                 if self.stack[i][0] in ends.split():
                     self._pop(i)
                     break
-        furniture, hidden, main = _marks(attrs) if attrs else (False, False, False)
-        top = self.stack[-1] if self.stack else ("", False, "")
+        furniture, hidden, main = _marks(tag, attrs) if attrs else (0, False, False)
+        top = self.stack[-1] if self.stack else ("", False, "", 0, ())
         margin = tag in MARGIN or (tag == "header" and not self.articles)
-        drop = top[1] or (tag not in ("html", "body", "main") and (tag in HIDDEN or margin or hidden or furniture))
+        page = tag in ("html", "body", "main")
+        drop = top[1] or (not page and (tag in HIDDEN or margin or hidden or furniture == 2))
         if tag not in INLINE:
             self._cut()
         self.links += tag == "a"
         self.count += 1
         name = "main" if main and tag not in INLINE and tag not in ("p", "html", "body") else tag
-        self.stack.append((tag, drop, name, self.count))
+        self.stack.append((tag, drop, name, self.count, (*top[4], self.count) if furniture == 1 and not page else top[4]))
         self.held[tag] += 1
         self.articles += name in ("article", "main")
 
@@ -156,7 +185,7 @@ class _Reader(HTMLParser):
                 return
             around = [x for x in self.stack[:DEEPEST] if x[0] not in INLINE]
             path = tuple(x[2] for x in around)
-            self.open = _Block(path, tuple(x[3] for x in around), bool(path) and path[-1] in HEADINGS)
+            self.open = _Block(path, tuple(x[3] for x in around), bool(path) and path[-1] in HEADINGS, self.stack[-1][4] if self.stack else ())
         self.open.parts.append(data)
         if self.links:
             self.open.linked += len(data.strip())
@@ -205,6 +234,17 @@ def _host(path: tuple[str, ...]) -> tuple[str, ...] | None:
     return next((path[: i + 1] for i, x in enumerate(path) if x in ("article", "main")), None)
 
 
+def _without_furniture(blocks: list[tuple[_Block, str]]) -> list[tuple[_Block, str]]:
+    """Blocks that stand in no element whose compound name marks furniture. A name is wrong about an element that holds
+    most of the page's text outside links."""
+    held: Counter[int] = Counter()
+    for b, t in blocks:
+        for e in b.under:
+            held[e] += max(0, len(t) - b.linked)
+    whole = sum(max(0, len(t) - b.linked) for b, t in blocks)
+    return [(b, t) for b, t in blocks if all(2 * held[e] > whole for e in b.under)]
+
+
 def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, within: float = 0.02, host_share: float = 0.1) -> str:
     """The article of a page; blocks in page order joined by two newlines.
 
@@ -212,8 +252,10 @@ def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, wit
     block. Both ratios are smoothed over the paths by the share of the path that they have in common, fused by
     their geometric mean, and paths whose value reaches ``threshold`` times the page's text-weighted mean are
     content; headings beside content paths come with them. Menus, forms, hidden and furniture elements are cut
-    before. Everything else below the innermost element around all content comes with it (lists, tables,
-    definitions, captions), paths of nothing but links excepted. Where the ``article`` or ``main`` elements of one path hold ``host_share`` of the page's text or more,
+    before; where a compound name alone speaks for furniture, not if the element is an article, is named as one or
+    holds most of the page's text. Elements below the 512th around a block don't count for its path or for what comes
+    with it. Everything else below the innermost element around all content comes with it (lists, tables,
+    definitions, captions), paths of nothing but links excepted unless an article has them. Where the ``article`` or ``main`` elements of one path hold ``host_share`` of the page's text or more,
     ``within`` times the threshold is enough for the paths below them, and each such element is kept as a whole;
     paths elsewhere are judged as on any page, and what comes with them ends before such an element.
     """
@@ -222,7 +264,7 @@ def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, wit
     reader = _Reader()
     reader.feed(html)
     reader.close()
-    blocks = [(b, b.text) for b in reader.blocks]
+    blocks = _without_furniture([(b, b.text) for b in reader.blocks])
     if not blocks:
         return ""
     paths: dict[tuple[str, ...], list[float]] = {}
@@ -252,8 +294,8 @@ def main_text(html: str | None, smooth: float = 8.0, threshold: float = 0.5, wit
     if around and not any(m[: len(top)] == top for top in [_common(around)] for m in marked):
         around = {_common(around)}
     around = {a for a in around if not any(m[: len(a)] == a for m in marked)} | marked
-    tops = {a[-1] if a else 0 for a in around}
-    return "\n\n".join(t for b, t in blocks if b.path in good or (paths[b.path][0] > 0 and not tops.isdisjoint((0, *b.nodes))))
+    tops, stories = {a[-1] if a else 0 for a in around}, {m[-1] for m in marked}
+    return "\n\n".join(t for b, t in blocks if b.path in good or (paths[b.path][0] > 0 and not tops.isdisjoint((0, *b.nodes))) or not stories.isdisjoint(b.nodes))
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
@@ -262,6 +304,7 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     Columns of those names are replaced, others and repeated rows stay. Broken markup is read as browsers do where
     it matters: unclosed paragraphs, list items and inline elements end where the next block begins, declarations of
     any kind are skipped. Very long and very deep pages are read whole. An empty table gives an empty result."""
+    bound_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -11,7 +11,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from eventspark.llm import entries, merkle, simhash, vector_codes
+from eventspark.llm import decontam, entries, html_extract, langid, merkle, simhash, topk, toxicity, vector_codes
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -294,6 +294,93 @@ def test_simhash_on_the_table(spark):
     assert {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in entries.op13_simhash_groups(spark, SF).collect()} == want
 
 
+# -- earlier operators: layouts, many languages, ids with two vectors, empty tables ------------------------------
+
+STORY = [f"Sentence {i} of the story, which goes on for a while and ends with a stop." for i in range(8)]
+BODY = "".join(f"<p>{s}</p>" for s in STORY)
+OTHERS = "<p>I do not agree, sir.</p>", "<p>Buy this now, at once.</p>", "<li><a href=x>Home</a></li><li><a href=y>News</a></li>"
+
+
+@pytest.mark.parametrize("tag", ["article", "div", "section"])
+@pytest.mark.parametrize("name", ["post hentry category-search", "post hentry tag-cookie", "hentry category-newsletter", "story comments-open", "post ad-free", "post type-post hentry format-standard", "entry status-publish comments-closed", "tag-sponsored cat-menu post", "h-entry topic-login", "single term-popup content"])
+def test_html_story_named_by_blog_software(tag, name):
+    comments, advert, menu = OTHERS
+    page = f"<html><body><ul class='nav-menu'>{menu}</ul><{tag} class='{name}'>{BODY}</{tag}><div class='comments-area'>{comments * 30}</div><div class='ad-slot'>{advert}</div></body></html>"
+    assert html_extract.main_text(page) == "\n\n".join(STORY)
+
+
+@pytest.mark.parametrize("page", [
+    "<div id=top><div id=x1><ul>{menu}</ul></div><div id=x2>{body}</div><div id=x3><ul>{menu}{menu}</ul></div></div>",
+    "<table><tr><td><ul>{menu}</ul></td><td>{body}</td></tr></table>",
+    "<div class=c1>{body}</div><div class=c2><ul>{menu}</ul></div>",
+    "<ul class=a>{menu}</ul><div class=b><div class=c>{body}</div></div>",
+    "<section class=left><ol>{menu}{menu}</ol></section><section class=right>{body}</section>",
+    "<center>{body}</center><div><ul>{menu}</ul></div>",
+])
+def test_html_of_neutral_names_is_left_to_the_ratios(page):
+    """No article element and no telling name: the paths of links alone go by their ratios."""
+    assert html_extract.main_text(f"<html><body>{page.format(body=BODY, menu=OTHERS[2] * 3)}</body></html>") == "\n\n".join(STORY)
+
+
+def test_html_keeps_link_lists_of_the_story():
+    page = f"<body><nav>{OTHERS[2]}</nav><article>{BODY}<h2>Sources</h2><ul><li><a href=a>First source</a></li><li><a href=b>Second source</a></li></ul></article><ul class='related-links'>{OTHERS[2]}</ul></body>"
+    assert html_extract.main_text(page).endswith("Sources\n\nFirst source\n\nSecond source")
+    assert "Home" not in html_extract.main_text(page)
+
+
+def test_many_languages_are_told_apart(spark):
+    """More labels than an expression could hold; each of an own family, and some of one family beside them."""
+    n = 1500
+    rows = [(i, f"{chr(0x4E00 + i % n) * 3} word", f"x{i % n}") for i in range(2 * n)] + [(9000 + i, t, lang) for i in range(4) for t, lang in (("der hund und die katze", "de"), ("the dog and the cat", "en"), ("hunden och katten", "sv"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit_languages(df, F.lit(True), per_lang=2, dim=256)
+    assert len(model.members) == n + 1
+    assert len(model.pairs) == 3
+    got = langid.identify(df.where("doc_id >= 9000"), model).collect()
+    assert sum(r["lang"] == r["lang_pred"] for r in got) >= 10
+
+
+def test_language_fit_apart_is_the_fit_in_one_place(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join("".join(rng.choices(letters, k=5)) for _ in range(9)), lang) for i in range(240) for letters, lang in (("abcdef", "de"), ("cdefgh", "en"), ("ghijkl", "fr"), ("mnopqr", "es"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    apart, one = langid.fit_languages(df, F.lit(True), dim=512), langid.train([r[1] for r in rows], [r[2] for r in rows], dim=512)
+    for r in rows[::7]:
+        assert apart.predict(r[1])[0] == one.predict(r[1])[0]
+    assert all(np.allclose(apart.pairs[k], one.pairs[k], atol=1e-3) for k in one.pairs)
+    assert all(np.allclose(apart.fam[k], one.fam[k], atol=1e-3) for k in one.fam)
+
+
+def test_sparse_rows_multiply_alike_for_few_and_many_columns():
+    rng = np.random.default_rng(1)
+    x = (rng.random((300, 64)) * (rng.random((300, 64)) < 0.1)).astype(np.float32)
+    x[:, 0] = 1
+    at, ends = np.nonzero(x)[1].astype(np.uint16), np.cumsum((x != 0).sum(axis=1))
+    rows, v = langid.SparseRows(at, x[x != 0], ends, 64, most=128), rng.normal(size=(64, 9)).astype(np.float32)
+    for k in (1, 9):
+        slope, total = rows.products(v[:, :k], lambda lo, hi, p: p * 2)
+        assert np.allclose(slope, 2 * x.T @ (x @ v[:, :k]), rtol=1e-4, atol=1e-3)
+        assert np.allclose(total, 2 * (x @ v[:, :k]).sum(axis=0), rtol=1e-4, atol=1e-3)
+
+
+def test_one_vector_asks_for_an_id_that_has_several(spark):
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0])]
+    for order in (rows, rows[::-1]):
+        got = topk.search(spark.createDataFrame(order, "vec_id long, embedding array<float>").repartition(3), F.col("vec_id") == 0).collect()
+        assert [(r["vec_id"], r["score"]) for r in sorted(got, key=lambda r: r["rank"])] == [(2, 4096), (1, 0)]
+
+
+def test_empty_tables(spark):
+    docs = docs_of(spark, [])
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    model = langid.fit_languages(docs, F.lit(True))
+    assert langid.identify(docs, model).collect() == []
+    assert decontam.decontaminate(docs, spark.createDataFrame([], "item_id long, text string"), n=13).collect() == []
+    assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).collect() == []
+    network = toxicity.fit_toxicity(docs, labels, lambda i: F.lit(True))
+    assert toxicity.score_toxicity(docs.select("doc_id", "text"), network).collect() == []
+
+
 # -- the queries -----------------------------------------------------------------------------------------------
 
 
