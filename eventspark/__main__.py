@@ -6,7 +6,7 @@ from __future__ import annotations
 import argparse
 
 from eventspark.plans.pipeline import Pipeline, load_config, set_override
-from eventspark.plans.registry import builtin
+from eventspark.plans.registry import installed
 from eventspark.session import get_session
 
 
@@ -21,8 +21,7 @@ def main(argv: list[str] | None = None) -> int:
         run.add_argument("--keep-intermediates", action="store_true")
     sub.add_parser("stages", help="list the stages")
     args = ap.parse_args(argv)
-    registry = builtin()
-    registry.discover()
+    registry = installed()
     if args.what == "stages":
         for name in sorted(registry):
             doc = (registry[name].fn.__doc__ or "").strip().splitlines()

@@ -64,9 +64,22 @@ def _endpoints(meta: DataFrame, name: str, kind: T.DataType) -> Column:
     raise ValueError(f"The bin column '{name}' must be a struct or an array of numbers, not {t.simpleString()}")
 
 
+def ends_up_to(ends: Column, v: Column, few: int = 16) -> Column:
+    """How many of the ascending ``ends`` are at most ``v``. Beyond ``few`` of them a search halves what is left at each
+    step; below, counting is faster."""
+    n = F.size(ends)
+    steps = F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int"), F.lit(0), F.lit(-1))
+
+    def step(at: Column, k: Column) -> Column:
+        more = at + F.call_function("shiftleft", F.lit(1), k)
+        return F.when((more <= n) & (F.get(ends, more - 1) <= v), more).otherwise(at)
+
+    return F.when(n <= few, F.size(F.filter(ends, lambda e: e <= v))).otherwise(F.aggregate(steps, F.lit(0), step))
+
+
 def bin_numeric_values(df: DataFrame, code_metadata: DataFrame, bin_with_columns: list[str] | None = None, code_with_bin_name: str = "{code}//value_[{left},{right})", custom_bins: dict[str, Any] | None = None, drop_numeric_value: bool = False, code_modifiers: list[str] | None = None) -> DataFrame:
     """Codes of rows with a value and bins get the bin's name; ``custom_bins`` (code -> endpoints) go before the
-    columns, in the order given. A value on an endpoint belongs to the bin that starts there."""
+    columns, in the order given; endpoints ascend. A value on an endpoint belongs to the bin that starts there."""
     if "numeric_value" not in df.columns:
         raise ValueError("The data has no column 'numeric_value'")
     names = bin_with_columns if bin_with_columns is not None else ["values/quantiles"]
@@ -81,15 +94,15 @@ def bin_numeric_values(df: DataFrame, code_metadata: DataFrame, bin_with_columns
     keys = ["code", *(code_modifiers or [])]
     meta = code_metadata.select(*[_c(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.coalesce(*found).alias("__ends"))
     on = reduce(lambda a, b: a & b, [_c(k) == F.col(f"__k{i}") for i, k in enumerate(keys)])
-    v, ends = F.col("numeric_value"), F.col("__ends")
-    at = F.size(F.filter(ends, lambda e: e <= v))
+    v, ends, at = F.col("numeric_value"), F.col("__ends"), F.col("__at")
     fields = {"code": F.col("code"), "bin": at.cast("string"), "left": F.coalesce(float_text(F.get(ends, at - 1)), F.lit("-inf")), "right": F.coalesce(float_text(F.get(ends, at)), F.lit("inf"))}
     name = _named(code_with_bin_name, fields)
     do = ends.isNotNull() & v.isNotNull()
     new = {"code": F.when(do, name).otherwise(F.col("code"))}
     if drop_numeric_value:
         new["numeric_value"] = F.when(~do, v)
-    return df.join(meta, on, "left").withColumns(new).drop("__ends", *[f"__k{i}" for i in range(len(keys))])
+    found = df.join(meta, on, "left").withColumn("__at", F.when(do, ends_up_to(ends, v)))
+    return found.withColumns(new).drop("__ends", "__at", *[f"__k{i}" for i in range(len(keys))])
 
 
 def _named(pattern: str, fields: dict[str, Column]) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from eventspark.operators.codes import merge_metadata
 from eventspark.operators.incremental import CodeStatistics
 from eventspark.operators.match_revise import match_revise
-from eventspark.plans.registry import Registry, Stage, builtin
+from eventspark.plans.registry import Registry, Stage, builtin, installed
 from eventspark.sources import tables
 
 
@@ -134,7 +134,7 @@ class Pipeline:
 
     @classmethod
     def from_config(cls, cfg: dict[str, Any], registry: Registry | None = None) -> Pipeline:
-        registry = registry or builtin()
+        registry = installed() if registry is None else registry
         p = cls(parse_stages(cfg.get("stages", [])), registry, cfg.get("code_modifiers"), bool(cfg.get("float32_stats", False)))
         if unknown := [s.base for s in p.steps if s.base not in registry]:
             raise KeyError(f"Unknown stages: {unknown}. Known: {sorted(registry)}")

@@ -131,7 +131,10 @@ class Registry(dict[str, Stage]):
 
     def discover(self) -> None:
         """Add the stages of installed packages: entry points of ``GROUP`` that load to a Stage or a function."""
-        for ep in entry_points(group=GROUP):
+        points = list(entry_points(group=GROUP))
+        if twice := sorted({p.name for p in points if [q.name for q in points].count(p.name) > 1}):
+            raise ValueError(f"Installed packages have several stages of one name: {twice}")
+        for ep in points:
             got = ep.load()
             if isinstance(got, Stage):
                 if ep.name in self:
@@ -141,6 +144,13 @@ class Registry(dict[str, Stage]):
                 self.add(got, name=ep.name)
 
 
+def installed() -> Registry:
+    """The built-in stages and those of installed packages."""
+    r = builtin()
+    r.discover()
+    return r
+
+
 def builtin() -> Registry:
     from eventspark.operators import codes, filters, shards, timeline, values
     from eventspark.sources import tables
