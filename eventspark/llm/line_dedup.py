@@ -32,13 +32,18 @@ def _next_ranks(ranks: DataFrame, step: int) -> DataFrame:
     suffix array); equal ranks are an interval of suffixes with that many lines in common.
 
     Only distinct pairs of ranks are ordered within a rank, so a very common line costs a partial count, not a sort
-    of all its suffixes."""
+    of all its suffixes; and they are ordered in 256 chunks by the next line's id, so that no task orders all that
+    follows a common line."""
     nxt = ranks.select(*_DOC, (F.col("pos") - step).alias("pos"), *[F.col(c).alias(f"n_{c}") for c in _RANK])
     pairs = ranks.join(nxt, [*_DOC, "pos"])
     n_rank = [f"n_{c}" for c in _RANK]
     kinds = pairs.groupBy(*_RANK, *n_rank).agg(F.count(F.lit(1)).alias("c"))
-    before = Window.partitionBy(*_RANK).orderBy(*n_rank).rowsBetween(Window.unboundedPreceding, -1)
-    kinds = kinds.withColumn("add", F.coalesce(F.sum("c").over(before), F.lit(0))).where("c > 1")
+    kinds = kinds.withColumn("chunk", F.shiftright("n_h", 56))
+    before = Window.partitionBy(*_RANK, "chunk").orderBy(*n_rank).rowsBetween(Window.unboundedPreceding, -1)
+    lower = Window.partitionBy(*_RANK).orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    chunks = kinds.groupBy(*_RANK, "chunk").agg(F.sum("c").alias("of")).withColumn("from", F.coalesce(F.sum("of").over(lower), F.lit(0))).drop("of")
+    kinds = kinds.withColumn("within", F.coalesce(F.sum("c").over(before), F.lit(0))).where("c > 1").join(chunks, [*_RANK, "chunk"])
+    kinds = kinds.withColumn("add", F.col("from") + F.col("within")).drop("chunk", "within", "from")
     got = pairs.join(kinds.drop("c"), [*_RANK, *n_rank])
     return got.select(*_DOC, "pos", "h", "g", (F.col("off") + F.col("add")).alias("off"))
 
@@ -96,5 +101,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 50, id_col: str = "doc_id", te
     gone = gone.select(F.col("doc").alias("__doc"), F.col("th").alias("__th"), "gone")
     out = own.join(gone, ["__doc", "__th"], "left").drop("__doc", "__th").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     lines = F.split(F.col(text_col), "\n", -1)
-    kept = F.array_join(F.filter(F.transform(lines, lambda x, i: F.when(~F.array_contains(F.col("gone"), i), x)), lambda x: x.isNotNull()), "\n")
+    # The lines are bound once; the numbers that stay are a difference of sets, so that the work is linear in the lines.
+    stay = lambda ls: F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col("gone"))
+    kept = F.transform(F.array(lines), lambda ls: F.array_join(F.transform(stay(ls), lambda i: F.get(ls, i)), "\n"))[0]
     return out.withColumn("n_lines", F.coalesce(F.size(lines), F.lit(0)).cast("long")).withColumn("n_lines", F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("n_lines"))).withColumn("kept_text", F.when(F.size("gone") == 0, F.col(text_col)).otherwise(kept))

@@ -394,3 +394,20 @@ def test_queries_agree_with_their_sql(spark, name):
     want = con.execute(entries.oracle_sql()[name]).df()[list(got.columns)]
     by = got.columns[0]
     assert got.sort_values(by).reset_index(drop=True).equals(want.sort_values(by).reset_index(drop=True))
+
+
+def test_lines_of_long_documents_are_kept_in_linear_time(spark):
+    import time
+
+    from eventspark.llm import line_dedup
+
+    def took(n):
+        text = "\n".join(f"line number {i} of many" for i in range(n))
+        began = time.perf_counter()
+        got = line_dedup.dedup_lines(spark.createDataFrame([(1, text), (2, text)], "doc_id long, text string")).select("doc_id", F.size("gone").alias("gone"), "kept_text").collect()
+        assert [(r["gone"], r["kept_text"] == text) for r in sorted(got)] == [(0, True), (n, False)]
+        return time.perf_counter() - began
+
+    took(100)
+    short = took(5_000)
+    assert took(40_000) < 4 * short + 10
