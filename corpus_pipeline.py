@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from eventspark.llm import decontam, langid, mixing, ngram_join, sharding
-from eventspark.llm.common import bound_batches, held_out, materialize, table
+from eventspark.llm.common import bound_batches, discard, held_out, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -85,7 +85,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each result is written as Parquet and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        discard(*before)  # the next stage's table is whole; one copy of the corpus lies there at a time
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
