@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from eventspark.functions.numbering import ordered
 from eventspark.functions.numeric import present
+from eventspark.operators import sketches
 
 _QUANTILES = "values/quantiles"
 
@@ -68,8 +69,8 @@ def parse_aggregations(specs: list) -> list[tuple[str, dict]]:
     out = []
     for s in specs:
         name, kw = (s, {}) if isinstance(s, str) else (s.get("name"), {k: v for k, v in s.items() if k != "name"})
-        if name not in AGGREGATES and name != _QUANTILES:
-            raise ValueError(f"Unknown aggregation '{name}'. Known: {', '.join([*AGGREGATES, _QUANTILES])}")
+        if name not in AGGREGATES and name != _QUANTILES and name not in sketches.NAMES:
+            raise ValueError(f"Unknown aggregation '{name}'. Known: {', '.join([*AGGREGATES, _QUANTILES, *sketches.NAMES])}")
         out.append((name, kw))
     return out
 
@@ -96,18 +97,19 @@ def summarized(of: Callable[[list[str]], DataFrame], keys: list[str], schema: St
 
 
 def _aggregate(df: DataFrame, keys: list[str], specs: list[tuple[str, dict]]) -> DataFrame:
-    plain = [n for n, _ in specs if n != _QUANTILES] or ["code/n_occurrences"]
-    quantiles = next((kw.get("quantiles", []) for n, kw in specs if n == _QUANTILES), None)
+    plain = [n for n, _ in specs if n in AGGREGATES] or ["code/n_occurrences"]
     if any(n in SUBJECTS for n in plain) and all(n in SUBJECTS or n in MERGES for n in plain):
         # By subject first: distinct counts beside plain aggregates would multiply the rows before they are shuffled.
         out = merged_states(partial_states(df, [*keys, "subject_id"], plain), keys, plain)
     else:
         out = df.groupBy(*keys).agg(*[AGGREGATES[n]().alias(n) for n in plain])
-    return with_quantiles(out, lambda: value_counts(df, keys), keys, quantiles, specs)
+    return with_others(out, keys, specs, lambda: value_counts(df, keys), lambda: sketches.sketch_states(df, keys))
 
 
-def with_quantiles(out: DataFrame, counts: Callable[[], DataFrame], keys: list[str], quantiles: list[float] | None, specs: list[tuple[str, dict]]) -> DataFrame:
-    """``out`` with the quantiles of the counted values, if any are asked for; columns in the order of ``specs``."""
+def with_others(out: DataFrame, keys: list[str], specs: list[tuple[str, dict]], counts: Callable[[], DataFrame], sketched: Callable[[], DataFrame]) -> DataFrame:
+    """``out`` with what ``specs`` ask for besides: quantiles of the counted values, estimates from sketches. Columns are
+    in the order of ``specs``."""
+    quantiles = next((kw.get("quantiles", []) for n, kw in specs if n == _QUANTILES), None)
     if quantiles is not None:
         q = value_quantiles(counts(), keys, quantiles)
         if keys:
@@ -116,7 +118,11 @@ def with_quantiles(out: DataFrame, counts: Callable[[], DataFrame], keys: list[s
         else:  # two single rows become one
             both = out.unionByName(q, allowMissingColumns=True)
             out = both.agg(*[F.first(f"`{c}`", ignorenulls=True).alias(c) for c in both.columns])
-    return out.select(*[F.col(f"`{c}`") for c in [*keys, *[n for n, _ in specs]]])
+    order = [*keys, *[n for n, _ in specs]]
+    if approx := {n: kw for n, kw in specs if n in sketches.NAMES}:
+        found = sketches.estimates(sketched(), keys, list(approx), approx.get(sketches.QUANTILES, {}).get("quantiles"))
+        return sketches.joined(out, found, keys, order)
+    return out.select(*[F.col(f"`{c}`") for c in order])
 
 
 def _chunk_of(v: Column) -> Column:

@@ -9,7 +9,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventspark.operators import codes
+from eventspark.operators import codes, sketches
 from eventspark.sources import tables
 from eventspark.sources.scratch import delete
 
@@ -30,7 +30,7 @@ class CodeStatistics:
 
     Each refresh writes one batch for the files that it reads: ``subjects`` (sums, counts and extremes by file, key and
     subject), ``codes`` (the same by file and key, made from ``subjects``) and ``values`` (how often each value stands, by
-    file and key). A list of files with sizes and times of change says which batch holds which; it is written last, so a
+    file and key); if asked for, ``sketches`` (by file and key) as well or in place of the two large ones. A list of files with sizes and times of change says which batch holds which; it is written last, so a
     refresh that dies leaves the former state. ``metadata`` merges the partial results into what
     ``aggregate_code_metadata`` gives over all rows: counts, extremes and quantiles exactly, sums up to the order in which
     doubles are added. Subjects may have rows in several files.
@@ -39,8 +39,15 @@ class CodeStatistics:
     refresh at a time: of two that begin from one state, the second fails.
     """
 
-    def __init__(self, spark: SparkSession, path: str, code_modifiers: list[str] | None = None) -> None:
+    KINDS = ("subjects", "codes", "values", "sketches")
+
+    def __init__(self, spark: SparkSession, path: str, code_modifiers: list[str] | None = None, kinds: tuple[str, ...] = KINDS[:3]) -> None:
+        """``kinds``: the tables to keep, ``codes`` always among them. ``("codes", "sketches")`` is a small store without
+        exact counts of subjects and quantiles."""
+        if unknown := set(kinds) - set(self.KINDS):
+            raise ValueError(f"Unknown tables of statistics: {sorted(unknown)}")
         self.spark, self.path, self.keys = spark, path.rstrip("/"), ["code", *(code_modifiers or [])]
+        self.kinds = [k for k in self.KINDS if k in kinds or k == "codes"]
 
     # -- state -----------------------------------------------------------------------------------------------
 
@@ -70,7 +77,7 @@ class CodeStatistics:
         ``keep`` chooses rows (those of train subjects, say), ``mark`` names what it depends on: with another mark every
         file is read again. Keys and the mark belong to the state, so stores are not mixed up.
         """
-        mark = f"{','.join(self.keys)}|{mark}"
+        mark = f"{','.join(self.keys)}|{','.join(self.kinds)}|{mark}"
         known = {r["path"]: r for r in self.files().collect()}
         now = tables.file_keys(self.spark, data)
         live = {p for p, (_, *s) in now.items() if p in known and [known[p]["bytes"], known[p]["changed"], known[p]["mark"]] == [*s, mark]}
@@ -91,16 +98,24 @@ class CodeStatistics:
         by = ["__file", *self.keys]
         every = list(codes.MERGES)
         out = f"{self.path}/batches/{batch}"
-        codes.partial_states(rows, [*by, "subject_id"], every).write.parquet(f"{out}/subjects")
-        codes.merged_states(self.spark.read.parquet(f"{out}/subjects"), by, every).write.parquet(f"{out}/codes")
-        codes.value_counts(rows, by).write.parquet(f"{out}/values")
+        if "subjects" in self.kinds:
+            codes.partial_states(rows, [*by, "subject_id"], every).write.parquet(f"{out}/subjects")
+            codes.merged_states(self.spark.read.parquet(f"{out}/subjects"), by, every).write.parquet(f"{out}/codes")
+        else:
+            codes.partial_states(rows, by, every).write.parquet(f"{out}/codes")
+        if "values" in self.kinds:
+            codes.value_counts(rows, by).write.parquet(f"{out}/values")
+        if "sketches" in self.kinds:
+            sketches.sketch_states(rows, by).write.parquet(f"{out}/sketches")
 
     # -- results ---------------------------------------------------------------------------------------------
 
     def _live(self, kind: str) -> DataFrame | None:
-        """Partial results of one kind of all files that count. Rows of files that a later batch replaced are left out
+        """Partial results of one kind of all files that count; None without any file. Rows of files that a later batch replaced are left out
         by an anti-join with the few that are stale; without any there is no join."""
         files = self.files()
+        if kind not in self.kinds:
+            raise ValueError(f"These statistics keep {self.kinds}, not '{kind}'")
         batches = sorted(r["batch"] for r in files.select("batch").distinct().collect())
         if not batches:
             return None
@@ -126,7 +141,6 @@ class CodeStatistics:
         names = [n for n, _ in specs if n in codes.AGGREGATES] or ["code/n_occurrences"]
         if unknown := [n for n in names if n not in codes.MERGES and n not in codes.SUBJECTS]:
             raise ValueError(f"Partial results of {unknown} can't be merged")
-        quantiles = next((kw.get("quantiles", []) for n, kw in specs if n not in codes.AGGREGATES), None)
         kind = "subjects" if any(n in codes.SUBJECTS for n in names) else "codes"
         parts = self._live(kind)
         if parts is None:
@@ -135,7 +149,8 @@ class CodeStatistics:
         def merged(keys: list[str]) -> DataFrame:
             rows = codes.merged_states(parts, [*keys, "subject_id"], list(codes.MERGES)) if kind == "subjects" else parts
             out = codes.merged_states(rows, keys, names)
-            return codes.with_quantiles(out, lambda: self._live("values").groupBy(*keys, "__v").agg(F.sum("__c").alias("__c")), keys, quantiles, specs)
+            counts = lambda: self._live("values").groupBy(*keys, "__v").agg(F.sum("__c").alias("__c"))
+            return codes.with_others(out, keys, specs, counts, lambda: sketches.merged_sketches(self._live("sketches"), keys))
 
         return codes.summarized(merged, self.keys, parts.schema, do_summarize_over_all_codes, float32)
 
@@ -148,7 +163,7 @@ class CodeStatistics:
         if not rows:
             return
         batch = uuid.uuid4().hex
-        for kind in ("subjects", "codes", "values"):
+        for kind in self.kinds:
             self._live(kind).drop("__batch").write.parquet(f"{self.path}/batches/{batch}/{kind}")
         self._commit([(r["path"], r["bytes"], r["changed"], batch, r["mark"]) for r in rows])
         for old in tables.folders(self.spark, f"{self.path}/batches"):

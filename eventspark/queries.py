@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from eventspark.functions import dsl
 from eventspark.functions.numeric import fdiv
-from eventspark.operators import codes, filters, shards, timeline, values
+from eventspark.operators import codes, filters, shards, sketches, timeline, values
 from eventspark.operators.incremental import CodeStatistics
 from eventspark.operators.match_revise import match_revise
 from eventspark.plans.pipeline import Pipeline, parse_stages
@@ -202,6 +202,20 @@ def incremental_code_stats(spark, d):
     return _plain(out.withColumn("q50", q50).drop("values/quantiles", "values/sum_sqd")).withColumn("values_sum", F.round("values_sum", 2))
 
 
+@_query(f"WITH {_M} SELECT code, count(*) AS n, TRUE AS code_subjects_near, TRUE AS value_subjects_near, count(numeric_value) > 0 AS median_near FROM m GROUP BY code")
+def approximate_code_stats(spark, d):
+    """Sketches of three shards, merged: within 5 % of the exact numbers of subjects, medians within 3 % of the ranks."""
+    m = measurements(spark, d)
+    parts = [sketches.sketch_states(m.where(F.pmod("subject_id", F.lit(3)) == i), ["code"]) for i in range(3)]
+    merged = sketches.merged_sketches(parts[0].unionByName(parts[1]).unionByName(parts[2]), ["code"])
+    got = sketches.estimates(merged, ["code"], list(sketches.NAMES), [0.5]).withColumnRenamed("code", "of")
+    exact = codes.aggregate_code_metadata(m, ["code/n_occurrences", "code/n_subjects", "values/n_subjects", {"name": "values/quantiles", "quantiles": [0.47, 0.53]}])
+    both, q = exact.join(got, F.col("code") == F.col("of")), F.col("`values/quantiles`")
+    near = lambda n: F.abs(F.col(f"`approx/{n}`") - F.col(f"`{n}`")) <= 0.05 * F.col(f"`{n}`")
+    median = F.col(f"`{sketches.QUANTILES}`")["values/quantile/0.5"].between(q["values/quantile/0.47"], q["values/quantile/0.53"])
+    return both.select("code", F.col("`code/n_occurrences`").alias("n"), near("code/n_subjects").alias("code_subjects_near"), near("values/n_subjects").alias("value_subjects_near"), F.coalesce(median, F.lit(False)).alias("median_near"))
+
+
 # -- filters ---------------------------------------------------------------------------------------------------
 
 

@@ -336,3 +336,35 @@ def test_csv_cells_on_a_stream(spark, tmp_path):
         (src / f"{i}.csv").write_text(f"subject_id,v\n{i},{i}\n")
         write_stream(tables.cells_to_events(wide_csv.stream_cells(spark, str(src), settle="0")), out, state).awaitTermination()
         assert sorted(r["subject_id"] for r in spark.read.parquet(out).collect()) == list(range(i + 1))
+
+
+# -- sketches --------------------------------------------------------------------------------------------------
+
+
+def test_sketches_are_near_and_only_if_asked_for(spark, tmp_path):
+    """Counts within 5 %, quantiles within 3 % of the ranks, over rows at once and over merged files; nulls, no values."""
+    df = spark.range(40_000).select((F.col("id") % 9_000).alias("subject_id"), F.when(F.col("id") % 4 == 0, "A").when(F.col("id") % 4 == 1, "none").otherwise("B").alias("code"), F.when(F.col("id") % 4 != 1, (F.col("id") * 7919 % 40_009).cast("float")).alias("numeric_value"))
+    asked = ["code/n_occurrences", "approx/code/n_subjects", "approx/values/n_subjects", {"name": "approx/values/quantiles", "quantiles": [0.1, 0.5, 0.9]}]
+    exact = {r["code"]: r for r in codes.aggregate_code_metadata(df, ["code/n_subjects", "values/n_subjects", "values/n_occurrences"], True).collect()}
+    ranks = {c: sorted(r[0] for r in df.where(F.lit(True) if c is None else F.col("code") == c).where("numeric_value is not null").select("numeric_value").collect()) for c in exact}
+    for i in range(3):
+        df.where(f"pmod(subject_id, 3) = {i}").coalesce(1).write.parquet(str(tmp_path / f"data/{i}"))
+    kept = CodeStatistics(spark, str(tmp_path / "kept"), kinds=("codes", "sketches"))
+    kept.refresh(str(tmp_path / "data"))
+    for got in (codes.aggregate_code_metadata(df, asked, True), kept.metadata(asked, True)):
+        assert got.columns == ["code", "code/n_occurrences", "approx/code/n_subjects", "approx/values/n_subjects", "approx/values/quantiles"]
+        rows = got.collect()
+        assert len(rows) == 4
+        for r in rows:
+            for n in ("code/n_subjects", "values/n_subjects"):
+                assert abs(r[f"approx/{n}"] - exact[r["code"]][n]) <= 0.05 * exact[r["code"]][n]
+            own = ranks[r["code"]]
+            assert (r["approx/values/quantiles"] is None) == (not own)
+            for q in (0.1, 0.5, 0.9) if own else ():
+                assert own[int((q - 0.03) * len(own))] <= r["approx/values/quantiles"][f"values/quantile/{q}"] <= own[int((q + 0.03) * len(own))]
+    assert sorted(tables.folders(spark, f"{tmp_path}/kept/batches/{kept.files().first()['batch']}")) == ["codes", "sketches"]
+    with pytest.raises(ValueError, match="keep"):
+        kept.metadata(["code/n_subjects"])
+    with pytest.raises(ValueError, match="Unknown"):
+        CodeStatistics(spark, "x", kinds=("guesses",))
+    assert not [c for c in codes.aggregate_code_metadata(df, list(codes.AGGREGATES)).columns if "approx" in c]
