@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +19,7 @@ from eventspark.plans.pipeline import Pipeline, parse_stages
 from eventspark.plans.registry import builtin
 from eventspark.sources import layout
 from eventspark.sources.scratch import scratch_root
-from eventspark.sources.tables import ORDER, of_split, read_events, utc, wide_csv_to_events, wide_to_events
+from eventspark.sources.tables import ORDER, codes_of, of_split, read_events, read_shard_map, shard_files, shard_map_json, utc, wide_csv_to_events, wide_to_events
 from eventspark.streaming.events import read_stream, write_stream
 from eventspark.streaming.timeline import time_derived_stream
 
@@ -170,9 +171,13 @@ def derive_mean_std(spark, d):
     return _meta(measurements(spark, d)).select("code", F.round(derived_mean(s, n), 4).alias("mean"), F.round(derived_std(s, q, n), 2).alias("std"))
 
 
-@_query("SELECT a, b, CAST(a AS DOUBLE) / b AS q FROM (VALUES (1.0::DOUBLE, 0.0::DOUBLE), (0.0, 0.0), (-1.0, 0.0), (3.0, 2.0), (NULL, 1.0), (1.0, NULL)) v(a, b)")
+@_query("""WITH v AS (SELECT DISTINCT CAST(CASE WHEN l_linenumber % 2 = 0 AND l_discount > 0 THEN -l_discount ELSE l_discount END AS DOUBLE) AS a, CASE WHEN l_linenumber <> 3 THEN CAST(l_tax AS DOUBLE) END AS b FROM lineitem)
+SELECT a, b, a / b AS q FROM v""")
 def ieee_division(spark, d):
-    df = spark.createDataFrame([(1.0, 0.0), (0.0, 0.0), (-1.0, 0.0), (3.0, 2.0), (None, 1.0), (1.0, None)], "a double, b double")
+    """Discounts by taxes, with zeros, signs and nulls on either side."""
+    li, off = _t(spark, d, "lineitem"), F.col("l_discount").cast("double")
+    a = F.when((F.col("l_linenumber") % 2 == 0) & (off > 0), -off).otherwise(off)
+    df = li.select(a.alias("a"), F.when(F.col("l_linenumber") != 3, F.col("l_tax").cast("double")).alias("b")).distinct()
     return df.select("a", "b", fdiv(F.col("a"), F.col("b")).alias("q"))
 
 
@@ -320,6 +325,15 @@ def age_days(spark, d):
     return timeline.age(_born(spark, d), {"DOB_code": "MEDS_BIRTH", "age_unit": "d"}).withColumn("numeric_value", F.round(F.col("numeric_value").cast("double"), 2))
 
 
+_LENGTHS = {"seconds": "1", "min": "60", "h": "3600", "weeks": "604800", "mo": "86400 * 30.436875"}
+
+
+@_query(" UNION ALL ".join(f"({_age_sql(n).replace('AGE', f'AGE//{u}').replace(', 2) AS numeric', ', 0) AS numeric')})" for u, n in _LENGTHS.items()))
+def ages_in_units(spark, d):
+    out = [timeline.age(_born(spark, d), {"DOB_code": "MEDS_BIRTH", "age_unit": u, "age_code": f"AGE//{u}"}) for u in _LENGTHS]
+    return reduce(DataFrame.unionByName, out).withColumn("numeric_value", F.round(F.col("numeric_value").cast("double"), 0))
+
+
 @_query("SELECT DISTINCT user_id AS subject_id, ts AS time, CASE WHEN hour(ts) < 6 THEN 'TIME_OF_DAY//[00,06)' WHEN hour(ts) < 12 THEN 'TIME_OF_DAY//[06,12)' WHEN hour(ts) < 18 THEN 'TIME_OF_DAY//[12,18)' ELSE 'TIME_OF_DAY//[18,24)' END AS code FROM events WHERE ts IS NOT NULL")
 def time_of_day(spark, d):
     df = _t(spark, d, "events").select(F.col("user_id").alias("subject_id"), F.col("ts").alias("time"), F.col("event_type").alias("code"), F.col("value").alias("numeric_value"))
@@ -381,6 +395,11 @@ def timeline_on_stream(spark, d):
     return got.withColumn("numeric_value", F.round(F.col("numeric_value").cast("double"), 3))
 
 
+@_query(f"WITH {_M} SELECT DISTINCT code FROM m")
+def distinct_codes(spark, d):
+    return codes_of(measurements(spark, d)).select("code")
+
+
 # -- codes and values ------------------------------------------------------------------------------------------
 
 
@@ -467,6 +486,25 @@ def reshard_sizes(spark, d):
     return shards.reshard_to_split(df, splits(spark, d), 100).groupBy("split", "shard").agg(F.count_distinct("subject_id").alias("subjects"))
 
 
+@_query(SQL["reshard_sizes"])
+def shard_map_round_trip(spark, d):
+    """Shards as JSON text and read again."""
+    placed = shards.shard_subjects(measurements(spark, d), splits(spark, d), n_subjects_per_shard=100)
+    return read_shard_map(spark, shard_map_json(placed)).groupBy("split", "shard").agg(F.count_distinct("subject_id").alias("subjects"))
+
+
+@_query(f"WITH {_M} SELECT code, count(*) AS n FROM m WHERE subject_id % 10 < 8 GROUP BY code")
+def train_shards_only(spark, d):
+    """Shards found by name below a folder, of which those of the train split are read."""
+    root = f"{scratch_root(spark)}/shards-{uuid.uuid4().hex}"
+    placed = measurements(spark, d).join(splits(spark, d), "subject_id").withColumn("shard", F.pmod("subject_id", F.lit(3)))
+    placed.repartition("split", "shard").write.partitionBy("split", "shard").parquet(f"{root}/all")
+    for split in ("train", "tuning", "held_out"):
+        spark.read.parquet(f"{root}/all/split={split}").drop("shard").write.parquet(f"{root}/data/{split}")
+    found = shard_files(spark, f"{root}/data", f"{root}/out", train_only=True)
+    return read_events(spark, [at for at, _ in found.values()]).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+
+
 @_query("SELECT s_suppkey AS subject_id, 's_name' AS code, CAST(NULL AS DOUBLE) AS numeric_value FROM supplier UNION ALL SELECT s_suppkey, 's_nationkey', CAST(s_nationkey AS DOUBLE) FROM supplier UNION ALL SELECT s_suppkey, 's_acctbal', round(CAST(CAST(s_acctbal AS FLOAT) AS DOUBLE), 2) FROM supplier")
 def csv_wide_to_long(spark, d):
     out = wide_to_events(_t(spark, d, "supplier").withColumnRenamed("s_suppkey", "subject_id"))
