@@ -40,7 +40,8 @@ _PUNCT = re.compile(r"[.,;:!?…\"'»«”“()。、，！？；：]")
 
 
 def _named(name: str) -> int:
-    """How surely a class, id or role value marks furniture: 0 not, 1 by a compound name, 2 by its whole or as comments."""
+    """How surely a class, id or role value marks furniture: 0 not, 1 by a part of a compound name, 2 by all of it
+    or as comments."""
     words = [x.lower() for x in _TOKEN.findall(name)]
     if not words or LAYOUT & {*words}:
         return 0
@@ -51,7 +52,7 @@ def _named(name: str) -> int:
     hit = last in FURNITURE and not about or first in FURNITURE and {*words[1:]} <= BOXES | FURNITURE | LOOSE | BODY_WORDS
     if not hit and not BODY_WORDS & {*words}:
         hit = last in LOOSE and not about or first in LOOSE and {*words[1:]} <= BOXES | FURNITURE | LOOSE
-    return hit and (2 if COMMENTS & {first, last} else 1)
+    return hit and (2 if COMMENTS & {first, last} or {*words} <= FURNITURE | LOOSE else 1)
 
 
 def _marks(tag: str, attrs: list[tuple[str, str | None]]) -> tuple[int, bool, bool]:
