@@ -91,22 +91,22 @@ class CodeStatistics:
         return Refresh(fresh, gone, len(live))
 
     def _write(self, files: list[str], batch: str, keep: Callable[[DataFrame], DataFrame] | None) -> None:
-        rows = tables.utc(self.spark.read.parquet(*files).withColumn("__file", tables.file_key()))
+        rows = tables.utc(self.spark.read.parquet(*files).withColumn("__file", F.col("_metadata.file_path")))
         rows = rows if keep is None else keep(rows)
         if "numeric_value" not in rows.columns:
             rows = rows.withColumn("numeric_value", F.lit(None).cast("float"))
         by = ["__file", *self.keys]
-        every = list(codes.MERGES)
+        every, keyed = list(codes.MERGES), lambda parts: parts.withColumn("__file", tables.file_key(F.col("__file")))
         out = f"{self.path}/batches/{batch}"
         if "subjects" in self.kinds:
-            codes.partial_states(rows, [*by, "subject_id"], every).write.parquet(f"{out}/subjects")
+            keyed(codes.partial_states(rows, [*by, "subject_id"], every)).write.parquet(f"{out}/subjects")
             codes.merged_states(self.spark.read.parquet(f"{out}/subjects"), by, every).write.parquet(f"{out}/codes")
         else:
-            codes.partial_states(rows, by, every).write.parquet(f"{out}/codes")
+            keyed(codes.partial_states(rows, by, every)).write.parquet(f"{out}/codes")
         if "values" in self.kinds:
-            codes.value_counts(rows, by).write.parquet(f"{out}/values")
+            keyed(codes.value_counts(rows, by)).write.parquet(f"{out}/values")
         if "sketches" in self.kinds:
-            sketches.sketch_states(rows, by).write.parquet(f"{out}/sketches")
+            keyed(sketches.sketch_states(rows, by)).write.parquet(f"{out}/sketches")
 
     # -- results ---------------------------------------------------------------------------------------------
 

@@ -41,12 +41,22 @@ def with_order(df: DataFrame, roots: list[str], most: int = 100_000) -> DataFram
     (40 bits). Up to ``most`` files their places are sent to all tasks; of more, each row carries its file's path."""
     spark = df.sparkSession
     files = sorted({k for root in roots for k in file_keys(spark, root)})
+    path, row = F.col("_metadata.file_path"), F.col("_metadata.row_index")
     if len(files) > most:
-        return df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("i")).alias(ORDER))
-    places = spark.createDataFrame([(f, i << ROW_BITS) for i, f in enumerate(files)], "__file string, __place long")
-    own = df.select("*", file_key().alias("__of"), F.col("_metadata.row_index").alias("__row"))
-    joined = own.join(F.broadcast(places), F.col("__of") == F.col("__file"))
-    return joined.withColumn(ORDER, F.col("__place").bitwiseOR(F.col("__row"))).drop("__of", "__row", "__file", "__place")
+        return df.select("*", F.struct(path.alias("f"), row.alias("i")).alias(ORDER))
+    at = {k: i << ROW_BITS for i, k in enumerate(files)}
+    # Local paths are written with one slash or three; comparing both is cheaper than bringing each row's to one form.
+    forms = {form for root in roots for f in _files(spark, root) for form in _forms(str(f.getPath().toUri().toString()))}
+    places = spark.createDataFrame([(f, at[re.sub(_SCHEME, "", f)]) for f in sorted(forms)], "__file string, __place long")
+    own = df.select("*", path.alias("__of"), row.alias("__row"))
+    joined = own.join(F.broadcast(places), F.col("__of") == F.col("__file"), "left")
+    place = F.coalesce("__place", F.raise_error(F.concat(F.lit("A row of a file that was not listed: "), "__of")).cast("long"))
+    return joined.withColumn(ORDER, place.bitwiseOR(F.col("__row"))).drop("__of", "__row", "__file", "__place")
+
+
+def _forms(uri: str) -> set[str]:
+    scheme, _, rest = uri.partition(":")
+    return {uri, f"{scheme}:/{rest.lstrip('/')}", f"{scheme}:///{rest.lstrip('/')}"} if not rest.startswith("//") or rest.startswith("///") else {uri}
 
 
 def utc(df: DataFrame) -> DataFrame:
@@ -95,10 +105,10 @@ def file_keys(spark: SparkSession, root: str) -> dict[str, tuple[str, int, int]]
     return {re.sub(_SCHEME, "", str(f.getPath().toUri().toString())): (str(f.getPath()), int(f.getLen()), int(f.getModificationTime())) for f in _files(spark, root)}
 
 
-def file_key() -> Column:
-    """The file of a scanned row: its path without the scheme and the slashes after it, which readers write in several
+def file_key(path: Column) -> Column:
+    """The file of a ``_metadata.file_path``: the path without the scheme and the slashes after it, which readers write in several
     ways."""
-    return F.regexp_replace("_metadata.file_path", _SCHEME, "")
+    return F.regexp_replace(path, _SCHEME, "")
 
 
 def folders(spark: SparkSession, root: str) -> list[str]:
