@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from eventspark.functions.blocks import BLOCK, by_block
 from eventspark.functions.units import time_unit
 from eventspark.sources.tables import ORDER
 
@@ -20,8 +23,8 @@ DEFAULTS: dict[str, Any] = {
 }
 
 
-def _subject() -> WindowSpec:
-    return Window.partitionBy("subject_id")
+def _subject(*more: str) -> WindowSpec:
+    return Window.partitionBy("subject_id", *more)
 
 
 @dataclass
@@ -56,11 +59,10 @@ def birth_rows(cfg: dict[str, Any]) -> Column:
     return F.col("code").rlike(pattern) if part is None else F.col("code").contains(part)
 
 
-def births_of(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
-    """(subject_id, __dob, __nth) of each birth row, numbered within the subject."""
-    born = birth_rows(cfg)
-    nth = F.row_number().over(_subject().orderBy(F.col(ORDER if ORDER in df.columns else "time")))
-    return df.where(born).select("subject_id", F.col("time").alias("__dob"), nth.alias("__nth"))
+def births_of(df: DataFrame, born: Column, *more: str) -> DataFrame:
+    """(subject_id, ``more``, __dob, __nth) of each birth row, numbered within the subject."""
+    nth = F.row_number().over(_subject(*more).orderBy(F.col(ORDER if ORDER in df.columns else "time")))
+    return df.where(born).select("subject_id", *more, F.col("time").alias("__dob"), nth.alias("__nth"))
 
 
 def age_parts(cfg: dict[str, Any]) -> list[Part]:
@@ -119,7 +121,7 @@ def _neighbours(events: DataFrame) -> DataFrame:
 def age(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
     """Age at each event after birth; one row for each birth row of the subject."""
     (part,) = age_parts(cfg)
-    out = unique_events(df).join(births_of(df, cfg), "subject_id").withColumns({"code": part.code, "numeric_value": part.value})
+    out = unique_events(df).join(births_of(df, birth_rows(cfg)), "subject_id").withColumns({"code": part.code, "numeric_value": part.value})
     return out.drop("__dob", "__nth").where(F.col("numeric_value") > 0)
 
 
@@ -163,31 +165,48 @@ def add_time_derived_measurements(df: DataFrame, features: dict[str, Any]) -> Da
     One window by subject and time marks the first row of each event and knows the event before; all features' rows
     are one array, exploded beside that row. So the input is read once, and once more for births if ages are asked
     for. Births are those of the input, not rows that another feature makes."""
-    if unknown := [x for x in features if x not in _PARTS]:
+    return _derived(df, [features])
+
+
+def add_time_derived_measurements_in_blocks(df: DataFrame, blocks: list[dict[str, Any]]) -> DataFrame:
+    """Each block's rows by themselves, with the block's own features, in one plan: the windows go by subject and
+    block."""
+    return _derived(df, blocks, BLOCK)
+
+
+def _derived(df: DataFrame, blocks: list[dict[str, Any]], *more: str) -> DataFrame:
+    """Windows and births by subject and ``more``, which is the block's column or nothing (then all rows are of the only
+    block)."""
+    if unknown := [x for features in blocks for x in features if x not in _PARTS]:
         raise ValueError(f"Unknown time-derived measurement: {', '.join(unknown)}")
-    parts = [(i, p) for i, (name, cfg) in enumerate(features.items()) if cfg is not None for p in _PARTS[name](cfg)]
+    parts = [(n, i, name, p) for n, features in enumerate(blocks) for i, (name, cfg) in enumerate(features.items()) if cfg is not None for p in _PARTS[name](cfg)]
     if not parts:
         return df
-    carried, births = ORDER in df.columns, births_of(df, features["age"]) if features.get("age") is not None else None
-    by_time = _subject().orderBy("time", *[ORDER] * carried)
-    rows = df.withColumns({"__prev": F.lag("time").over(by_time), "__end": F.max("time").over(_subject())})
+    carried, births = ORDER in df.columns, None
+    if any(features.get("age") is not None for features in blocks):
+        born = [birth_rows(features["age"]) if features.get("age") is not None else F.lit(False) for features in blocks]
+        births = births_of(df, by_block(born, F.lit(False)) if more else born[0], *more)
+    by_time = _subject(*more).orderBy("time", *[ORDER] * carried)
+    rows = df.withColumns({"__prev": F.lag("time").over(by_time), "__end": F.max("time").over(_subject(*more))})
     rows = rows.withColumn("__first", F.col("time").isNotNull() & ~F.col("time").eqNullSafe(F.col("__prev")))
     if births is not None:
-        rows = rows.join(births.withColumnRenamed("subject_id", "__born"), F.col("subject_id") == F.col("__born"), "left").drop("__born")
+        keys = {k: f"__born_{k}" for k in ("subject_id", *more)}
+        on = reduce(and_, [F.col(k) == F.col(b) for k, b in keys.items()])
+        rows = rows.join(births.withColumnsRenamed(keys), on, "left").drop(*keys.values())
     once = F.coalesce(F.col("__nth") == 1, F.lit(True)) if births is not None else F.lit(True)
 
     kinds = {f.name: f.dataType for f in df.schema}
     kind = kinds.get("numeric_value", "float")
-    has_value = "numeric_value" in kinds or any(p.value is not None for _, p in parts)
-    ages = {id(p) for i, p in parts if list(features)[i] == "age"}
+    has_value = "numeric_value" in kinds or any(p.value is not None for *_, p in parts)
 
     def made(own: Column, b: int, k: int, code: Column, value: Column) -> Column:
         return F.struct(own.alias("own"), F.lit(b).alias("b"), F.lit(k).alias("k"), code.cast(kinds["code"]).alias("code"), value.cast(kind).alias("value"))
 
     none = F.lit(None).cast("float")
     every = [F.when(once, made(F.lit(True), 0, 0, F.col("code"), F.col("numeric_value") if "numeric_value" in kinds else none))]
-    for i, p in parts:
-        test = F.col("__first") & p.when & (F.lit(True) if id(p) in ages else once)
+    for n, i, name, p in parts:
+        test = F.col("__first") & p.when & (F.lit(True) if name == "age" else once)
+        test = (F.col(BLOCK) == n) & test if more else test
         every.append(F.when(test, made(F.lit(False), i + 1 if p.last else -(i + 1), p.rank, p.code, none if p.value is None else p.value)))
     rows = rows.withColumn("__x", F.explode(F.array_compact(F.array(*every))))
 

@@ -154,7 +154,8 @@ class Pipeline:
 
         def over(df: DataFrame | None) -> DataFrame:
             if blocks is not None:
-                return match_revise(df, blocks, lambda d, s: self._call(stage, with_file_bins(s), d, rows), settings, mode, stage.columns)
+                together = (lambda d, each: stage.bind_blocks([with_file_bins(s) for s in each], self._given(d, rows))) if stage.together else None
+                return match_revise(df, blocks, lambda d, s: self._call(stage, with_file_bins(s), d, rows), settings, mode, stage.columns, together)
             return self._call(stage, settings, df, rows)
 
         if stage.kind == "fit":
@@ -167,8 +168,12 @@ class Pipeline:
         return replace(rows, df=over(rows.df), train=None if rows.train is None else over(rows.train))
 
     def _call(self, stage: Stage, settings: dict[str, Any], df: DataFrame | None, rows: Rows) -> DataFrame:
+        return stage.bind(settings, self._given(df, rows))
+
+    def _given(self, df: DataFrame | None, rows: Rows) -> dict[str, Any]:
+        """What a plan has to give to a stage."""
         spark = df.sparkSession if df is not None else SparkSession.active()
-        return stage.bind(settings, {"df": df, "code_metadata": rows.meta, "splits": rows.splits, "code_modifiers": self.code_modifiers, "float32": self.float32, "spark": spark})
+        return {"df": df, "code_metadata": rows.meta, "splits": rows.splits, "code_modifiers": self.code_modifiers, "float32": self.float32, "spark": spark}
 
     def apply(self, df: DataFrame | None, meta: DataFrame | None = None, splits: DataFrame | None = None, train: DataFrame | None = None) -> tuple[DataFrame, DataFrame | None]:
         """(rows, code metadata) after all steps."""

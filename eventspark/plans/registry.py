@@ -32,6 +32,7 @@ class Stage:
     reduce: Callable[..., DataFrame] | None = None  # of a fit: turns the mapped rows into code metadata
     needs: tuple[str, ...] = ()  # columns of the mapped rows that ``reduce`` reads
     columns: Callable[..., dict] | None = None  # of a map that only changes columns: (df, settings) -> columns
+    together: Callable[..., DataFrame] | None = None  # of a map: (df with block numbers, settings of each block, ...)
     read: Callable[..., DataFrame] | None = None  # (spark, input folder) -> the rows it gets
     write: Callable[..., None] | None = None  # (its rows, folder)
     codes: Callable[[DataFrame], DataFrame] | None = None  # of a source: rows -> code metadata
@@ -48,19 +49,28 @@ class Stage:
 
     def bind(self, settings: dict[str, Any], given: dict[str, Any]) -> DataFrame:
         """Call with the settings over the defaults (shallow) and what the plan has to give."""
-        cfg = {**self.defaults, **settings}
-        params = inspect.signature(self.fn).parameters
         if self.reduce is not None:
-            return self._reduced(cfg, given)
-        own = {k: v for k, v in given.items() if k in params}
+            return self._reduced({**self.defaults, **settings}, given)
+        cfg = self._checked(settings)
+        own = {k: v for k, v in given.items() if k in inspect.signature(self.fn).parameters}
+        return _applied(self.fn(**own, **({self.whole: cfg} if self.whole else cfg)), given)
+
+    def bind_blocks(self, blocks: list[dict[str, Any]], given: dict[str, Any]) -> DataFrame:
+        """Call ``together`` with the settings of all blocks, each over the defaults."""
+        own = {k: v for k, v in given.items() if k in inspect.signature(self.together).parameters}
+        return self.together(blocks=[self._checked(b) for b in blocks], **own)
+
+    def _checked(self, settings: dict[str, Any]) -> dict[str, Any]:
+        """The settings over the defaults, refused if the stage doesn't know them."""
+        cfg = {**self.defaults, **settings}
         if self.whole:
-            return _applied(self.fn(**own, **{self.whole: cfg}), given)
+            return cfg
+        params = inspect.signature(self.fn).parameters
         if "do_drop_numeric_value" in cfg:
             cfg.setdefault("drop_numeric_value", cfg.pop("do_drop_numeric_value"))
         if unknown := [k for k in cfg if k not in params]:
             raise ValueError(f"Stage '{self.name}' has no setting {unknown}. Known: {[k for k in params if k not in BOUND]}")
-        return _applied(self.fn(**own, **cfg), given)
-
+        return cfg
 
     def _reduced(self, cfg: dict[str, Any], given: dict[str, Any]) -> DataFrame:
         """Mapped rows, checked for what the reduction reads, then reduced. Each function gets the settings that it
@@ -88,7 +98,7 @@ def identity(df: DataFrame) -> DataFrame:
 class Registry(dict[str, Stage]):
     def add(self, fn: Callable[..., Any] | None, name: str | None = None, kind: str | None = None, defaults: dict[str, Any] | None = None, whole: str | None = None, is_metadata: bool | None = None, reduce: Callable[..., DataFrame] | None = None, needs: tuple[str, ...] = (), **more: Any) -> Stage:
         """``reduce`` makes a user's own fit: ``fn`` maps rows to partial rows (by code, say), which ``reduce`` turns
-        into code metadata. ``more``: ``columns``, ``read``, ``write`` or ``codes`` of ``Stage``."""
+        into code metadata. ``more``: ``columns``, ``together``, ``read``, ``write`` or ``codes`` of ``Stage``."""
         fn = fn or identity
         name = name or fn.__name__
         if reduce is not None and kind not in (None, "fit"):
@@ -156,17 +166,17 @@ def builtin() -> Registry:
     from eventspark.sources import tables
 
     r = Registry()
-    r.add(filters.filter_subjects)
-    r.add(filters.filter_measurements)
-    r.add(filters.drop_regex)
-    r.add(timeline.add_time_derived_measurements, defaults=timeline.DEFAULTS, whole="features")
+    r.add(filters.filter_subjects, together=filters.filter_subjects_in_blocks)
+    r.add(filters.filter_measurements, together=filters.filter_measurements_in_blocks)
+    r.add(filters.drop_regex, together=filters.drop_regex_in_blocks)
+    r.add(timeline.add_time_derived_measurements, defaults=timeline.DEFAULTS, whole="features", together=timeline.add_time_derived_measurements_in_blocks)
     r.add(codes.aggregate_code_metadata, kind="fit")
     r.add(codes.fit_vocabulary_indices, kind="meta", defaults={"ordering_method": "lexicographic"})
-    r.add(values.normalization)
-    r.add(values.occlude_outliers, defaults={"stddev_cutoff": 4.5})
-    r.add(values.bin_numeric_values, defaults={"bin_with_columns": ["values/quantiles"], "code_with_bin_name": "{code}//value_[{left},{right})"})
+    r.add(values.normalization, together=values.normalization_in_blocks)
+    r.add(values.occlude_outliers, defaults={"stddev_cutoff": 4.5}, together=values.occlude_outliers_in_blocks)
+    r.add(values.bin_numeric_values, defaults={"bin_with_columns": ["values/quantiles"], "code_with_bin_name": "{code}//value_[{left},{right})"}, together=values.bin_numeric_values_in_blocks)
     r.add(values.extract_values, whole="columns", columns=values.extracted)
-    r.add(values.reorder_measurements)
+    r.add(values.reorder_measurements, together=values.reorder_measurements_in_blocks)
     r.add(shards.reshard_to_split, kind="main", defaults={"n_subjects_per_shard": 50_000})
     r.add(tables.wide_csv_to_events, kind="main", codes=tables.codes_of)
     return r

@@ -478,6 +478,44 @@ def multi_match_revise(spark, d):
     return _revised(spark, d, "multi_match_and_revise")
 
 
+_OF_ORDERS, _OF_ITEMS = {"_matcher": {"code": {"regex": "^ORDER//"}}}, {"_matcher": {"code": {"regex": "^ITEM//"}}}
+
+
+def _blocks(spark, d, stage, blocks, meta=None, **shared):
+    from eventspark.plans.pipeline import Pipeline, parse_stages
+
+    return Pipeline(parse_stages([{stage: {**shared, "_match_revise": blocks}}])).apply(measurements(spark, d), meta)[0]
+
+
+@_query(f"""WITH {_M}, l AS (SELECT code AS c, list_sort(list(numeric_value)) AS v FROM m WHERE code LIKE 'ORDER//%' AND numeric_value IS NOT NULL GROUP BY code),
+r AS (SELECT subject_id, numeric_value, code, CASE WHEN code = 'ACCTBAL' THEN [0.0::DOUBLE, 5000.5] WHEN v IS NOT NULL THEN [v[CAST(floor(0.5 * (len(v) - 1) + 0.5) AS INT) + 1]] END AS a FROM m LEFT JOIN l ON code = c),
+x AS (SELECT CASE WHEN code = 'ACCTBAL' THEN {_BIN} WHEN a IS NOT NULL AND numeric_value IS NOT NULL THEN code || '#' || len(list_filter(a, lambda x: x <= numeric_value)) ELSE code END AS code, numeric_value FROM r)
+SELECT code, count(*) AS n, count(numeric_value) AS n_values FROM (SELECT code, CASE WHEN NOT regexp_matches(code, '#') THEN numeric_value END AS numeric_value FROM x) GROUP BY code""")
+def bins_in_blocks(spark, d):
+    """Two blocks with bins of their own; values go in one of them."""
+    meta = codes.aggregate_code_metadata(measurements(spark, d), [{"name": "values/quantiles", "quantiles": [0.5]}])
+    blocks = [{"_matcher": {"code": "ACCTBAL"}, "bin_with_columns": [], "custom_bins": {"ACCTBAL": [0, 5000.5]}}, {**_OF_ORDERS, "code_with_bin_name": "{code}#{bin}", "drop_numeric_value": True}]
+    return _blocks(spark, d, "bin_numeric_values", blocks, meta).groupBy("code").agg(F.count(F.lit(1)).alias("n"), F.count("numeric_value").alias("n_values"))
+
+
+@_query(f"""WITH {_M}, x AS (SELECT DISTINCT subject_id, time, code LIKE 'ORDER//%' AS o FROM m WHERE code LIKE 'ORDER//%' OR code LIKE 'ITEM//%'),
+g AS (SELECT *, epoch_us(time) - lag(epoch_us(time)) OVER (PARTITION BY subject_id, o ORDER BY time) AS us FROM x WHERE time IS NOT NULL)
+SELECT subject_id, time, code, numeric_value FROM m UNION ALL SELECT subject_id, time, CASE WHEN o THEN 'ORDERED AFTER' ELSE 'SHIPPED AFTER' END, round(us / (1e6 * CASE WHEN o THEN 86400 ELSE 3600 END), 2) FROM g WHERE us IS NOT NULL""")
+def tokens_in_blocks(spark, d):
+    """Time between a subject's orders in days, between its shipped items in hours."""
+    of = lambda code, unit: {"timeline_tokens": {"time_delta_code": code, "time_unit": unit, "timeline_start_code": None, "timeline_end_code": None}}
+    blocks = [{**_OF_ORDERS, **of("ORDERED AFTER", "days")}, {**_OF_ITEMS, **of("SHIPPED AFTER", "hours")}]
+    out = _blocks(spark, d, "add_time_derived_measurements", blocks, age=None, time_of_day=None)
+    return out.withColumn("numeric_value", F.when(F.col("code").endswith("AFTER"), F.round("numeric_value", 2)).otherwise(F.col("numeric_value")))
+
+
+@_query(f"""WITH {_M}, n AS (SELECT subject_id, count(time) FILTER (WHERE code LIKE 'ORDER//%') AS o, count(DISTINCT time) FILTER (WHERE code LIKE 'ITEM//%') AS i FROM m GROUP BY subject_id)
+SELECT subject_id, time, code, numeric_value FROM m JOIN n USING (subject_id) WHERE CASE WHEN code LIKE 'ORDER//%' THEN o >= 12 WHEN code LIKE 'ITEM//%' THEN i >= 45 ELSE TRUE END""")
+def filter_subjects_in_blocks(spark, d):
+    """Orders of subjects with 12 orders or more, items of those with 45 shipping days or more, all other rows."""
+    return _blocks(spark, d, "filter_subjects", [{**_OF_ORDERS, "min_measurements_per_subject": 12}, {**_OF_ITEMS, "min_events_per_subject": 45}])
+
+
 @_query("""WITH s AS (SELECT CASE WHEN c_custkey % 10 < 8 THEN 'train' WHEN c_custkey % 10 = 8 THEN 'tuning' ELSE 'held_out' END AS split FROM customer),
 c AS (SELECT split, count(*) AS n FROM s GROUP BY split), k AS (SELECT *, CAST(ceil(n / 100.0) AS BIGINT) AS k FROM c)
 SELECT split, CAST(i AS INT) AS shard, n // k + CASE WHEN i < n % k THEN 1 ELSE 0 END AS subjects FROM (SELECT *, unnest(range(k)) AS i FROM k)""")

@@ -279,7 +279,7 @@ def test_queries_agree_with_duckdb(spark):
     def text(v):
         return "null" if v is None else f"{v:.6g}" if isinstance(v, float) else str(v)
 
-    for name in ("agg_quantiles", "agg_summary_row", "filter_subjects_events", "timeline_delta", "normalize", "bin_quantiles", "multi_match_revise", "match_revise", "order_at_sink", "order_of_time_derived_rows", "order_of_reordered_rows", "scan_filtered", "expr_literal", "agg_quantiles_with_summary", "bin_with_modifiers", "reshard_rows", "own_map_reduce", "add_new_events", "vocab_modifiers", "flagship_pipeline"):
+    for name in ("agg_quantiles", "agg_summary_row", "filter_subjects_events", "timeline_delta", "normalize", "bin_quantiles", "multi_match_revise", "match_revise", "order_at_sink", "order_of_time_derived_rows", "order_of_reordered_rows", "scan_filtered", "expr_literal", "agg_quantiles_with_summary", "bin_with_modifiers", "reshard_rows", "own_map_reduce", "add_new_events", "vocab_modifiers", "flagship_pipeline", "bins_in_blocks", "tokens_in_blocks", "filter_subjects_in_blocks"):
         df = catalogue.Q[name](spark, "/root/testdata/sf0.001")
         cols = sorted(df.columns)
         want = con.execute(catalogue.SQL[name])
