@@ -41,7 +41,7 @@ AGGREGATES: dict[str, Callable[[], Column]] = {
 MERGES: dict[str, Callable[[Column], Column]] = {**{n: F.sum for n in ("code/n_occurrences", "values/n_occurrences", "values/n_ints", "values/sum", "values/sum_sqd")}, "values/min": F.min, "values/max": F.max}
 SUBJECTS: dict[str, Callable[[], Column]] = {
     "code/n_subjects": lambda: F.count("subject_id"),
-    "values/n_subjects": lambda: F.count_if((F.col("`values/n_occurrences`") > 0) & F.col("subject_id").isNotNull()),
+    "values/n_subjects": lambda: F.count(F.when(F.col("`values/n_occurrences`") > 0, F.col("subject_id"))),
 }
 
 
@@ -82,7 +82,7 @@ def aggregate_code_metadata(df: DataFrame, aggregations: list, do_summarize_over
         raise ValueError(f"code_modifiers must be a list of column names, not {code_modifiers!r}")
     specs = parse_aggregations(aggregations)
     keys = ["code", *modifiers]
-    return summarized(lambda by: _aggregate(df, by, specs), keys, df.schema, do_summarize_over_all_codes, float32)
+    return summarized(lambda by: _aggregate(df, by, specs, keys), keys, df.schema, do_summarize_over_all_codes, float32)
 
 
 def summarized(of: Callable[[list[str]], DataFrame], keys: list[str], schema: StructType, with_total: bool, float32: bool) -> DataFrame:
@@ -96,14 +96,29 @@ def summarized(of: Callable[[list[str]], DataFrame], keys: list[str], schema: St
     return out
 
 
-def _aggregate(df: DataFrame, keys: list[str], specs: list[tuple[str, dict]]) -> DataFrame:
+def _aggregate(df: DataFrame, by: list[str], specs: list[tuple[str, dict]], keys: list[str]) -> DataFrame:
+    """Aggregates by ``by``, which is ``keys`` or nothing. A row over all codes comes from the same partial results by
+    ``keys``, so that it costs no further scan: Spark reuses their shuffle."""
     plain = [n for n, _ in specs if n in AGGREGATES] or ["code/n_occurrences"]
-    if any(n in SUBJECTS for n in plain) and all(n in SUBJECTS or n in MERGES for n in plain):
+    total = by != keys
+    if any(n not in SUBJECTS and n not in MERGES for n in plain):  # a user's own
+        out = df.groupBy(*by).agg(*[AGGREGATES[n]().alias(n) for n in plain])
+    elif any(n in SUBJECTS for n in plain):
         # By subject first: distinct counts beside plain aggregates would multiply the rows before they are shuffled.
-        out = merged_states(partial_states(df, [*keys, "subject_id"], plain), keys, plain)
+        parts = partial_states(df, [*keys, "subject_id"], plain)
+        if total:  # a subject's codes become one part
+            parts = merged_states(parts, [*by, "subject_id"], [c for c in parts.columns if c in MERGES])
+        out = merged_states(parts, by, plain)
+    elif total:
+        out = merged_states(partial_states(df, keys, plain), by, plain)
     else:
-        out = df.groupBy(*keys).agg(*[AGGREGATES[n]().alias(n) for n in plain])
-    return with_others(out, keys, specs, lambda: value_counts(df, keys), lambda: sketches.sketch_states(df, keys))
+        out = df.groupBy(*by).agg(*[AGGREGATES[n]().alias(n) for n in plain])
+
+    def counts() -> DataFrame:
+        counted = value_counts(df, keys)
+        return counted.groupBy(*by, "__v").agg(F.sum("__c").alias("__c")) if total else counted
+
+    return with_others(out, by, specs, counts, lambda: sketches.sketch_states(df, by))
 
 
 def with_others(out: DataFrame, keys: list[str], specs: list[tuple[str, dict]], counts: Callable[[], DataFrame], sketched: Callable[[], DataFrame]) -> DataFrame:

@@ -210,7 +210,7 @@ def _derived(df: DataFrame, blocks: list[dict[str, Any]], *more: str) -> DataFra
         every.append(F.when(test, made(F.lit(False), i + 1 if p.last else -(i + 1), p.rank, p.code, none if p.value is None else p.value)))
     rows = rows.withColumn("__x", F.explode(F.array_compact(F.array(*every))))
 
-    out = {"subject_id": F.col("subject_id"), "time": F.col("time"), "code": F.col("__x.code"), "numeric_value": F.col("__x.value")}
+    out = {"subject_id": F.col("subject_id"), "time": F.col("time"), "code": F.col("__x.code"), "numeric_value": F.col("__x.value"), **{k: F.col(k) for k in more}}
     names = [*df.columns, *["numeric_value"] * (has_value and "numeric_value" not in kinds)]
     for name in names:
         out.setdefault(name, F.when(F.col("__x.own"), F.col(f"`{name}`")))

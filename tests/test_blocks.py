@@ -117,3 +117,18 @@ def test_block_edges(spark):
         run(df, {"occlude_outliers": {"_match_revise": [{"_matcher": HEART}]}})
     with pytest.raises(ValueError, match="new columns"):
         run(df.drop("numeric_value"), {"add_time_derived_measurements": {"age": {"DOB_code": "MEDS_BIRTH"}, "_match_revise": [{"_matcher": {"code": {"regex": "."}}}]}})
+
+
+def test_summary_row_costs_no_scan(spark, tmp_path):
+    """The row over all codes comes from the partial results by code."""
+    events(spark).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    for names in (["code/n_occurrences", "values/sum", "values/min"], ["code/n_subjects", "values/n_subjects", "values/n_ints"]):
+        out = aggregate_code_metadata(df, names, do_summarize_over_all_codes=True)
+        rows = {r["code"]: r for r in out.collect()}
+        final = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        assert final.count("FileScan") == 1 and "ReusedExchange" in final, final
+        whole = aggregate_code_metadata(df.withColumn("code", F.lit("all")), names).first()
+        assert [rows[None][n] for n in names] == [pytest.approx(whole[n]) for n in names]
+        empty = aggregate_code_metadata(df.limit(0), names, do_summarize_over_all_codes=True).collect()
+        assert len(empty) == 1 and empty[0][names[0]] == 0
