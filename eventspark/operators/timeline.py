@@ -47,8 +47,12 @@ def unique_events(df: DataFrame) -> DataFrame:
     return timed.select("subject_id", "time").distinct()
 
 
+def _between(a: str, b: str, seconds: float) -> Column:
+    return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6 * seconds)
+
+
 def _micros(a: str, b: str, seconds: float) -> Column:
-    return ((F.unix_micros(a) - F.unix_micros(b)) / F.lit(1e6 * seconds)).cast("float")
+    return _between(a, b, seconds).cast("float")
 
 
 def birth_rows(cfg: dict[str, Any]) -> Column:
@@ -118,11 +122,17 @@ def _neighbours(events: DataFrame) -> DataFrame:
     return events.withColumns({"__prev": F.lag("time").over(_subject().orderBy("time")), "__end": F.max("time").over(_subject())})
 
 
+def signed_ages(events: DataFrame, births: DataFrame, *cfgs: dict[str, Any]) -> DataFrame:
+    """Age at each of the distinct ``events``, below 0 before birth, as a double; one row for each of the subject's
+    ``births`` (``births_of``) and each of ``cfgs``."""
+    each = [F.struct(F.lit(c.get("age_code", "AGE")).alias("code"), _between("time", "__dob", time_unit(c.get("age_unit", "y"))[1]).alias("numeric_value")) for c in cfgs]
+    return events.join(births, "subject_id").select(*events.columns, F.inline(F.array(*each)))
+
+
 def age(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
-    """Age at each event after birth; one row for each birth row of the subject."""
-    (part,) = age_parts(cfg)
-    out = unique_events(df).join(births_of(df, birth_rows(cfg)), "subject_id").withColumns({"code": part.code, "numeric_value": part.value})
-    return out.drop("__dob", "__nth").where(F.col("numeric_value") > 0)
+    """Age at each event after birth, in single precision; one row for each birth row of the subject."""
+    out = signed_ages(unique_events(df), births_of(df, birth_rows(cfg)), cfg)
+    return out.withColumn("numeric_value", F.col("numeric_value").cast("float")).where(F.col("numeric_value") > 0)
 
 
 def time_of_day(df: DataFrame, cfg: dict[str, Any]) -> DataFrame:
