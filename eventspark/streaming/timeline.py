@@ -1,8 +1,8 @@
-"""Time-derived measurements on a stream: state by subject, rows once the watermark has passed their event."""
+"""Time-derived measurements on a stream: state by buckets of subjects, rows once the watermark has passed their event."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventspark.functions.units import time_unit
 from eventspark.operators.timeline import birth_rows, hours_of
@@ -43,70 +43,82 @@ class Derived:
                 out.delta = (delta.format(time_unit=unit), seconds)
         return out
 
-    def rows(self, at: int, before: int | None, births: list[int]) -> Iterator[tuple[int, str, float | None]]:
-        """(time, code, value) of the rows of an event, given the event before it and all births so far."""
-        for born in births if self.age else ():
-            if (value := float(np.float32((at - born) / (1e6 * self.age[1])))) > 0:
-                yield at, self.age[0], value
-        for lo, hi, code in self.day:
-            if lo <= at // 3_600_000_000 % 24 < hi:
-                yield at, code, None
-        if before is None:
-            if self.start is not None:
-                yield at, self.start, None
-        elif self.delta:
-            yield at, self.delta[0], (at - before) / (1e6 * self.delta[1])
-
-
-class TimelineProcessor(StatefulProcessor):
-    """State of a subject: event times that the watermark hasn't passed, birth times, the last event that it has, and
-    whether an end was given for that one."""
-
-    def __init__(self, derived: Derived) -> None:
-        self.derived = derived
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.pending = handle.getMapState("pending", "at long", "n int")
-        self.births = handle.getListState("births", "at long")
-        self.done = handle.getValueState("done", "last long, ended boolean")
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        last = self.done.get()[0] if self.done.exists() else None
+    def rows(self, events: np.ndarray, before: np.ndarray, births: np.ndarray) -> list[pd.DataFrame]:
+        """Rows of ``events`` (subject, time), given the event before each (``NEVER``: none) and all births so far."""
+        at, out = events[:, 1], []
+        if self.age:
+            both = pd.DataFrame(events, columns=["subject", "at"]).merge(pd.DataFrame(births, columns=["subject", "born"]), on="subject")
+            value = ((both["at"] - both["born"]) / (1e6 * self.age[1])).to_numpy("float32")
+            out.append(made(both[["subject", "at"]].to_numpy()[value > 0], self.age[0], value[value > 0]))
+        hour = at // 3_600_000_000 % 24
+        out += [made(events[(lo <= hour) & (hour < hi)], code) for lo, hi, code in self.day]
+        first = before == NEVER
+        if self.start is not None:
+            out.append(made(events[first], self.start))
+        if self.delta:
+            out.append(made(events[~first], self.delta[0], (at[~first] - before[~first]) / (1e6 * self.delta[1])))
+        return out
+
+
+#: Time of an event that is not.
+NEVER = np.iinfo(np.int64).min
+#: State of a bucket of subjects, as bytes of whole numbers: event times that the watermark hasn't passed (subject, time),
+#: birth times (subject, time), and the last event that it has passed, with whether an end was given for that one (subject,
+#: time, 0 or 1), by subject.
+_STATE, _WIDTHS = "waiting binary, births binary, done binary", (2, 2, 3)
+
+
+def made(events: np.ndarray, code: str, value: np.ndarray | None = None) -> pd.DataFrame:
+    value = np.full(len(events), np.nan) if value is None else value
+    return pd.DataFrame({"subject_id": events[:, 0], "time": pd.to_datetime(events[:, 1], unit="us"), "code": code, "numeric_value": pd.array(value, "Float32")})
+
+
+def _last_of(done: np.ndarray, subjects: np.ndarray) -> np.ndarray:
+    at = np.searchsorted(done[:, 0], subjects)
+    there = np.append(done[:, 0], 0)[at] == subjects
+    return np.where(there & (at < len(done)), np.append(done[:, 1], 0)[at], NEVER)
+
+
+def advanced(derived: Derived) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
+    """Takes up the new rows of a bucket of subjects and gives what the watermark lets be told. A bucket is called once in
+    a micro-batch, for its rows or because the time of one of its subjects has come, and does all of them together; no
+    event or subject costs a call of its own."""
+
+    def of_bucket(key: tuple, rows: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        kept = state.get if state.exists else (b"", b"", b"")
+        waiting, births, done = (np.frombuffer(x, np.int64).reshape(-1, n) for x, n in zip(kept, _WIDTHS, strict=True))
+        now = state.getCurrentWatermarkMs() * 1000
         for pdf in rows:
-            born = pdf.loc[pdf["born"], "us"].tolist()
-            for at in born:
-                self.births.appendValue((int(at),))
-            for at in pdf["us"].unique().tolist():
-                if (last is None or at > last) and not self.pending.containsKey((at,)):
-                    self.pending.updateValue((at,), (1,))
-                    self.handle.registerTimer(-(-at // 1000))
-        return iter([])
-
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        now, derived, out = timerValues.getCurrentWatermarkInMs() * 1000, self.derived, []
-        last, ended = self.done.get() if self.done.exists() else (None, False)
-        times = sorted(k[0] for k in self.pending.keys())
-        ready = [t for t in times if t <= now]
-        births = [b[0] for b in self.births.get()] if derived.age and ready else []
-        for at in ready:
-            out += derived.rows(at, last, births)
-            self.pending.removeKey((at,))
-            last, ended = at, False
-        if ready:
-            self.handle.registerTimer(-(-(last + derived.end_after) // 1000))
-        if last is not None and not ended and len(ready) == len(times) and last + derived.end_after <= now:
-            ended = True
-            if derived.end is not None:
-                out.append((last, derived.end, None))
-        if last is not None:
-            self.done.update((int(last), bool(ended)))
-        if out:
-            times, codes, values = zip(*out, strict=True)
-            yield pd.DataFrame({"subject_id": key[0], "time": pd.to_datetime(np.array(times), unit="us"), "code": codes, "numeric_value": pd.Series(values, dtype="float32")})
-
-
-def time_derived_stream(stream: DataFrame, features: dict[str, Any], late: str = "1 day", end_after: str = "365 days") -> DataFrame:
+            new = pdf[["subject_id", "us"]].to_numpy(np.int64)
+            births = np.vstack([births, new[pdf["born"].to_numpy(bool)]])
+            waiting = np.vstack([waiting, new[new[:, 1] > _last_of(done, new[:, 0])]])
+        waiting = np.unique(waiting, axis=0)  # by subject and time
+        due = waiting[:, 1] <= now
+        ready, waiting = waiting[due], waiting[~due]
+        other = ready[1:, 0] != ready[:-1, 0]
+        first, last = np.append(True, other)[: len(ready)], np.append(other, True)[: len(ready)]
+        before = np.where(first, _last_of(done, ready[:, 0]), np.roll(ready[:, 1], 1))
+        out = derived.rows(ready, before, births)
+
+        newest = np.column_stack([ready[last], np.zeros(last.sum(), np.int64)])
+        done = np.vstack([done[~np.isin(done[:, 0], newest[:, 0])], newest])
+        done = done[np.argsort(done[:, 0])]
+        going = (done[:, 2] == 0) & ~np.isin(done[:, 0], waiting[:, 0])
+        ends = going & (done[:, 1] + derived.end_after <= now)
+        done[ends, 2] = 1
+        if derived.end is not None:
+            out.append(made(done[ends, :2], derived.end))
+        state.update((waiting.tobytes(), births.tobytes(), done.tobytes()))
+        if len(next_ := np.append(waiting[:, 1], done[going & ~ends, 1] + derived.end_after)):
+            # Time is up once the watermark is past the millisecond before.
+            state.setTimeoutTimestamp(max(-(-int(next_.min()) // 1000) - 1, 1))
+        if out := [x for x in out if len(x)]:
+            yield pd.concat(out, ignore_index=True)
+
+    return of_bucket
+
+
+def time_derived_stream(stream: DataFrame, features: dict[str, Any], late: str = "1 day", end_after: str = "365 days", buckets: int = 1024) -> DataFrame:
     """The rows that ``add_time_derived_measurements`` adds, for a stream of (subject_id, time, code, ...).
 
     Rows may come in any order, up to ``late`` behind the latest time seen. An event's rows are given once the watermark
@@ -115,9 +127,10 @@ def time_derived_stream(stream: DataFrame, features: dict[str, Any], late: str =
     subject's last event, and no later event has come; should one come after that, the timeline goes on from there, and
     ends again. With no such gap the rows are those of the batch stage over all rows that weren't too late.
 
-    Rows without a subject or a time make no events. State is a subject's pending event times, its births and its last
-    event; times of day are those of UTC. State lives in RocksDB, which this sets for the session if no provider that
-    has timers is set.
+    Rows without a subject or a time make no events. State is each subject's pending event times, its births and its last
+    event, kept for ``buckets`` of subjects together; take as many as leave some thousands of subjects in a bucket, and
+    the same number for all runs of a stream. Times of day are those of UTC. State lives in RocksDB, which this sets for
+    the session, rather than in the executors' heaps.
     """
     from pyspark.errors import PySparkValueError
 
@@ -130,5 +143,5 @@ def time_derived_stream(stream: DataFrame, features: dict[str, Any], late: str =
         raise PySparkValueError(f"Unknown time-derived measurement: {sorted(unknown)}")
     born = birth_rows(features["age"]) if derived.age else F.lit(False)
     rows = stream.where("subject_id is not null and time is not null").withWatermark("time", late)
-    rows = rows.select("subject_id", "time", F.unix_micros("time").alias("us"), F.coalesce(born, F.lit(False)).alias("born"))
-    return rows.groupBy("subject_id").transformWithStateInPandas(TimelineProcessor(derived), _OUT, outputMode="Append", timeMode="EventTime")
+    rows = rows.select(F.pmod(F.xxhash64("subject_id"), F.lit(buckets)).alias("bucket"), "subject_id", "time", F.unix_micros("time").alias("us"), F.coalesce(born, F.lit(False)).alias("born"))
+    return rows.groupBy("bucket").applyInPandasWithState(advanced(derived), _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -278,6 +278,24 @@ def test_time_derived_rows_on_a_stream_are_those_of_a_batch(spark, tmp_path):
     assert {c for _, _, c, _ in got} >= {"AGE", "TIMELINE//START", "TIMELINE//END", "TIMELINE//DELTA//hours"}
 
 
+def test_stream_calls_and_keeps_a_bucket_not_a_subject(spark, tmp_path):
+    """Kept rows and calls are those of buckets, whatever the number of subjects and events; rows are those of a batch."""
+    from eventspark.streaming.events import read_stream, write_stream
+    from eventspark.streaming.timeline import time_derived_stream
+
+    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
+    df = spark.range(3000).selectExpr("id % 500 * 7 - 900 AS subject_id", "timestamp_seconds(1000000000 + id * 997) AS time", "'A' AS code", "CAST(NULL AS float) AS numeric_value")
+    df.write.parquet(src)
+    query = write_stream(time_derived_stream(read_stream(spark, src, df.schema), {"timeline_tokens": {"time_unit": "hours"}}, late="0 seconds", end_after="0 seconds", buckets=8), out, state)
+    query.awaitTermination()
+    done = [op for p in query.recentProgress for op in p["stateOperators"]]
+    assert done[-1]["numRowsTotal"] == 8 and max(op["numRowsUpdated"] for op in done) <= 8
+    want = timeline.timeline_tokens(df, {"time_unit": "hours"})
+    got = spark.read.parquet(out)
+    key = lambda r: (r["subject_id"], r["time"], r["code"], r["numeric_value"] and round(r["numeric_value"], 4))
+    assert sorted(map(key, got.collect()), key=str) == sorted(map(key, want.collect()), key=str)
+
+
 def test_stream_refuses_unknown_features(spark):
     from eventspark.streaming.timeline import time_derived_stream
 
